@@ -17,7 +17,7 @@ from tableprofile.plans.quantiles import exact_quantiles
 
 MAX_K = 10
 FAR_SHARE = 0.9
-_PARALLEL = 4
+_PARALLEL = 9
 
 
 @dataclass
@@ -35,7 +35,7 @@ def _vectors(f: Features) -> DataFrame:
 def choose_k(f: Features, seed: int = 42) -> KChoice:
     """The k in 2..min(10, n-1) with the best silhouette (squared Euclidean).
 
-    The fits are independent of each other; a few run at a time, so that the cluster is not
+    The fits are independent of each other and run at the same time, so that the cluster is not
     idle between the short passes of a single one.
     """
     data = _vectors(f).persist(StorageLevel.MEMORY_AND_DISK)
