@@ -108,5 +108,5 @@ def isolation_scores(f: Features, seed: int = 42, trees: int = TREES, size: int
 def isolation_outliers(f: Features, seed: int = 42) -> DataFrame:
     """(row_id): rows whose score lies strictly below the 10th percentile."""
     scored = cut(isolation_scores(f, seed).select("row_id", "score"))
-    limit = exact_quantiles(scored, {"score": F.col("score")}, [CONTAMINATION])["score"][0]
+    limit = exact_quantiles(scored, {"score": F.col("score")}, [CONTAMINATION], f.count)["score"][0]
     return scored.where(F.col("score") < limit).select("row_id")

@@ -38,7 +38,8 @@ def choose_k(f: Features, seed: int = 42) -> KChoice:
     The fits are independent of each other and run at the same time, so that the cluster is not
     idle between the short passes of a single one.
     """
-    data = _vectors(f).persist(StorageLevel.MEMORY_AND_DISK)
+    # a pass over few rows is all task overhead; fewer partitions, never more
+    data = _vectors(f).coalesce(max(1, f.count // 20_000)).persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = ClusteringEvaluator(featuresCol="features", metricName="silhouette")
 
     def fit(k: int) -> KMeansModel:
@@ -90,5 +91,5 @@ def kmeans_outliers(f: Features, seed: int = 42) -> DataFrame:
     centres = [list(c) for c in choose_k(f, seed).model.clusterCenters()]
     scaled = f.scaled_rows()
     far = cut(scaled.select("row_id", centre_distance([F.col(c) for c in f.columns], centres).alias("d")))
-    limit = exact_quantiles(far, {"d": F.col("d")}, [FAR_SHARE])["d"][0]
+    limit = exact_quantiles(far, {"d": F.col("d")}, [FAR_SHARE], f.count)["d"][0]
     return far.where(F.col("d") > limit).select("row_id")

@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tableprofile.operators.features import Features
 from tableprofile.plans.boxes import box_of_points, boxes_touched, build_boxes
@@ -20,16 +20,15 @@ from tableprofile.plans.quantiles import exact_quantiles
 
 NEIGHBOURS = 20
 CONTAMINATION = 0.1
-BOX_ROWS = 5_000
+BOX_ROWS = 2_000
 VISITORS_PER_TASK = 50_000
 _SAMPLE_ROWS = 2_000_000
 _CELLS = 4_000_000          # distances held at a time in a task
-_LIST = "array<struct<d:double,id:bigint,w:bigint>>"
 
 
 def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, weights: np.ndarray, k: int,
-            own: np.ndarray | None, radius: np.ndarray | None) -> list[list[tuple]]:
-    """Per query the nearest points (distance, id, weight) up to a total weight of k.
+            own: np.ndarray | None = None, radius: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(query, d, other, w): per query the nearest points up to a total weight of k.
 
     Ties go to the smaller id. `own` are the positions of the queries among the points: a
     location is a neighbour of itself with one copy less. Only points within `radius` count.
@@ -39,7 +38,7 @@ def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, weights: n
     place[order] = np.arange(len(order))
     points, ids, weights = points[order], ids[order], weights[order]
     take = min(k + 1, len(points))
-    out: list[list[tuple]] = []
+    parts = []
     step = max(1, _CELLS // max(1, len(points)))
     for start in range(0, len(queries), step):
         part = queries[start:start + step]
@@ -55,35 +54,20 @@ def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, weights: n
                 best[r] = np.argsort(squares[r], kind="stable")[:take]
             best.sort(axis=1)     # by id, so that the stable sort below keeps the tie order
         else:
-            best = np.broadcast_to(np.arange(len(points)), (len(part), len(points)))
-        found = np.take_along_axis(squares, best, axis=1)
-        inner = np.argsort(found, axis=1, kind="stable")
-        best, found = np.take_along_axis(best, inner, axis=1), np.sqrt(np.take_along_axis(found, inner, axis=1))
-        for r in range(len(part)):
-            left, row = k, []
-            for p, d in zip(best[r], found[r]):
-                if left <= 0 or (radius is not None and d > radius[start + r]):
-                    break
-                w = int(weights[p]) - (own is not None and place[own[start + r]] == p)
-                w = min(w, left)
-                if w > 0:
-                    row.append((float(d), int(ids[p]), w))
-                    left -= w
-            out.append(row)
-    return out
-
-
-def _trim(neighbours: Column, k: int) -> Column:
-    """The first entries of a sorted neighbour list up to a total weight of k."""
-    start = F.struct(F.lit(k).cast("long").alias("left"), F.array().cast(_LIST).alias("kept"))
-
-    def step(state: Column, one: Column) -> Column:
-        w = F.least(one.w, state.left)
-        entry = F.struct(one.d.alias("d"), one.id.alias("id"), w.alias("w"))
-        return F.when(state.left <= 0, state).otherwise(
-            F.struct((state.left - w).alias("left"), F.concat(state.kept, F.array(entry)).alias("kept")))
-
-    return F.aggregate(neighbours, start, step, lambda state: state.kept)
+            best = np.repeat(np.arange(len(points))[None, :], len(part), axis=0)
+        near = np.take_along_axis(squares, best, axis=1)
+        inner = np.argsort(near, axis=1, kind="stable")
+        best, near = np.take_along_axis(best, inner, axis=1), np.sqrt(np.take_along_axis(near, inner, axis=1))
+        w = weights[best]
+        if own is not None:
+            w = w - (best == place[own[start:start + step]][:, None])
+        if radius is not None:
+            w = np.where(near <= radius[start:start + step][:, None], w, 0)
+        before = np.cumsum(w, axis=1) - w
+        w = np.clip(k - before, 0, w)
+        q, slot = np.nonzero(w > 0)
+        parts.append((q + start, near[q, slot], ids[best[q, slot]], w[q, slot]))
+    return tuple(np.concatenate(column) for column in zip(*parts))
 
 
 def _locations(f: Features) -> DataFrame:
@@ -106,7 +90,7 @@ def _box_tree(locations: DataFrame, cols: list[str], n: int, k: int, box_rows: i
 
 def neighbours(f: Features, k: int, box_rows: int = BOX_ROWS, visitors_per_task: int = VISITORS_PER_TASK,
                ) -> tuple[DataFrame, DataFrame]:
-    """Locations (id, x..., w) and their neighbour lists (id, nb)."""
+    """Locations (id, x..., w) and their neighbours (id, d, other, w), weights adding up to k per id."""
     locations = _locations(f)
     cols = f.columns
     n = locations.count()
@@ -121,22 +105,30 @@ def neighbours(f: Features, k: int, box_rows: int = BOX_ROWS, visitors_per_task:
     boxed = locations.withColumn("box", box_of(*cols))
 
     def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
-        points = pdf[cols].to_numpy(dtype=float)
-        found = nearest(points, points, pdf["id"].to_numpy(), pdf["w"].to_numpy(), k, np.arange(len(pdf)), None)
-        full = np.array([sum(e[2] for e in row) >= k for row in found])
-        radius = np.array([row[-1][0] if row else 0.0 for row in found])
-        radius = np.where(full, radius, np.inf)
-        home = int(pdf["box"].iloc[0])
-        visits = [[b for b in boxes if b != home] for boxes in boxes_touched(shared.value, points, radius)]
-        return pd.DataFrame({"id": pdf["id"], **{c: pdf[c] for c in cols}, "radius": radius,
-                             "visits": visits, "nb": [_records(row) for row in found]})
+        points, ids, home = pdf[cols].to_numpy(dtype=float), pdf["id"].to_numpy(), int(pdf["box"].iloc[0])
+        q, d, other, w = nearest(points, points, ids, pdf["w"].to_numpy(), k, own=np.arange(len(pdf)))
+        full = np.bincount(q, weights=w, minlength=len(pdf)) >= k
+        radius = np.zeros(len(pdf))
+        np.maximum.at(radius, q, d)
+        radius[~full] = np.inf
+        visits = [(i, b) for i, boxes in enumerate(boxes_touched(shared.value, points, radius)) for b in boxes if b != home]
+        at, box = np.array(visits, dtype=np.int64).reshape(-1, 2).T
+        travels = np.zeros(len(pdf), dtype=bool)
+        travels[at] = True
+        pairs = pd.DataFrame({"id": ids[q], "d": d, "other": other, "w": w, "travels": travels[q]})
+        journeys = pd.DataFrame({"id": ids[at], "travels": True, "box": box, "radius": radius[at],
+                                 **{c: points[at, i] for i, c in enumerate(cols)}})
+        out = pd.concat([pairs, journeys], ignore_index=True)
+        for c in ("other", "w", "box"):
+            out[c] = out[c].astype("Int64")
+        out["travels"] = out["travels"].astype(bool)
+        return out
 
     home = cut(boxed.groupBy("box").applyInPandas(
-        at_home, f"id long, {coords}, radius double, visits array<long>, nb {_LIST}"))
+        at_home, f"id long, d double, other long, w long, travels boolean, box long, radius double, {coords}"))
 
-    settled = home.where(F.size("visits") == 0).select("id", "nb")
-    travelling = home.where(F.size("visits") > 0)
-    visitors = travelling.select("id", *cols, "radius", F.explode("visits").alias("box"))
+    pairs = home.where(F.col("box").isNull()).select("id", "d", "other", "w", "travels")
+    visitors = home.where(F.col("box").isNotNull()).select("id", *cols, "radius", "box")
     # a box that many want to see is copied to several tasks; one row per box is broadcast
     slots = F.broadcast(visitors.groupBy("box").agg(F.ceil(F.count(F.lit(1)) / visitors_per_task).alias("slots")))
     hosts = boxed.join(slots, "box").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
@@ -145,31 +137,28 @@ def neighbours(f: Features, k: int, box_rows: int = BOX_ROWS, visitors_per_task:
     def abroad(pdf: pd.DataFrame) -> pd.DataFrame:
         host, guest = pdf[pdf["radius"].isna()], pdf[pdf["radius"].notna()]
         if not len(host) or not len(guest):
-            return pd.DataFrame({"id": [], "nb": []})
-        found = nearest(guest[cols].to_numpy(dtype=float), host[cols].to_numpy(dtype=float), host["id"].to_numpy(),
-                        host["w"].to_numpy(), k, None, guest["radius"].to_numpy())
-        keep = [(i, _records(row)) for i, row in zip(guest["id"], found) if row]
-        return pd.DataFrame(keep, columns=["id", "nb"])
-
-    none = F.lit(None)
-    away = hosts.select("box", "slot", "id", *cols, "w", none.cast("double").alias("radius")).unionByName(
-        guests.select("box", "slot", "id", *cols, F.lit(0).cast("long").alias("w"), "radius")
-    ).groupBy("box", "slot").applyInPandas(abroad, f"id long, nb {_LIST}")
-    merged = travelling.select("id", "nb").unionByName(away).groupBy("id").agg(
-        _trim(F.array_sort(F.flatten(F.collect_list("nb"))), k).alias("nb"))   # at most k entries per box visited
-    return locations, cut(settled.unionByName(merged))
+            return pd.DataFrame({"id": [], "d": [], "other": [], "w": []})
+        q, d, other, w = nearest(guest[cols].to_numpy(dtype=float), host[cols].to_numpy(dtype=float),
+                                 host["id"].to_numpy(), host["w"].to_numpy(), k, radius=guest["radius"].to_numpy())
+        return pd.DataFrame({"id": guest["id"].to_numpy()[q], "d": d, "other": other, "w": w})
 
+    away = hosts.select("box", "slot", "id", *cols, "w", F.lit(None).cast("double").alias("radius")).unionByName(
+        guests.select("box", "slot", "id", *cols, F.lit(0).cast("long").alias("w"), "radius")
+    ).groupBy("box", "slot").applyInPandas(abroad, "id long, d double, other long, w long")
 
-def _records(row: list[tuple]) -> list[dict]:
-    return [{"d": d, "id": i, "w": w} for d, i, w in row]
+    # at most k entries from each box visited compete for the k places of a traveller
+    before = F.sum("w").over(Window.partitionBy("id").orderBy("d", "other")
+                             .rowsBetween(Window.unboundedPreceding, -1))
+    merged = pairs.where("travels").drop("travels").unionByName(away) \
+        .withColumn("w", F.least(F.col("w"), F.lit(k) - F.coalesce(before, F.lit(0)))).where(F.col("w") > 0)
+    return locations, cut(pairs.where(~F.col("travels")).drop("travels").unionByName(merged))
 
 
 def lof_scores(f: Features, k: int | None = None, box_rows: int = BOX_ROWS) -> DataFrame:
     """(row_id, lof) for every row."""
     k = max(1, min(NEIGHBOURS if k is None else k, f.count - 1))
-    locations, lists = neighbours(f, k, box_rows)
-    pairs = lists.select("id", F.inline("nb").alias("d", "other", "w"))
-    reach = lists.select(F.col("id").alias("other"), F.element_at("nb", -1).d.alias("k_distance"))
+    locations, pairs = neighbours(f, k, box_rows)
+    reach = pairs.groupBy(F.col("id").alias("other")).agg(F.max("d").alias("k_distance"))
     density = cut(pairs.join(reach, "other").groupBy("id").agg(
         (1.0 / (F.sum(F.col("w") * F.greatest("d", "k_distance")) / k + 1e-10)).alias("density")))
     around = pairs.join(density.select(F.col("id").alias("other"), F.col("density").alias("theirs")), "other") \
@@ -184,5 +173,5 @@ def lof_outliers(f: Features, k: int | None = None, box_rows: int = BOX_ROWS) ->
     if f.count < 2:
         return f.rows.select("row_id").limit(0)
     scored = cut(lof_scores(f, k, box_rows))
-    limit = exact_quantiles(scored, {"s": -F.col("lof")}, [CONTAMINATION])["s"][0]
+    limit = exact_quantiles(scored, {"s": -F.col("lof")}, [CONTAMINATION], f.count)["s"][0]
     return scored.where(-F.col("lof") < limit).select("row_id")

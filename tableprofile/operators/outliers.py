@@ -71,7 +71,7 @@ def column_stats(df: DataFrame, fields: list[str], only_eligible: bool = False)
     if only_eligible:
         stats = [s for s in stats if s.eligible]
     if stats:
-        quartiles = exact_quantiles(df, {s.name: as_double(df, s.name) for s in stats}, [0.25, 0.75])
+        quartiles = exact_quantiles(df, {s.name: as_double(df, s.name) for s in stats}, [0.25, 0.75], stats[0].total)
         for s in stats:
             s.q1, s.q3 = quartiles[s.name]
     return stats

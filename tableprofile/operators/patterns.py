@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tableprofile.functions.shapes import value_pattern
+from tableprofile.functions.columns import as_text
+from tableprofile.functions.shapes import known_format, trimmed, value_pattern
 from tableprofile.plans.longform import to_long
 
 
@@ -33,6 +34,7 @@ def top_pattern(df: DataFrame, fields: list[str] | None = None, row_id: str | No
 
 
 def known_formats(df: DataFrame, field: str) -> DataFrame:
-    """(pattern, count) of one field, restricted to the named formats."""
-    names = ["Internal IP", "External IP", "MAC Address", "Email", "FQDN"]
-    return pattern_report(df, [field]).where(F.col("pattern").isin(names)).select("pattern", "count")
+    """(pattern, count) of one field, restricted to the named formats; no shape is computed."""
+    label = known_format(trimmed(as_text(df, field)))
+    return df.select(label.alias("pattern")).where(F.col("pattern").isNotNull()) \
+             .groupBy("pattern").agg(F.count(F.lit(1)).alias("count"))

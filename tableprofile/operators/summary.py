@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tableprofile.functions.columns import as_text, clean, pick_fields, quoted
-from tableprofile.plans.longform import field_table, key_counts, to_long
+from tableprofile.functions.columns import as_text, clean, pick_fields, quoted, type_labels
+from tableprofile.plans.longform import field_table, key_counts
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -17,25 +17,30 @@ def _share(part: Column, whole: Column) -> Column:
 def field_profile(df: DataFrame, fields: list[str] | None = None, approx: bool = False) -> DataFrame:
     """(field, total, nulls, distinct_values): the counts behind summary and key detection.
 
-    Exact: one pass, one shuffle of (field, value digest) after map-side combine.
-    approx=True replaces the distinct count by HyperLogLog: no data-sized shuffle at all.
+    Exact: one pass, one shuffle of typed values or digests after map-side combine.
+    approx=True: one wide aggregate with a sketch per column, and no data-sized shuffle at all.
     """
     fields = pick_fields(df, fields)
     if approx:
-        counts = to_long(df, fields).groupBy("field").agg(
-            F.count(F.lit(1)).alias("total"),
-            F.sum(F.col("value").isNull().cast("long")).alias("nulls"),
-            F.approx_count_distinct("value").alias("distinct_values"),
-        )
+        sketches = []
+        for i, f in enumerate(fields):
+            c = as_text(df, f) if type_labels(df)[f] == "other" else clean(df, f)
+            sketches += [F.count(c).alias(f"__n{i}"),
+                         F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), 12).alias(f"__d{i}")]
+        wide = df.agg(F.count(F.lit(1)).alias("total"), *sketches)
+        counts = wide.select(F.inline(F.array(*[F.struct(
+            F.lit(i).alias("pos"), F.col("total").alias("total"), (F.col("total") - F.col(f"__n{i}")).alias("nulls"),
+            F.coalesce(F.hll_sketch_estimate(f"__d{i}"), F.lit(0)).alias("distinct_values"))
+            for i in range(len(fields))])))
     else:
-        counts = key_counts(df, fields).groupBy("field").agg(
+        counts = key_counts(df, fields).groupBy("pos").agg(
             F.sum("n").alias("total"),
-            F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
-            F.count("value").alias("distinct_values"),
+            F.sum(F.when(~F.col("filled"), F.col("n")).otherwise(0)).alias("nulls"),
+            F.count(F.when(F.col("filled"), 1)).alias("distinct_values"),
         )
     zero = F.lit(0).cast("long")
     # at most one row per field on either side
-    return field_table(df, fields).join(F.broadcast(counts), "field", "left").select(
+    return field_table(df, fields).join(F.broadcast(counts), "pos", "left").select(
         "pos", "field", "type",
         F.coalesce("total", zero).alias("total"),
         F.coalesce("nulls", zero).alias("nulls"),

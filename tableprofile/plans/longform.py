@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tableprofile.functions.columns import as_text, pick_fields, quoted, type_labels
+from tableprofile.functions.columns import as_text, clean, pick_fields, quoted, type_labels
 
 # Values longer than this are replaced by a SHA-256 digest where only equality matters,
 # so that counting distinct documents does not shuffle the documents.
@@ -38,10 +38,39 @@ def value_counts(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
     return to_long(df, fields).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _typed_key(df: DataFrame, name: str) -> dict[str, Column]:
+    """The value as a number where it is one, else as short text: cheaper to make, compare and
+    shuffle than text. Exactly one of the three is set unless the value is null."""
+    slots = {"number": F.lit(None).cast("long"), "decimal": F.lit(None).cast("double"), "text": F.lit(None).cast("string")}
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        slots["number"] = quoted(name).cast("long")
+    elif isinstance(dtype, T.BooleanType):
+        slots["number"] = quoted(name).cast("int").cast("long")
+    elif isinstance(dtype, T.DateType):
+        slots["number"] = F.unix_date(quoted(name)).cast("long")
+    elif isinstance(dtype, T.TimestampType):
+        slots["number"] = F.unix_micros(quoted(name))
+    elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+        slots["decimal"] = clean(df, name).cast("double")
+    else:
+        slots["text"] = digest(as_text(df, name))
+    return slots
+
+
 def key_counts(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """As value_counts, but long values are represented by their digest."""
-    long = to_long(df, fields).select("field", digest(F.col("value")).alias("value"))
-    return long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    """(pos, filled, n): one row per field and distinct value, without the value itself.
+
+    For counting distinct values only. Map-side combine as in value_counts.
+    """
+    fields = pick_fields(df, fields)
+    rows = []
+    for i, f in enumerate(fields):
+        rows.append(F.struct(F.lit(i).alias("pos"), *[c.alias(n) for n, c in _typed_key(df, f).items()]))
+    keys = ["pos", "number", "decimal", "text"]
+    counts = df.select(F.inline(F.array(*rows))).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("pos", F.coalesce(F.col("number").isNotNull() | F.col("decimal").isNotNull()
+                                           | F.col("text").isNotNull(), F.lit(False)).alias("filled"), "n")
 
 
 def field_table(df: DataFrame, fields: list[str]) -> DataFrame:

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# Spark's `percentile` is used for tables of at most so many rows.
+DIRECT_ROWS = 200_000
 # A bracket with at most this many distinct values is ranked directly.
 RANK_DISTINCT = 100_000
 _ACCURACY = 10_000
@@ -42,16 +44,22 @@ class _Target:
         return F.when(cond, self.column)
 
 
-def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float],
-                    rank_distinct: int = RANK_DISTINCT) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float], total: int | None = None,
+                    direct_rows: int = DIRECT_ROWS, rank_distinct: int = RANK_DISTINCT,
+                    ) -> dict[str, list[float | None]]:
     """{name: [quantile per prob]} for numeric columns; nulls are ignored.
 
-    Runs a few jobs; a handful of numbers per column reach the driver.
+    Runs a few jobs; a handful of numbers per column reach the driver. `total` is the number
+    of rows where the caller knows it.
     """
     names = list(columns)
     cols = {n: columns[n].cast("double") for n in names}
+    if (df.count() if total is None else total) <= direct_rows:
+        r = df.agg(*[F.percentile(cols[n], list(probs)).alias(f"q{i}") for i, n in enumerate(names)]).first()
+        return {n: [None] * len(probs) if r[i] is None else list(r[i]) for i, n in enumerate(names)}
+
     first = df.agg(*[F.count(cols[n]).alias(f"n{i}") for i, n in enumerate(names)],
-                   *[F.approx_count_distinct(cols[n], 0.02).alias(f"d{i}") for i, n in enumerate(names)]).first()
+                   *[_distinct(cols[n]).alias(f"d{i}") for i, n in enumerate(names)]).first()
     n_of = {n: first[f"n{i}"] for i, n in enumerate(names)}
 
     targets: dict[tuple[str, int], _Target] = {}
@@ -75,6 +83,11 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float
     return {n: [at_prob(n, p) for p in probs] for n in names}
 
 
+def _distinct(column: Column) -> Column:
+    """About how many different values; one compact sketch per column."""
+    return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(column.isNotNull(), F.xxhash64(column)), 12))
+
+
 def _narrow(df: DataFrame, targets: list[_Target]) -> None:
     """One sketch and one counting scan for all targets.
 
@@ -96,7 +109,7 @@ def _narrow(df: DataFrame, targets: list[_Target]) -> None:
                    F.count(F.when(t.column <= low, 1)).alias(f"le_low{i}"),
                    F.count(F.when(t.column < high, 1)).alias(f"lt_high{i}"),
                    F.count(F.when(t.column <= high, 1)).alias(f"le_high{i}"),
-                   F.approx_count_distinct(between, 0.02).alias(f"d{i}")]
+                   _distinct(between).alias(f"d{i}")]
     seen = df.agg(*counts).first()
     for i, t in enumerate(targets):
         low, high = ends[f"q{i}"]

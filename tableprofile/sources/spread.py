@@ -1,0 +1,22 @@
+"""Even use of the cores for small inputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from tableprofile.functions.columns import columns_of, quoted
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a freshly read table at least as many partitions as there are cores.
+
+    A file that is a single split would be worked on by a single core, and the analyses are
+    bound by CPU. A large table has many splits and comes back unchanged, without a shuffle.
+    One integer column serves as hash key: that avoids the sort of a round-robin, and columns
+    that are not used are still never read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    ints = columns_of(df, "int")
+    return df.repartition(cores, quoted(ints[0])) if ints else df.repartition(cores)

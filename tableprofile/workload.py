@@ -11,6 +11,7 @@ from tableprofile.operators import (
     outliers, patterns, summary, trends, values, words)
 from tableprofile.operators.dictionary import Dictionary, built_in
 from tableprofile.sources.nested import flatten
+from tableprofile.sources.spread import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,7 +20,7 @@ QUERIES: dict[str, Query] = {}
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the sample tables. UTC keeps dates equal on every machine."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def query(name: str, *tables: str) -> Callable:
