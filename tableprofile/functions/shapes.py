@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import string
+import sys
+import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
@@ -23,7 +26,6 @@ def _ascii_symbol(c: str) -> str:
         return "a"
     if c in string.digits:
         return "9"
-    # the ASCII separators 28-31 count as white space
     if c.isspace() or c == "_":
         return "?"
     return "@"
@@ -32,10 +34,20 @@ def _ascii_symbol(c: str) -> str:
 _ASCII_SYMBOLS = "".join(_ascii_symbol(c) for c in _ASCII)
 
 
+# White space of every kind; the ASCII separators 28-31 belong to it.
+_SPACE = r"\s\x1c-\x1f\x85\p{Z}"
+
+
+@lru_cache
+def _other_digits() -> str:
+    """Digits that are not decimal digits, such as superscripts."""
+    every = map(chr, range(sys.maxunicode + 1))
+    return "".join(c for c in every if c.isdigit() and unicodedata.category(c) != "Nd")
+
+
 def trimmed(value: Column) -> Column:
     """Strip white space of every kind from both ends; plain `trim` only strips blanks."""
-    space = r"[\s\x1c-\x1f\x85\p{Z}]"
-    return F.regexp_replace(value, f"^{space}+|{space}+$", "")
+    return F.regexp_replace(value, f"^[{_SPACE}]+|[{_SPACE}]+$", "")
 
 
 def is_internal_ip(ip: Column) -> Column:
@@ -70,10 +82,11 @@ def shape(value: Column) -> Column:
     decimal digits.
     """
     plain = F.translate(value, _ASCII, _ASCII_SYMBOLS)
-    other = F.regexp_replace(value, r"[\p{Nd}²³¹⁰-⁹₀-₉]", "9")
-    other = F.regexp_replace(other, r"(?U)[^\w\s]", "@")
-    other = F.regexp_replace(other, r"\p{Lu}", "A")
-    other = F.regexp_replace(other, r"\p{Ll}", "a")
+    cased = r"\p{IsUppercase}\p{IsLowercase}"
+    other = F.regexp_replace(value, rf"[\p{{Nd}}{_other_digits()}&&[^{cased}]]", "9")
+    other = F.regexp_replace(other, rf"[^\p{{L}}\p{{N}}_{_SPACE}{cased}]", "@")
+    other = F.regexp_replace(other, r"\p{IsUppercase}", "A")
+    other = F.regexp_replace(other, r"\p{IsLowercase}", "a")
     other = F.regexp_replace(other, r"[^Aa9@]", "?")
     return F.when(F.octet_length(value) == F.length(value), plain).otherwise(other)
 

@@ -36,7 +36,7 @@ def found_keywords(text: Column, entries: list[Entry]) -> Column:
     if by_anchor:
         lookup = F.from_json(F.lit(json.dumps({a: _as_json(es) for a, es in by_anchor.items()})),
                              f"map<string,array<{_ENTRY}>>")
-        seen = F.array_intersect(F.array(*[F.lit(a) for a in sorted(by_anchor)]), F.split(lowered, _RUNS))
+        seen = F.array_intersect(F.from_json(F.lit(json.dumps(sorted(by_anchor))), "array<string>"), F.split(lowered, _RUNS))
         candidates = F.flatten(F.transform(seen, lambda a: F.element_at(lookup, a)))
         parts.append(F.filter(candidates, lambda e: F.regexp_like(lowered, e.pattern)))
     if bare:
@@ -117,7 +117,6 @@ def country_coverage(df: DataFrame, countries: list[str], fields: list[str] | No
     per_field = found.select("field", F.inline("found")).groupBy("keyword", "field").agg(F.count(F.lit(1)).alias("n"))
     per_country = per_field.groupBy(F.col("keyword").alias("country")).agg(
         F.sum("n").alias("count"), F.array_join(F.sort_array(F.collect_set("field")), ", ").alias("fields"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return per_country.join(F.broadcast(total)).select(   # a one-row aggregate
-        "country", F.round(F.col("count") / F.col("total") * 100.0, 2).alias("coverage_pct"), "count", "fields",
+    return per_country.select(
+        "country", F.round(F.col("count") / F.lit(max(1, df.count())) * 100.0, 2).alias("coverage_pct"), "count", "fields",
     ).orderBy(F.desc("coverage_pct"), "country")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tableprofile.functions.columns import pick_fields, type_labels
 from tableprofile.functions.dates import has_date_hint, parse_date
@@ -19,12 +21,15 @@ _HINT_ROWS = 10
 def _date_hints(df: DataFrame, fields: list[str], row_id: str | None) -> DataFrame:
     """(field, hint): does one of the first ten non-null values look like a date?
 
-    `rank <= 10` directly on the window becomes a group limit below the shuffle.
+    A limit after a sort keeps ten rows per task and sorts nothing else; each field reads
+    only its own column and the row id.
     """
-    long = to_long(df, fields, row_id).where(F.col("value").isNotNull())
-    w = Window.partitionBy("field").orderBy("row_id" if row_id else "value")
-    first = long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= _HINT_ROWS)
-    return first.groupBy("field").agg(F.bool_or(has_date_hint(F.col("value"))).alias("hint"))
+    firsts = []
+    for f in fields:
+        rows = to_long(df, [f], row_id).where(F.col("value").isNotNull())
+        firsts.append(rows.orderBy("row_id" if row_id else "value").limit(_HINT_ROWS).select("field", "value"))
+    return reduce(DataFrame.unionByName, firsts).groupBy("field").agg(
+        F.bool_or(has_date_hint(F.col("value"))).alias("hint"))
 
 
 def _measures(df: DataFrame, fields: list[str], row_id: str | None) -> DataFrame:

@@ -87,7 +87,8 @@ def _key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     Group first, count second: the second step sees one row per tuple already spread over
     the cluster. Rows with a null part share one group and are combined map-side.
     """
-    parts = [as_text(df, k) for k in pick_fields(df, keys)]
+    labels = type_labels(df)
+    parts = [as_text(df, k) if labels[k] == "other" else clean(df, k) for k in pick_fields(df, keys)]
     whole = F.lit(True)
     for p in parts:
         whole = whole & p.isNotNull()
