@@ -104,6 +104,42 @@ def _sparse_points(grid: _Grid, rows: DataFrame, cells: DataFrame, total: int, s
     return rows.join(small_side(sparse, sparse_cells), grid.cell, "left_semi")
 
 
+def _inside_partly(grid: _Grid, rows: DataFrame, partly: DataFrame, min_samples: int) -> DataFrame:
+    """(row_id, more): how many points of its partly reached cells a point has within eps, if any.
+
+    The cells are first cut finer, and the parts again stand for their points. Single points
+    are compared only in parts that the ball grazes, and only for points still undecided; the
+    parts are the join key, so a full cell is spread over many tasks. `more` may stop short of
+    the true number once the point is known to be core.
+    """
+    if partly.isEmpty():
+        return partly.select("row_id", F.lit(0).cast("long").alias("more"))
+    fine = [f"s{i}" for i in range(grid.dims)]
+    side = grid.side / (4 if grid.dims <= 5 else 2)
+    cells = partly.select(*grid.cell).distinct()
+    inside = rows.join(small_side(cells), grid.cell, "left_semi").select(
+        *grid.cell, *[F.floor(F.col(x) / side).alias(s) for x, s in zip(grid.xs, fine)],
+        *[F.col(x).alias(f"p{i}") for i, x in enumerate(grid.xs)])
+    parts = cut(inside.groupBy(*grid.cell, *fine).agg(
+        F.count(F.lit(1)).alias("n"), *[g(f"p{i}").alias(f"{name}{i}") for i in range(grid.dims)
+                                        for name, g in (("lo", F.min), ("hi", F.max))]))
+    limit = grid.eps * grid.eps
+    met = cut(partly.join(small_side(parts), grid.cell).where(grid.nearest() <= limit)
+              .withColumn("whole", grid.farthest() <= limit)
+              .select("row_id", "sure", *grid.xs, *grid.cell, *fine, "n", "whole"))
+    by_part = cut(met.groupBy("row_id", "sure").agg(F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).alias("more")))
+    grazed = cut(met.where(~F.col("whole")).join(
+        by_part.where(F.col("sure") + F.col("more") < min_samples).select("row_id"), "row_id", "left_semi")
+        .select("row_id", *grid.xs, *grid.cell, *fine))
+    gap = F.lit(0.0)
+    for i, x in enumerate(grid.xs):
+        gap = gap + (F.col(x) - F.col(f"p{i}")) * (F.col(x) - F.col(f"p{i}"))
+    by_point = inside.join(small_side(grazed), [*grid.cell, *fine]).where(gap <= limit) \
+                     .groupBy("row_id").agg(F.count(F.lit(1)).alias("more"))
+    return by_part.select("row_id", "more").unionByName(by_point).groupBy("row_id").agg(F.sum("more").alias("more")) \
+                  .where(F.col("more") > 0)
+
+
 def dbscan_noise(f: Features, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
     """(row_id): the noise points of the standardised data; a point counts as its own neighbour."""
     grid = _Grid(len(f.columns), eps)
@@ -132,17 +168,11 @@ def dbscan_noise(f: Features, eps: float = EPS, min_samples: int = MIN_SAMPLES)
         F.max(F.col("dense") & ~all_in).alias("open"))
     points = cut(sparse.join(seen, "row_id"))
 
-    # 2. dense cells that are only partly within reach: count their points
-    undecided = points.where((F.col("sure") < min_samples) & F.col("open")).select("row_id", *grid.xs, *grid.cell)
+    # 2. dense cells that are only partly within reach
+    undecided = points.where((F.col("sure") < min_samples) & F.col("open")).select("row_id", "sure", *grid.xs, *grid.cell)
     partly = grid.probes(undecided).join(small_side(dense.select(*grid.keys, *grid.cell, *boxes), size.dense),
                                          grid.keys).where(near & ~all_in)
-    partly = cut(partly.select("row_id", *[F.col(x).alias(f"q{i}") for i, x in enumerate(grid.xs)], *grid.cell))
-    gap = F.lit(0.0)
-    for i, x in enumerate(grid.xs):
-        gap = gap + (F.col(x) - F.col(f"q{i}")) * (F.col(x) - F.col(f"q{i}"))
-    # the pairs are the build side: the points of a full cell stay where they are read
-    inner = rows.drop("row_id").join(small_side(partly), grid.cell).where(gap <= eps * eps) \
-                .groupBy("row_id").agg(F.count(F.lit(1)).alias("more"))
+    inner = _inside_partly(grid, rows, cut(partly.select("row_id", "sure", *grid.xs, *grid.cell)), min_samples)
     points = points.join(inner, "row_id", "left").select(
         "row_id", *grid.xs, *grid.cell,
         (F.col("sure") + F.coalesce("more", F.lit(0)) >= min_samples).alias("core"),
