@@ -78,7 +78,7 @@ def as_text(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         short = c.cast("string")
         size = F.abs(c)
-        digits = F.regexp_replace(short.cast("decimal(38,20)").cast("string"), r"0+$", "")
+        digits = F.regexp_replace(short.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
         plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
         rewrite = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3))
         return F.when(rewrite, plain).otherwise(short)

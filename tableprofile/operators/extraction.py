@@ -7,9 +7,9 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tableprofile.functions.columns import clean, pick_fields, text_columns
+from tableprofile.functions.columns import pick_fields, text_columns
 from tableprofile.operators.dictionary import Dictionary, Entry
-from tableprofile.plans.longform import to_long
+from tableprofile.plans.longform import filled_counts, to_long
 
 _RUNS = r"[^\p{L}]+"
 _ENTRY = "struct<category:string,keyword:string,form:string,pattern:string>"
@@ -88,20 +88,11 @@ def extract_summary(df: DataFrame, dictionary: Dictionary, fields: list[str] | N
     summary = per_keyword.groupBy("field", "category").agg(   # at most one row per keyword in a group
         F.sort_array(F.collect_list(item)).alias("items"),
         F.max(F.when(F.col("keyword").isNull(), F.col("n"))).alias("matched_records"))
-    counted = _processed(df, fields)
+    counted = filled_counts(df, fields)
     return summary.join(F.broadcast(counted), "field").select(   # one row per field
         "field", "category", F.col("items.keyword").alias("found"), "matched_records",
         (F.col("matched_records") / F.col("total") * 100.0).alias("coverage_pct"),
-        F.col("items.example").alias("evidence"), "records_processed")
-
-
-def _processed(df: DataFrame, fields: list[str]) -> DataFrame:
-    """(field, total, records_processed) from one wide count."""
-    wide = df.agg(F.count(F.lit(1)).alias("total"),
-                  *[F.count(clean(df, f)).alias(f"__c{i}") for i, f in enumerate(fields)])
-    return wide.select("total", F.inline(F.array(*[
-        F.struct(F.lit(f).alias("field"), F.col(f"__c{i}").alias("records_processed"))
-        for i, f in enumerate(fields)])))
+        F.col("items.example").alias("evidence"), F.col("filled").alias("records_processed"))
 
 
 def split_by_category(summary: DataFrame, dictionary: Dictionary) -> dict[str, DataFrame]:

@@ -30,21 +30,21 @@ def regex(df: DataFrame, field: str, pattern: str) -> Column:
     return as_text(df, field).rlike("(?i)^(?:" + pattern + ")")
 
 
+# The comparisons use the bare column, so that they reach the scan. NaN, which counts as null,
+# is greater than every number in Spark and must be kept out of greater_than only.
+
+
 def in_range(df: DataFrame, field: str, low, high) -> Column:
-    return _number(df, field).between(low, high)
+    return quoted(field).between(low, high)
 
 
 def less_than(df: DataFrame, field: str, value) -> Column:
-    return _number(df, field) < value
+    return quoted(field) < value
 
 
 def greater_than(df: DataFrame, field: str, value) -> Column:
-    return _number(df, field) > value
-
-
-def _number(df: DataFrame, field: str) -> Column:
-    """NaN compares as null. Other types stay bare so the predicate reaches the scan."""
-    return clean(df, field) if dict(df.dtypes)[field] in ("float", "double") else quoted(field)
+    above = quoted(field) > value
+    return above & ~F.isnan(quoted(field)) if dict(df.dtypes)[field] in ("float", "double") else above
 
 
 _BUILDERS = {

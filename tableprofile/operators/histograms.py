@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tableprofile.functions.columns import as_double, pick_fields
 from tableprofile.operators.outliers import FENCE, column_stats
 from tableprofile.plans.quantiles import exact_quantiles
 
 
+def _finite(df: DataFrame, field: str) -> Column:
+    x = as_double(df, pick_fields(df, [field])[0])
+    return F.when(F.abs(x) < float("inf"), x)
+
+
 def nice_step(low: float, high: float, max_bins: int) -> float:
     """Smallest step of the form 1, 2 or 5 times a power of ten that needs at most max_bins bins."""
     if not high > low:
@@ -25,11 +30,11 @@ def nice_step(low: float, high: float, max_bins: int) -> float:
 
 
 def histogram(df: DataFrame, field: str, max_bins: int = 30) -> DataFrame:
-    """(bin_start, bin_end, count) of the occupied bins.
+    """(bin_start, bin_end, count) of the occupied bins; infinite values have none.
 
     Two scans of one column: bounds, then a count per bin that is combined map-side.
     """
-    x = as_double(df, pick_fields(df, [field])[0])
+    x = _finite(df, field)
     low, high = df.agg(F.min(x), F.max(x)).first()
     step = nice_step(low, high, max_bins) if low is not None else 1.0
     bins = df.select(F.floor(x / step).alias("bin")).where(F.col("bin").isNotNull()) \
@@ -55,8 +60,9 @@ def box_stats(df: DataFrame, field: str) -> DataFrame:
 def outlier_histogram(df: DataFrame, field: str, max_bins: int = 50) -> DataFrame:
     """(bin_start, bin_end, count, zscore_outliers): the distribution with its z-score outliers per bin."""
     s = column_stats(df, pick_fields(df, [field]))[0]
-    x = as_double(df, field)
-    step = nice_step(s.low, s.high, max_bins) if s.low is not None else 1.0
+    x = _finite(df, field)
+    low, high = df.agg(F.min(x), F.max(x)).first()
+    step = nice_step(low, high, max_bins) if low is not None else 1.0
     bins = df.select(F.floor(x / step).alias("bin"), s.is_zscore(x).alias("z")).where(F.col("bin").isNotNull()) \
              .groupBy("bin").agg(F.count(F.lit(1)).alias("count"), F.count(F.when(F.col("z"), 1)).alias("zscore_outliers"))
     return bins.select((F.col("bin") * step).alias("bin_start"), ((F.col("bin") + 1) * step).alias("bin_end"),

@@ -41,10 +41,10 @@ def _measures(df: DataFrame, fields: list[str], row_id: str | None) -> DataFrame
     parses = F.when(F.col("field").isin(texts), parse_date(v).isNotNull()).otherwise(False) if texts else F.lit(False)
     long = to_long(df, fields).select(
         "field", digest(v).alias("value"), F.length(v).alias("size"), parses.alias("parses"),
-        v.rlike(r"\p{L}").alias("letter"))
+        v.rlike(r"\p{L}").alias("letter"), (v == NULL_TEXT).alias("null_text"))
     per_value = long.groupBy("field", "value").agg(
         F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.max("parses").alias("parses"),
-        F.max("letter").alias("letter"))
+        F.max("letter").alias("letter"), F.max("null_text").alias("null_text"))
     filled = F.col("value").isNotNull()
     out = per_value.groupBy("field").agg(
         F.sum("n").alias("total"),
@@ -53,7 +53,7 @@ def _measures(df: DataFrame, fields: list[str], row_id: str | None) -> DataFrame
         F.sum(F.col("n") * F.col("size")).alias("chars"),
         F.coalesce(F.sum(F.when(F.col("parses"), F.col("n"))), F.lit(0)).alias("dates"),
         F.coalesce(F.bool_or("letter"), F.lit(False)).alias("letter"),
-        F.coalesce(F.bool_or(F.col("value") == NULL_TEXT), F.lit(False)).alias("null_text"))
+        F.coalesce(F.bool_or("null_text"), F.lit(False)).alias("null_text"))
     out = field_table(df, fields).join(F.broadcast(out), "field", "left")  # one row per field
     if texts:
         out = out.join(F.broadcast(_date_hints(df, texts, row_id)), "field", "left")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tableprofile.functions.columns import as_text
+from tableprofile.functions.columns import as_text, pick_fields
 from tableprofile.functions.shapes import known_format, trimmed, value_pattern
-from tableprofile.plans.longform import to_long
+from tableprofile.plans.longform import filled_counts, to_long
 
 
 def pattern_report(df: DataFrame, fields: list[str] | None = None, row_id: str | None = None) -> DataFrame:
@@ -20,10 +20,11 @@ def pattern_report(df: DataFrame, fields: list[str] | None = None, row_id: str |
     example = F.min_by("value", "row_id") if row_id else F.min("value")
     counts = long.withColumn("pattern", value_pattern(F.col("value"))).groupBy("field", "pattern").agg(
         F.count(F.lit(1)).alias("count"), example.alias("example"))
-    totals = counts.groupBy("field").agg(F.sum("count").alias("total"))
+    # counted apart: summing the counts would compute every pattern a second time
+    totals = filled_counts(df, pick_fields(df, fields))
     return counts.join(F.broadcast(totals), "field").select(  # one row per field
         "field", "pattern", "example", "count",
-        (F.col("count") / F.col("total") * 100.0).alias("confidence_pct"))
+        (F.col("count") / F.col("filled") * 100.0).alias("confidence_pct"))
 
 
 def top_pattern(df: DataFrame, fields: list[str] | None = None, row_id: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tableprofile.functions.columns import as_text, clean, pick_fields, quoted, type_labels
-from tableprofile.plans.longform import field_table, key_counts
+from tableprofile.plans.longform import field_table, filled_counts, key_counts
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -60,12 +60,7 @@ def field_summary(df: DataFrame, fields: list[str] | None = None, approx: bool =
 
 def coverage(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """(field, coverage_pct): a single wide aggregate, no distinct count."""
-    fields = pick_fields(df, fields)
-    wide = df.agg(F.count(F.lit(1)).alias("total"),
-                  *[F.count(clean(df, f)).alias(f"__c{i}") for i, f in enumerate(fields)])
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"__c{i}").alias("filled"))
-                      for i, f in enumerate(fields)])
-    return wide.select("total", F.inline(pairs)).select(
+    return filled_counts(df, pick_fields(df, fields)).select(
         "field", _share(F.col("filled"), F.col("total")).alias("coverage_pct"))
 
 

@@ -25,8 +25,9 @@ def to_long(df: DataFrame, fields: list[str] | None = None, row_id: str | None =
 
 
 def digest(value: Column) -> Column:
-    """A short stand-in for a value, equal exactly when the values are equal."""
-    return F.when(F.length(value) > DIGEST_ABOVE, F.concat(F.lit("\u0000"), F.sha2(value, 256))).otherwise(value)
+    """A short binary stand-in for a text, equal exactly when the texts are equal."""
+    return F.when(F.length(value) > DIGEST_ABOVE, F.concat(F.lit(b"\x00"), F.unhex(F.sha2(value, 256)))) \
+            .otherwise(value.cast("binary"))
 
 
 def value_counts(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
@@ -41,7 +42,7 @@ def value_counts(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
 def _typed_key(df: DataFrame, name: str) -> dict[str, Column]:
     """The value as a number where it is one, else as short text: cheaper to make, compare and
     shuffle than text. Exactly one of the three is set unless the value is null."""
-    slots = {"number": F.lit(None).cast("long"), "decimal": F.lit(None).cast("double"), "text": F.lit(None).cast("string")}
+    slots = {"number": F.lit(None).cast("long"), "decimal": F.lit(None).cast("double"), "text": F.lit(None).cast("binary")}
     dtype = df.schema[name].dataType
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         slots["number"] = quoted(name).cast("long")
@@ -73,6 +74,14 @@ def key_counts(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
                                            | F.col("text").isNotNull(), F.lit(False)).alias("filled"), "n")
 
 
+def filled_counts(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, total, filled): all rows and non-null values per field, from one wide count."""
+    wide = df.agg(F.count(F.lit(1)).alias("total"),
+                  *[F.count(clean(df, f)).alias(f"__c{i}") for i, f in enumerate(fields)])
+    return wide.select("total", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("field"), F.col(f"__c{i}").alias("filled")) for i, f in enumerate(fields)])))
+
+
 def field_table(df: DataFrame, fields: list[str]) -> DataFrame:
     """(pos, field, type), one row per field: lets empty tables report every field."""
     labels = type_labels(df)

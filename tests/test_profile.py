@@ -193,8 +193,37 @@ def test_histogram_steps():
     assert histograms.nice_step(5, 5, 30) == 1.0
 
 
+def test_histogram_without_infinity(spark):
+    df = spark.createDataFrame([(float("inf"),), (1.0,), (2.0,), (float("nan"),), (None,)], "x double")
+    assert sum(r["count"] for r in histograms.histogram(df, "x").collect()) == 2
+    assert sum(r["count"] for r in histograms.outlier_histogram(df, "x").collect()) == 2
+
+
 def test_word_counts(spark):
     df = spark.createDataFrame([("The cars' car; John's glass 42 été bus buses x",), ("Cars glass ÉTÉ",)], "t string")
     got = {r.word: r["count"] for r in words.word_counts(df, "t", ["the"]).collect()}
     # trailing apostrophes belong to the word; "bus" has no singular in the text
     assert got == {"cars'": 1, "car": 2, "john": 1, "glass": 2, "été": 2, "bus": 1, "buses": 1}
+
+
+def test_insights(spark):
+    from tableprofile.operators.insights import insights
+    df = spark.createDataFrame(
+        [(i, i % 7, "2024-01-05", "lorem ipsum dolor sit amet " * 3 + str(i % 3), "ab"[i % 2], i // 2) for i in range(20)],
+        "id int, n int, d string, t string, c string, k int")
+    got = insights(df, row_id="id", keys=["k"])
+    assert {f: (o.kind, sorted(o.tables)) for f, o in got.items()} == {
+        "id": ("unique", ["unique_values"]), "n": ("numeric", ["histogram", "top_values"]),
+        "d": ("datetime", ["dates", "trend_day", "trend_month", "trend_quarter", "trend_week", "trend_year"]),
+        "t": ("long_text", ["top_values", "top_values_per_key", "words"]),
+        "c": ("donut", ["chart", "top_values", "top_values_per_key"]), "k": ("numeric", ["histogram", "top_values"])}
+    assert {(r.value, r["count"]) for r in got["c"].tables["top_values_per_key"].collect()} == {("a", 10), ("Total", 10)}
+    assert got["d"].tables["trend_day"].first()["count"] == 20
+
+
+def test_filter_passes_the_spread(spark):
+    from tableprofile.workload import QUERIES
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = QUERIES["filter_and"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(l_returnflag,R)" in plan and "GreaterThan(l_extendedprice,60000.0)" in plan
+    assert "l_comment" not in plan and "l_shipdate" not in plan
