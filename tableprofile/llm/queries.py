@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tableprofile.llm import chat_format, language_id, licence_scan, mixing, quality_rules
 from tableprofile.llm.common import table
 from tableprofile.llm.token_counts import token_counts
 
@@ -28,3 +29,91 @@ def vocabulary(name: str) -> str:
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    given = given.unionByName(spark.sql(f"""
+        SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, '{hard}' AS text UNION ALL SELECT -7L, 1L, 'assistant', '{hard}'"""))
+    done = chat_format.format_conversations(given)
+    turns, loss = chat_format.parse(F.col("formatted")), chat_format.loss_text(F.col("formatted"), F.col("loss_spans"))
+    read = done.withColumn("turns", turns).withColumn("loss", loss)
+    joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licence_scan.scan(docs, licence_scan.fit(docs))
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: the declared language is the column lang, the host is the source."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs), declared=F.col("lang"), host=F.col("source"))
+
+
+@query
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: markup, address suffix and host, with the text model of the documents."""
+    html, host = F.col("html"), language_id.url_host(F.col("url"))
+    return language_id.identify(
+        table(spark, sf_dir, "pages"), language_id.fit(table(spark, sf_dir, "documents")), id="page_id", text=language_id.page_text(html),
+        declared=language_id.page_language(html), host=host, suffix=language_id.host_suffix(host))
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ratios = quality_rules.ratio_table(docs, quality_rules.trusted_sample(table(spark, sf_dir, "labels")))
+    return quality_rules.quality_rules(docs, ratios)
+
+
+@query
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"))
+
+
+_CONTROL = ", ".join(f"'{c}'" for c in chat_format.CONTROL)
+_PLAIN = "replace(replace(replace(replace({0}, '&#10;', chr(10)), '&#91;', '['), '&lt;', '<'), '&amp;', '&')"
+_ESCAPED = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), chr(10), '&#10;')"
+ORACLES["op1_chat_format"] = f"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (
+  SELECT *, contains(role, chr(10)) OR len([c FOR c IN [{_CONTROL}] IF contains(role || chr(10) || text, c)]) > 0
+    OR {_PLAIN.format("role")} <> role OR {_PLAIN.format("text")} <> text AS conflict FROM given),
+sized AS (
+  SELECT *, {len(chat_format.OPEN) + len(chat_format.CLOSE) + 1} + CASE WHEN conflict
+    THEN length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) ELSE length(role) + length(text) END AS chars FROM marked)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+ORACLES["op10_mix_sources"] = r"""
+WITH sizes AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+by_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
+ranked AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM by_source),
+filled AS (
+  SELECT a.source, ((SELECT sum(source_size) FROM ranked) - coalesce(sum(3 * b.source_size), 0))::DOUBLE
+      / ((SELECT sum(weight) FROM ranked) - coalesce(sum(b.weight), 0)) AS level, any_value(a.weight) AS weight, any_value(a.source_size) AS s
+  FROM ranked a LEFT JOIN ranked b ON 3 * b.source_size / b.weight < 3 * a.source_size / a.weight GROUP BY a.source),
+level AS (SELECT max(level) AS level FROM filled WHERE level * weight <= 3 * s),
+target AS (SELECT source, source_size, least(3 * source_size::DOUBLE, coalesce((SELECT level FROM level) * weight, 3 * source_size)) AS target FROM ranked),
+placed AS (
+  SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sizes)
+SELECT doc_id, size, source_size, target,
+  (size * len([c FOR c IN [0, 1, 2] IF 2 * (c * source_size + start) + size < 2 * target]))::BIGINT AS taken
+FROM placed JOIN target ON placed.source IS NOT DISTINCT FROM target.source"""
