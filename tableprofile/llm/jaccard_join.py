@@ -16,12 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tableprofile.llm.common import pick, small, written
-from tableprofile.llm.components import components, forest
+from tableprofile.llm.cluster_search import in_blocks, search
+from tableprofile.llm.components import components
 from tableprofile.llm.text_arrays import U, mix, row_windows, slices, words_of
 
 BLOCK_SHINGLES = 400_000   # elements of a block; a larger set is a block of its own
@@ -122,54 +122,25 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _linked(left: list[np.ndarray], right: list[np.ndarray], left_ids: np.ndarray, right_ids: np.ndarray,
-            known: dict[int, int], percent: int) -> list[tuple[int, int]]:
-    """Links between left and right sets that connect what was not connected (known: id -> component)."""
-    parent: dict[int, int] = {}
+def _intersections(percent: int):
+    """For `search`: rows of the right side that a set of the left side is linked to."""
+    def prepare(right: list[bytes]):
+        sets = [np.frombuffer(r, np.uint64) for r in right]
+        size = np.array([len(r) for r in sets])
+        values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(values, kind="stable")
+        values, owners = values[order], owners[order]
 
-    def root(x: int) -> int:
-        x = known.get(x, x)
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    size = np.array([len(r) for r in right])
-    values, owners = np.concatenate(right), np.repeat(np.arange(len(right)), size)
-    order = np.argsort(values, kind="stable")
-    values, owners = values[order], owners[order]
-    out = []
-    roots = np.array([root(int(i)) for i in right_ids])
-    for ident, one in zip(left_ids.tolist(), left):
-        mine = root(ident)
-        if (roots == mine).all():
-            continue
-        lo, hi = np.searchsorted(values, one, "left"), np.searchsorted(values, one, "right")
-        n = hi - lo
-        lo, n = lo[n > 0], n[n > 0]
-        where = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        common = np.bincount(owners[where], minlength=len(right))
-        hit = np.flatnonzero((100 * common >= percent * (size + len(one) - common)) & (roots != mine))
-        for other in np.unique(roots[hit]).tolist():
-            target = int(right_ids[hit[roots[hit] == other][0]])
-            out.append((ident, target))
-            a, b = root(ident), root(target)
-            parent[max(a, b)] = min(a, b)
-        if len(hit):
-            roots = np.array([root(int(r)) for r in roots])
-    return out
-
-
-def _search(percent: int):
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        known = {int(a): int(b) for a, b in zip(rows.node, rows.component)}
-        sides = []
-        for side in (rows[rows.asks], rows[~rows.asks | rows.answers]):
-            sides.append(([np.frombuffer(b, np.uint64) for b in side.elements], side.node.to_numpy()))
-        if not len(sides[0][1]) or not len(sides[1][1]):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        found = _linked(sides[0][0], sides[1][0], sides[0][1], sides[1][1], known, percent)
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-    return search
+        def partners(payload: bytes, open_: np.ndarray) -> np.ndarray:
+            one = np.frombuffer(payload, np.uint64)
+            lo, hi = np.searchsorted(values, one, "left"), np.searchsorted(values, one, "right")
+            n = hi - lo
+            lo, n = lo[n > 0], n[n > 0]
+            where = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(owners[where], minlength=len(sets))
+            return np.flatnonzero((100 * common >= percent * (size + len(one) - common)) & open_)
+        return partners
+    return prepare
 
 
 def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85,
@@ -220,48 +191,18 @@ def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", n:
                 cut = np.searchsorted(row, np.arange(end - first + 1))
                 keep = np.flatnonzero(node == batch.column("node").slice(first, end - first).to_numpy())    # an id may have other texts
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[keep]), pa.array([h[cut[i]:cut[i + 1]].tobytes() for i in keep], pa.binary())], names=["node", "elements"])
+                    [pa.array(node[keep]), pa.array([h[cut[i]:cut[i + 1]].tobytes() for i in keep], pa.binary())], names=["node", "payload"])
 
     docs = written(rows.mapInArrow(hashes, "id long, n_shingles long, node long"))
     sig = rows.select("text").mapInArrow(signed, "sig long, node long")
     stars = sig.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "a long, b long")
     clusters = components(stars)
-    nodes = docs.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"))
-    nodes = clusters.withColumnRenamed("component", "cluster").join(nodes, "node")
-    in_order = Window.partitionBy("cluster").orderBy("n", "node")
-    nodes = nodes.withColumn("before", F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    nodes = written(nodes.withColumn("block", F.floor(F.col("before") / block_shingles)).where("id IS NOT NULL"))
+    nodes = docs.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n")).where("id IS NOT NULL")
+    nodes = in_blocks(clusters, nodes, block_shingles)
     wanted = small(nodes.select("id", "node"), F.lit(16))
-    held = written(rows.join(wanted, "id").select("text", "node").mapInArrow(elements, "node long, elements binary")
-                   .groupBy("node").agg(F.first("elements").alias("elements"))).join(nodes.drop("id", "before"), "node")
-
-    blocks = nodes.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    pivots = nodes.groupBy("cluster", "block").agg(F.min_by("node", F.struct("before", "node")).alias("node"))
-    several = written(blocks.groupBy("cluster").agg(F.count("*").alias("n_blocks")).where("n_blocks > 1"))
-
-    # each block in itself, and the first set of the other blocks of its cluster against it
-    member = held.select("cluster", "block", "node", "elements", F.lit(True).alias("asks"), F.lit(True).alias("answers"), F.col("node").alias("component"))
-    pivot = held.join(pivots.join(several, "cluster").select("node"), "node", "left_semi").select("cluster", "node", "elements", "n", F.col("block").alias("own"))
-    visiting = pivot.join(blocks, "cluster").where(f"own <> block AND 100 * high >= {percent} * n AND 100 * n >= {percent} * low").select(
-        "cluster", "block", "node", "elements", F.lit(True).alias("asks"), F.lit(False).alias("answers"), F.col("node").alias("component"))
-    inner = written(member.union(visiting).groupBy("cluster", "block").applyInPandas(_search(percent), "a long, b long"))
-    links = inner
-    if several.limit(1).count():
-        # what is not in the largest part of its cluster, against all blocks
-        found = held.join(several, "cluster", "left_semi").join(components(inner).withColumnRenamed("node", "v"), F.col("node") == F.col("v"), "left").withColumn(
-            "component", F.coalesce("component", "node")).drop("v")
-        parts = found.groupBy("cluster", "component").agg(F.count("*").alias("rows"))
-        largest = parts.groupBy("cluster").agg(F.max_by("component", F.struct("rows", "component")).alias("largest"))
-        rest = found.join(largest, "cluster").where("component <> largest")
-        before = F.sum("n").over(Window.partitionBy("cluster").orderBy("n", "node"))
-        place = rest.select("cluster", "node", F.floor((before - F.col("n")) / block_shingles).alias("chunk"))
-        rest = rest.join(place.select("node", "chunk"), "node")
-        chunks = rest.groupBy("cluster", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        tasks = blocks.join(chunks, "cluster").where(f"100 * high >= {percent} * least AND 100 * most >= {percent} * low").select("cluster", "block", "chunk")
-        full = found.join(tasks, ["cluster", "block"]).select("cluster", "block", "chunk", "node", "elements", F.lit(False).alias("asks"), F.lit(False).alias("answers"), "component")
-        asking = rest.drop("block").join(tasks, ["cluster", "chunk"]).select("cluster", "block", "chunk", "node", "elements", F.lit(True).alias("asks"), F.lit(False).alias("answers"), "component")
-        links = inner.union(full.union(asking).groupBy("cluster", "block", "chunk").applyInPandas(_search(percent), "a long, b long"))
-    of = components(links)
+    held = written(rows.join(wanted, "id").select("text", "node").mapInArrow(elements, "node long, payload binary")
+                   .groupBy("node").agg(F.first("payload").alias("payload")))
+    of = components(search(nodes, held, percent, block_shingles, _intersections(percent)))
     joined = docs.join(of.withColumnRenamed("node", "v"), docs["node"] == F.col("v"), "left").withColumn(
         "part", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     smallest = joined.where("part IS NOT NULL").groupBy("part").agg(F.min("id").alias("component_id"))
