@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableprofile.llm import chat_format, decontamination, jaccard_join, language_id, licence_scan, line_dedup, mixing, quality_rules
+from tableprofile.llm import chat_format, decontamination, jaccard_join, language_id, licence_scan, line_dedup, mixing, quality_rules, suffix_dedup
 from tableprofile.llm.common import table
 from tableprofile.llm.token_counts import token_counts
 
@@ -157,3 +157,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_removed", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("kept_chars"),
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup_strings(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
