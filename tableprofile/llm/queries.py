@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from tableprofile.llm import chat_format, decontamination, jaccard_join, language_id, licence_scan, line_dedup, mixing, quality_rules, suffix_dedup
 from tableprofile.llm.common import table
 from tableprofile.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {}
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 
