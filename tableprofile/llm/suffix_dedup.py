@@ -24,8 +24,8 @@ from tableprofile.llm.text_arrays import U, mix, range_hashes, slices
 
 LENGTH = 100
 GRAM = 32
-PIECE = 1 << 22            # bytes whose anchors are found at once
 SLICE = 1 << 20
+PIECE = 4 * SLICE          # bytes whose anchors are found at once: no slice of several texts is longer
 _FACTORS = np.random.default_rng(7).integers(1, 2 ** 63, 8, dtype=np.uint64) * U(2) + U(1)
 _BYTES = np.random.default_rng(8).integers(1, 2 ** 63, 256, dtype=np.uint64)
 
