@@ -35,12 +35,13 @@ class Parts:
 @pytest.mark.parametrize("links", [
     [], [(1, 1)], [(None, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 200)],
     [(random.Random(3).randrange(i + 1), i) for i in range(100)]], ids=["none", "loop", "null", "path", "star", "tree"])
-def test_components(spark, links):
+@pytest.mark.parametrize("part", [250_000, 7])
+def test_components(spark, links, part):
     brute = Parts()
     for a, b in links:
         if a is not None and a != b:
             brute.join(a, b)
-    found = components(spark.createDataFrame(links, "a long, b long"))
+    found = components(spark.createDataFrame(links, "a long, b long"), part_links=part)
     assert {r.node: r.component for r in found.collect()} == {x: brute.root(x) for x in brute.up}
 
 
