@@ -6,8 +6,15 @@ from pyspark.sql import Column, functions as F
 
 # A text is tried against the formats of the first shape it fits, in order.
 ISO_SHAPE = r"^\d{4}(-\d{1,2}(-\d{1,2}([T ]\d.*)?)?)?$"
+WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +(?=.*\d)"
 TEXT_FORMATS = [
+    (r"(?i)^\d{1,2}/\d{1,2}/\d{4} \d.* [ap]m$", ["M/d/yyyy h:mm[:ss] a", "d/M/yyyy h:mm[:ss] a"]),
     (r"^\d{1,2}/\d{1,2}/\d{4}( \d.*)?$", ["M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]"]),
+    (r"(?i)^\d{1,2}/\d{1,2}/\d{2} \d.* [ap]m$", ["M/d/yy h:mm[:ss] a", "d/M/yy h:mm[:ss] a"]),
+    (r"^\d{1,2}/\d{1,2}/\d{2}( \d.*)?$", ["M/d/yy[ H:mm[:ss]]", "d/M/yy[ H:mm[:ss]]"]),
+    (r"^\d{1,2}-\d{1,2}-\d{4}( \d.*)?$", ["M-d-yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]"]),
+    (r"^\d{4}\.\d{1,2}\.\d{1,2}( \d.*)?$", ["yyyy.M.d[ H:mm[:ss]]"]),
+    (r"^[A-Za-z]{3,9} \d{1,2} \d{4}$", ["MMM d yyyy", "MMMM d yyyy"]),
     (r"^\d{4}/\d{1,2}/\d{1,2}( \d.*)?$", ["yyyy/M/d[ H:mm[:ss]]"]),
     (r"^\d{8}$", ["yyyyMMdd"]),
     (r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$", ["MMM d, yyyy", "MMMM d, yyyy"]),
@@ -22,13 +29,21 @@ def parse_date(value: Column) -> Column:
     """Timestamp of a date text, else null. Text without a date part (12:30) is no date.
 
     A failing parser is far dearer than a failing regex, so each format runs only on text
-    of its shape, and text that is too long to be a date meets neither.
+    of its shape. A weekday before the date is dropped. Years of two digits lie within fifty
+    years of today.
     """
-    v = F.trim(value)
+    v = F.regexp_replace(F.trim(value), WEEKDAY, "")
     parsed = F.when(v.rlike(ISO_SHAPE), F.try_to_timestamp(v))
     for shape, formats in TEXT_FORMATS:
-        parsed = parsed.when(v.rlike(shape), F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in formats]))
-    return F.when(F.length(value).between(4, 40) & value.rlike(r"\d"), parsed)
+        parsed = parsed.when(v.rlike(shape), F.coalesce(*[_parsed(v, f) for f in formats]))
+    return F.when(value.rlike(r"\d"), parsed)
+
+
+def _parsed(v: Column, pattern: str) -> Column:
+    found = F.try_to_timestamp(v, F.lit(pattern))
+    if "yyyy" in pattern:
+        return found
+    return F.when(F.year(found) - F.year(F.current_date()) >= 50, found - F.expr("INTERVAL 100 YEAR")).otherwise(found)
 
 
 def has_date_hint(value: Column) -> Column:

@@ -73,11 +73,9 @@ def _sample_pool(f: Features, trees: int, size: int, seed: int) -> np.ndarray:
     whatever the size of the table; a lost partition yields the same rows again.
     """
     wanted = trees * size
-    pool = f.rows
-    if f.count > 2 * wanted:
-        share = 1.3 * wanted / f.count
-        bucket = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(1 << 40))
-        pool = pool.where(bucket < int(share * (1 << 40)))
+    share = min(1.0, 1.3 * wanted / max(1, f.count))
+    bucket = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(1 << 40))
+    pool = f.rows.where(bucket < int(share * (1 << 40)))
     data = pool.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").select(*f.columns).toPandas()
     return data.to_numpy(dtype=float)
 
@@ -108,5 +106,5 @@ def isolation_scores(f: Features, seed: int = 42, trees: int = TREES, size: int
 def isolation_outliers(f: Features, seed: int = 42) -> DataFrame:
     """(row_id): rows whose score lies strictly below the 10th percentile."""
     scored = cut(isolation_scores(f, seed).select("row_id", "score"))
-    limit = exact_quantiles(scored, {"score": F.col("score")}, [CONTAMINATION], f.count)["score"][0]
+    limit = exact_quantiles(scored, {"score": F.col("score")}, [CONTAMINATION])["score"][0]
     return scored.where(F.col("score") < limit).select("row_id")

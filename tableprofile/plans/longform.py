@@ -52,6 +52,10 @@ def _typed_key(df: DataFrame, name: str) -> dict[str, Column]:
         slots["number"] = F.unix_date(quoted(name)).cast("long")
     elif isinstance(dtype, T.TimestampType):
         slots["number"] = F.unix_micros(quoted(name))
+    elif isinstance(dtype, T.TimestampNTZType):     # by its parts: a cast would pass through the session's time zone
+        at = quoted(name)
+        slots["number"] = F.unix_date(at.cast("date")).cast("long") * 86_400_000_000 + (
+            (F.hour(at) * 60 + F.minute(at)).cast("long") * 60_000_000 + (F.date_part(F.lit("SECOND"), at) * 1_000_000).cast("long"))
     elif isinstance(dtype, (T.FloatType, T.DoubleType)):
         slots["decimal"] = clean(df, name).cast("double")
     else:

@@ -13,8 +13,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Spark's `percentile` is used for tables of at most so many rows.
-DIRECT_ROWS = 200_000
 # A bracket with at most this many distinct values is ranked directly.
 RANK_DISTINCT = 100_000
 _ACCURACY = 10_000
@@ -44,20 +42,14 @@ class _Target:
         return F.when(cond, self.column)
 
 
-def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float], total: int | None = None,
-                    direct_rows: int = DIRECT_ROWS, rank_distinct: int = RANK_DISTINCT,
-                    ) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float],
+                    rank_distinct: int = RANK_DISTINCT) -> dict[str, list[float | None]]:
     """{name: [quantile per prob]} for numeric columns; nulls are ignored.
 
-    Runs a few jobs; a handful of numbers per column reach the driver. `total` is the number
-    of rows where the caller knows it.
+    Runs a few jobs; a handful of numbers per column reach the driver.
     """
     names = list(columns)
     cols = {n: columns[n].cast("double") for n in names}
-    if (df.count() if total is None else total) <= direct_rows:
-        r = df.agg(*[F.percentile(cols[n], list(probs)).alias(f"q{i}") for i, n in enumerate(names)]).first()
-        return {n: [None] * len(probs) if r[i] is None else list(r[i]) for i, n in enumerate(names)}
-
     first = df.agg(*[F.count(cols[n]).alias(f"n{i}") for i, n in enumerate(names)],
                    *[_distinct(cols[n]).alias(f"d{i}") for i, n in enumerate(names)]).first()
     n_of = {n: first[f"n{i}"] for i, n in enumerate(names)}
@@ -94,37 +86,48 @@ def _narrow(df: DataFrame, targets: list[_Target]) -> None:
     A rank that falls on an end of the sketched bracket is settled; otherwise the bracket
     becomes the open interval between the ends, which is strictly smaller than before.
     """
-    sketches = []
-    for i, t in enumerate(targets):
-        p = (t.rank - t.below) / max(1, t.inside_rows - 1)
-        ends = [max(0.0, p - _SLACK), min(1.0, p + _SLACK)]
-        sketches.append(F.percentile_approx(t.inside(), ends, _ACCURACY).alias(f"q{i}"))
-    ends = df.agg(*sketches).first()
+    brackets: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        brackets.setdefault((t.name, t.low, t.high), []).append(t)
+    wanted, sketches = [], []
+    for b, ts in enumerate(brackets.values()):       # one sketch of a column and bracket, for all its ranks
+        shares = [(t.rank - t.below) / max(1, t.inside_rows - 1) for t in ts]
+        wanted.append(sorted({e for p in shares for e in (max(0.0, p - _SLACK), min(1.0, p + _SLACK))}))
+        sketches.append(F.percentile_approx(ts[0].inside(), wanted[b], _ACCURACY).alias(f"q{b}"))
+    found = df.agg(*sketches).first()
+    ends: dict[int, tuple[float, float]] = {}
+    for b, ts in enumerate(brackets.values()):
+        value = dict(zip(wanted[b], found[f"q{b}"]))
+        for t in ts:
+            p = (t.rank - t.below) / max(1, t.inside_rows - 1)
+            ends[id(t)] = value[max(0.0, p - _SLACK)], value[min(1.0, p + _SLACK)]
 
+    # each end and each interval is counted once, however many ranks share it
+    values = {(t.name, v): t.column for t in targets for v in ends[id(t)]}
+    intervals = {(t.name, *ends[id(t)]): t.column for t in targets}
     counts = []
-    for i, t in enumerate(targets):
-        low, high = ends[f"q{i}"]
-        between = F.when((t.column > low) & (t.column < high), t.column)
-        counts += [F.count(F.when(t.column < low, 1)).alias(f"lt_low{i}"),
-                   F.count(F.when(t.column <= low, 1)).alias(f"le_low{i}"),
-                   F.count(F.when(t.column < high, 1)).alias(f"lt_high{i}"),
-                   F.count(F.when(t.column <= high, 1)).alias(f"le_high{i}"),
-                   _distinct(between).alias(f"d{i}")]
+    for i, ((_, v), column) in enumerate(values.items()):
+        counts += [F.count(F.when(column < v, 1)).alias(f"lt{i}"), F.count(F.when(column <= v, 1)).alias(f"le{i}")]
+    for i, ((_, low, high), column) in enumerate(intervals.items()):
+        counts.append(_distinct(F.when((column > low) & (column < high), column)).alias(f"d{i}"))
     seen = df.agg(*counts).first()
-    for i, t in enumerate(targets):
-        low, high = ends[f"q{i}"]
-        if seen[f"lt_low{i}"] <= t.rank < seen[f"le_low{i}"]:
+    place, between = {k: i for i, k in enumerate(values)}, {k: i for i, k in enumerate(intervals)}
+    for t in targets:
+        low, high = ends[id(t)]
+        lt_low, le_low = (seen[f"{x}{place[t.name, low]}"] for x in ("lt", "le"))
+        lt_high, le_high = (seen[f"{x}{place[t.name, high]}"] for x in ("lt", "le"))
+        if lt_low <= t.rank < le_low:
             t.value = low
-        elif seen[f"lt_high{i}"] <= t.rank < seen[f"le_high{i}"]:
+        elif lt_high <= t.rank < le_high:
             t.value = high
-        elif t.rank < seen[f"lt_low{i}"]:          # left of the sketch: keep what is below it
-            t.high, t.inside_rows = low, seen[f"lt_low{i}"] - t.below
-        elif t.rank >= seen[f"le_high{i}"]:        # right of the sketch
-            t.inside_rows -= seen[f"le_high{i}"] - t.below
-            t.low, t.below = high, seen[f"le_high{i}"]
+        elif t.rank < lt_low:          # left of the sketch: keep what is below it
+            t.high, t.inside_rows = low, lt_low - t.below
+        elif t.rank >= le_high:        # right of the sketch
+            t.inside_rows -= le_high - t.below
+            t.low, t.below = high, le_high
         else:
-            t.low, t.high, t.below = low, high, seen[f"le_low{i}"]
-            t.inside_rows, t.distinct = seen[f"lt_high{i}"] - t.below, seen[f"d{i}"]
+            t.low, t.high, t.below = low, high, le_low
+            t.inside_rows, t.distinct = lt_high - t.below, seen[f"d{between[t.name, low, high]}"]
 
 
 def _rank(df: DataFrame, targets: list[_Target]) -> None:

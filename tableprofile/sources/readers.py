@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tableprofile.functions.columns import quoted
 from tableprofile.sources.nested import flatten
-from tableprofile.sources.spread import spread
 
 # Texts that stand for a missing value in CSV files.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -18,13 +17,22 @@ _FLOAT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|Inf|infinity|Infinity)
 _TRUE, _FALSE = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def _breaks_in_quotes(spark: SparkSession, path: str) -> bool:
+    """Is a quote left open at the end of some line? One scan, line by line; one flag returns."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """CSV with a header row; a column becomes int, float or bool if all its values fit.
 
     Everything is read as text and the types are voted on by one aggregate, because Spark's own
     inference would turn date texts into dates and take NA for text. multi_line allows line
-    breaks inside quotes, at the price of one task per file.
+    breaks inside quotes, at the price of one task per file; by default a scan looks for a quote
+    that is open at the end of a line.
     """
+    if multi_line is None:
+        multi_line = _breaks_in_quotes(spark, path)
     raw = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     text = raw.select(*[F.when(~quoted(c).isin(NA_TOKENS), quoted(c)).alias(c) for c in raw.columns])
     votes = []
@@ -50,7 +58,7 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
         else:
             out = v
         typed.append(out.alias(c))
-    return spread(text.select(*typed))
+    return text.select(*typed)
 
 
 def _is_json_lines(spark: SparkSession, path: str) -> bool:
@@ -68,7 +76,7 @@ def read_json(spark: SparkSession, path: str, lines: bool | None = None) -> Data
     """
     if lines is None:
         lines = _is_json_lines(spark, path)
-    return spread(flatten(spark.read.option("multiLine", not lines).json(path)))
+    return flatten(spark.read.option("multiLine", not lines).json(path))
 
 
 def _xml(spark: SparkSession, tag: str):
@@ -117,7 +125,7 @@ def read_xml(spark: SparkSession, path: str, row_tags: list[str] | None = None)
     out = _xml_rows(spark, path, tags[0])
     for tag in tags[1:]:
         out = out.unionByName(_xml_rows(spark, path, tag), allowMissingColumns=True)
-    return spread(out)
+    return out
 
 
 def read_sql(spark: SparkSession, query: str) -> DataFrame:
@@ -135,5 +143,5 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     if suffix == "xml":
         return read_xml(spark, path)
     if suffix == "parquet":
-        return spread(spark.read.parquet(path))
+        return spark.read.parquet(path)
     raise ValueError(f"unsupported file type: {path}")

@@ -34,8 +34,7 @@ def cloud_features(spark, cloud):
     return features.features(frame(spark, cloud), "id")
 
 
-@pytest.mark.parametrize("direct", [10 ** 6, 0])
-def test_quantiles(spark, direct):
+def test_quantiles(spark):
     rng = np.random.default_rng(1)
     data = {"u": rng.uniform(size=5000), "n": rng.normal(size=5000), "d": rng.integers(0, 5, 5000).astype(float),
             "heavy": np.where(rng.uniform(size=5000) < 0.9, 7.0, rng.uniform(size=5000)),
@@ -43,17 +42,16 @@ def test_quantiles(spark, direct):
     df = spark.createDataFrame(pd.DataFrame(data)).repartition(4)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     for distinct in (100_000, 50):
-        got = exact_quantiles(df, {c: F.col(c) for c in data}, probs, direct_rows=direct, rank_distinct=distinct)
+        got = exact_quantiles(df, {c: F.col(c) for c in data}, probs, rank_distinct=distinct)
         for c, v in data.items():
             assert np.allclose(got[c], np.quantile(v, probs), rtol=1e-12, atol=1e-12), c
     nothing = df.where("u > 2")
-    assert exact_quantiles(nothing, {"u": F.col("u")}, [0.5], direct_rows=direct) == {"u": [None]}
+    assert exact_quantiles(nothing, {"u": F.col("u")}, [0.5]) == {"u": [None]}
 
 
 def test_quantiles_ignore_nulls_and_extremes(spark):
     df = spark.createDataFrame([(None,), (1.0,), (2.0,), (1e300,), (-1e300,)], "x double")
-    for direct in (0, 100):
-        assert exact_quantiles(df, {"x": F.col("x")}, [0.5], direct_rows=direct, rank_distinct=1)["x"] == [1.5]
+    assert exact_quantiles(df, {"x": F.col("x")}, [0.5], rank_distinct=1)["x"] == [1.5]
 
 
 def test_single_column_outliers(spark):

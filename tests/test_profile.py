@@ -152,6 +152,22 @@ def test_date_parsing(spark):
     assert got == DATES
 
 
+def test_everyday_date_texts(spark):
+    from tableprofile.functions.dates import parse_date
+    want = {"1/25/24": "2024-01-25 00:00", "01/25/2024 10:30 AM": "2024-01-25 10:30", "1/25/2024 9:05:06 pm": "2024-01-25 21:05",
+            "Jan 5 2024": "2024-01-05 00:00", "2024.01.05": "2024-01-05 00:00", "25-01-2024": "2024-01-25 00:00", "01-25-2024": "2024-01-25 00:00",
+            "Fri, 05 Jan 2024": "2024-01-05 00:00", "Friday Jan 5, 2024": "2024-01-05 00:00", "5-Jan-99": "1999-01-05 00:00", " " * 40 + "2024-01-05": "2024-01-05 00:00",
+            "1/25/24x": None, "13-13-2024": None, "Fri": None, "12:30 AM": None}
+    df = spark.createDataFrame([(v,) for v in want], "v string")
+    assert {r.v: r.d for r in df.select("v", F.date_format(parse_date(F.col("v")), "yyyy-MM-dd HH:mm").alias("d")).collect()} == want
+
+
+def test_distinct_times_without_zone(spark):
+    from tableprofile.operators.summary import field_summary
+    df = spark.sql("SELECT timestamp_ntz'2024-03-31 02:30:00.000001' + make_dt_interval(0, 0, 0, id % 7) AS t FROM range(100)")
+    assert field_summary(df).first().distinct_values == 7
+
+
 def test_date_share_threshold(spark):
     def frame(good):
         return spark.createDataFrame([(i, "2024-01-05" if i < good else "x") for i in range(100)], "id int, v string")
@@ -221,7 +237,7 @@ def test_insights(spark):
     assert got["d"].tables["trend_day"].first()["count"] == 20
 
 
-def test_filter_passes_the_spread(spark):
+def test_filter_reaches_the_scan(spark):
     from tableprofile.workload import QUERIES
     spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     plan = QUERIES["filter_and"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

@@ -89,3 +89,17 @@ def test_session_round_trip(spark, tmp_path, rows):
     assert path.endswith("t_20240102_030405")
     table, restored = restore_session(spark, path)
     assert restored == session and rows(table) == rows(df)
+
+
+def test_csv_line_breaks_in_quotes(spark, tmp_path):
+    path = tmp_path / "breaks.csv"
+    path.write_text('id,note\n1,"first line\nsecond ""line"""\n2,plain\n')
+    assert [tuple(r) for r in read_any(spark, str(path)).orderBy("id").collect()] == [(1, 'first line\nsecond "line"'), (2, "plain")]
+
+
+def test_reading_keeps_partitions_even(spark):
+    """A constant first column doesn't draw the rows into one partition."""
+    df = spark.createDataFrame([(1, i) for i in range(1000)], "k int, v int").repartition(4)
+    from tableprofile.operators.filters import apply_filters
+    sizes = [len(p) for p in apply_filters(df, {}).rdd.glom().collect()]
+    assert max(sizes) < 2 * min(sizes)
