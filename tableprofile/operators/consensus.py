@@ -1,8 +1,8 @@
-"""The four multi-column methods together."""
+"""The four multi-column methods together, or any other methods that flag rows."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -24,21 +24,23 @@ METHODS = {
 
 @dataclass
 class Detection:
-    """Features and the flagged rows as (row_id, method)."""
+    """Features, the flagged rows as (row_id, method), and the names of all methods in order."""
 
     features: Features
     flagged: DataFrame
-
-    @property
-    def methods(self) -> list[str]:
-        return list(METHODS)
+    methods: list[str] = field(default_factory=lambda: list(METHODS))
 
 
 def detect(df: DataFrame, row_id: str, columns: list[str] | None = None) -> Detection:
     """Run all four methods on the same rows and keep who flagged what."""
     f = features(df, row_id, columns)
-    tagged = [run(f).withColumn("method", F.lit(name)) for name, run in METHODS.items()]
-    return Detection(f, cut(reduce(DataFrame.unionByName, tagged)))
+    return combine(f, {name: run(f) for name, run in METHODS.items()})
+
+
+def combine(f: Features, found: dict[str, DataFrame]) -> Detection:
+    """A Detection from the flagged rows (row_id) of each method."""
+    tagged = [rows.select("row_id").withColumn("method", F.lit(name)) for name, rows in found.items()]
+    return Detection(f, cut(reduce(DataFrame.unionByName, tagged)), list(found))
 
 
 def _method_table(d: Detection) -> DataFrame:

@@ -299,6 +299,29 @@ ORACLES["outlier_flags"] = f"""
     SELECT "column", std_dev > mean AS high_variability, iqr > mean AS wide_spread
     FROM ({_outlier_summary("events", _EVENT_FIELDS, None)}) WHERE zscore_outliers > 0 OR iqr_outliers > 0"""
 
+_FLAGGED = f"""flagged AS (
+    SELECT event_id AS row_id, 'Z-score' AS method FROM ({ORACLES["outlier_rows_zscore"]})
+    UNION ALL SELECT event_id, 'IQR' FROM ({ORACLES["outlier_rows_iqr"]}))"""
+_FOUND = f"""WITH {_FLAGGED}, found AS (
+    SELECT m.method, pos, count(f.row_id) AS outliers_found, count(f.row_id) / (SELECT count(*) FROM events) * 100.0 AS outlier_pct
+    FROM (VALUES ('Z-score', 0), ('IQR', 1)) AS m(method, pos) LEFT JOIN flagged f ON f.method = m.method GROUP BY m.method, pos)"""
+ORACLES["method_summary_value"] = f"{_FOUND} SELECT method, outliers_found, outlier_pct FROM found"
+ORACLES["consensus_value"] = f"""
+    WITH {_FLAGGED} SELECT row_id FROM flagged GROUP BY row_id HAVING count(DISTINCT method) = 2"""
+ORACLES["method_ranking_value"] = f"""{_FOUND}
+    SELECT CAST(sum(outliers_found) AS BIGINT) AS total_flags, sum(outliers_found) / (SELECT count(*) FROM events) * 100.0 AS total_pct,
+           first(method ORDER BY outliers_found DESC, pos) AS most, first(method ORDER BY outliers_found, pos) AS fewest,
+           sum(outliers_found) / (SELECT count(*) FROM events) > 0.1 AS high FROM found"""
+ORACLES["labelled_points_value"] = f"""
+    WITH {_FLAGGED} SELECT event_id AS row_id, m.method, f.row_id IS NOT NULL AS is_outlier, CAST(user_id AS DOUBLE) AS user_id, value
+    FROM events, (VALUES ('Z-score'), ('IQR')) AS m(method) LEFT JOIN flagged f ON f.row_id = event_id AND f.method = m.method"""
+ORACLES["all_outliers_value"] = f"""
+    WITH {_FLAGGED} SELECT row_id, method, CAST(user_id AS DOUBLE) AS user_id, value FROM flagged JOIN events ON event_id = row_id"""
+ORACLES["iforest_far"] = "SELECT count(*) + 5 AS rows, true AS share_holds, true AS far_found FROM customer"
+ORACLES["kmeans_share"] = "SELECT count(*) AS rows, true AS share_holds FROM customer"
+ORACLES["best_k_range"] = "SELECT CAST(9 AS BIGINT) AS tried, true AS one_best, true AS best_is_highest"
+ORACLES["field_summary_estimate"] = "SELECT column_name AS field, true AS close FROM (DESCRIBE SELECT * FROM lineitem)"
+
 # --- multi-column outliers ----------------------------------------------------------------
 
 

@@ -189,6 +189,53 @@ query("labelled_points", "supplier")(lambda df: consensus.labelled_points(_suppl
 query("all_outliers", "supplier")(lambda df: consensus.all_outliers(_supplier(df)))
 
 
+def _by_value(df: DataFrame) -> consensus.Detection:
+    """Methods that agree with SQL to the row: z-score and IQR of the event value."""
+    found = {name: outliers.outlier_rows(df, "value", how, "event_id").withColumnRenamed("event_id", "row_id")
+             for name, how in (("Z-score", "zscore"), ("IQR", "iqr"))}
+    return consensus.combine(features.features(df, "event_id", ["user_id", "value"]), found)
+
+
+query("method_summary_value", "events")(lambda df: consensus.method_summary(_by_value(df)))
+query("consensus_value", "events")(lambda df: consensus.consensus(_by_value(df)))
+query("method_ranking_value", "events")(lambda df: consensus.method_ranking(_by_value(df)))
+query("labelled_points_value", "events")(lambda df: consensus.labelled_points(_by_value(df)))
+query("all_outliers_value", "events")(lambda df: consensus.all_outliers(_by_value(df)))
+
+
+def _with_far(df: DataFrame) -> DataFrame:
+    """Customers, and five more whose balance and nation lie far from all others."""
+    far = df.where("c_custkey BETWEEN 1 AND 5").select((-F.col("c_custkey")).alias("c_custkey"), (F.col("c_nationkey") + 500).alias("c_nationkey"),
+                                            (F.abs("c_acctbal") * 40 + 300_000).alias("c_acctbal"))
+    return df.select("c_custkey", "c_nationkey", "c_acctbal").union(far)
+
+
+def _far_check(flagged: DataFrame, rows: int) -> DataFrame:
+    """(rows, share_holds: at most a tenth and one row, far_found: all five far rows)."""
+    return flagged.agg(F.lit(rows).cast("long").alias("rows"), (F.count("*") <= 0.1 * rows + 1).alias("share_holds"),
+                       (F.count(F.when(F.col("row_id").cast("long") < 0, 1)) == 5).alias("far_found"))
+
+
+def _far(df: DataFrame, method: Callable) -> DataFrame:
+    f = features.features(_with_far(df), "c_custkey", ["c_nationkey", "c_acctbal"])
+    return _far_check(method(f), f.count)
+
+
+query("iforest_far", "customer")(lambda df: _far(df, isolation_forest.isolation_outliers))
+query("best_k_range", "customer")(lambda df: kmeans.best_k(_customer(df)).agg(
+    F.count("*").alias("tried"), (F.count(F.when(F.col("best"), 1)) == 1).alias("one_best"),
+    (F.max("silhouette") == F.max(F.when(F.col("best"), F.col("silhouette")))).alias("best_is_highest")))
+query("kmeans_share", "customer")(lambda df: _far_check(kmeans.kmeans_outliers(_customer(df)), df.count()).select("rows", "share_holds"))
+
+
+@query("field_summary_estimate", "lineitem")
+def _estimates(df: DataFrame) -> DataFrame:
+    """(field, close): is the estimated number of values within 5 % of the exact one?"""
+    exact = summary.field_summary(df).select("field", F.col("distinct_values").alias("exact"))
+    about = summary.field_summary(df, approx=True).select("field", F.col("distinct_values").alias("about"))
+    return exact.join(about, "field").select("field", (F.abs(F.col("about") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
+
+
 def _supplier(df: DataFrame) -> consensus.Detection:
     return consensus.detect(df, "s_suppkey", ["s_nationkey", "s_acctbal"])
 
