@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tableprofile.functions.columns import as_text, clean, pick_fields, quoted
-from tableprofile.plans.longform import to_long, value_counts
+from tableprofile.plans.longform import DIGEST_ABOVE, digest, to_long, value_counts
 
 NULL_TEXT = "NULL"
 TOTAL_TEXT = "Total"
@@ -21,9 +21,28 @@ def _ranked(counts: DataFrame, k: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _with_total(counts: DataFrame, k: int) -> DataFrame:
+def _top_counts(df: DataFrame, fields: list[str] | None, k: int) -> tuple[DataFrame, DataFrame]:
+    """The k most frequent values per field, nulls as NULL, and the counts they are among.
+
+    Long texts are grouped by digest and first characters, so that whole texts are not shuffled;
+    those of the winners, and of what ties with them in both, are fetched by a second scan.
+    """
+    long = to_long(df, fields).select("field", F.coalesce("value", F.lit(NULL_TEXT)).alias("value")).select(
+        "field", "value", digest(F.col("value")).alias("key"), F.substring("value", 1, DIGEST_ABOVE).alias("head"),
+        (F.length("value") > DIGEST_ABOVE).alias("cut"))
+    counts = long.groupBy("field", "key", "head", "cut").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("field").orderBy(F.desc("n"), F.asc("head"))
+    best = counts.withColumn("place", F.rank().over(w)).where(F.col("place") <= k)
+    short = best.where("NOT cut").select("field", F.col("head").alias("value"), "n")
+    wanted = best.where("cut").select("field", "key", "n")
+    texts = long.where("cut").join(wanted, ["field", "key"]).groupBy("field", "key").agg(
+        F.first("value").alias("value"), F.first("n").alias("n"))
+    return _ranked(short.unionByName(texts.select("field", "value", "n")), k), counts
+
+
+def _with_total(top: DataFrame, counts: DataFrame) -> DataFrame:
     totals = counts.groupBy("field").agg(F.sum("n").alias("total"))
-    top = _ranked(counts, k).join(F.broadcast(totals), "field")  # one row per field
+    top = top.join(F.broadcast(totals), "field")  # one row per field
     rows = top.select("field", "value", F.col("n").alias("count"),
                       (F.col("n") / F.col("total") * 100.0).alias("percentage"))
     total_rows = totals.select("field", F.lit(TOTAL_TEXT).alias("value"), F.col("total").alias("count"),
@@ -39,8 +58,7 @@ def _null_as_text(counts: DataFrame) -> DataFrame:
 
 def top_values(df: DataFrame, fields: list[str] | None = None, k: int = 10) -> DataFrame:
     """(field, value, count, percentage) plus a Total row per field; nulls count as NULL."""
-    long = to_long(df, fields).withColumn("value", F.coalesce("value", F.lit(NULL_TEXT)))
-    return _with_total(long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")), k)
+    return _with_total(*_top_counts(df, fields, k))
 
 
 def unique_values(df: DataFrame, field: str) -> DataFrame:
@@ -63,7 +81,7 @@ def top_values_per_key(df: DataFrame, keys: list[str], fields: list[str], row_id
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"row.__f{i}").alias("value"))
                       for i, f in enumerate(fields)])
     counts = first.select(F.inline(pairs)).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
-    return _with_total(counts, k)
+    return _with_total(_ranked(counts, k), counts)
 
 
 def chart_rows(df: DataFrame, fields: list[str] | None = None, k: int = 10, max_len: int = 50) -> DataFrame:
@@ -71,8 +89,7 @@ def chart_rows(df: DataFrame, fields: list[str] | None = None, k: int = 10, max_
 
     The percentage is the share of the values shown, to one decimal.
     """
-    long = to_long(df, fields).withColumn("value", F.coalesce("value", F.lit(NULL_TEXT)))
-    top = _ranked(long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")), k)
+    top, _ = _top_counts(df, fields, k)
     return label_rows(top.select("field", "value", F.col("n").alias("count")), max_len)
 
 

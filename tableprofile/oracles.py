@@ -81,6 +81,7 @@ def _top(long: str, total: str = "Total") -> str:
 
 ORACLES["top_values"] = _top(_long("orders", ORDERS))
 ORACLES["top_values_nulls"] = _top(_long(_LABELLED, ["lang", "source", "quality", "toxic"]))
+ORACLES["top_values_documents"] = _top(_long("documents", ["doc_id", "text", "lang", "source", "n_chars"]))
 ORACLES["unique_values"] = "SELECT c_name AS value, count(*) AS count FROM customer GROUP BY c_name"
 ORACLES["top_values_per_key"] = _top(_long(
     "(SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1)",

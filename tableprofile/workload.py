@@ -62,6 +62,7 @@ query("drop_nulls", "documents", "labels")(
 query("top_values", "orders")(values.top_values)
 query("top_values_nulls", "documents", "labels")(
     lambda d, l: values.top_values(labelled(d, l), ["lang", "source", "quality", "toxic"]))
+query("top_values_documents", "documents")(values.top_values)
 query("unique_values", "customer")(lambda df: values.unique_values(df, "c_name"))
 query("top_values_per_key", "orders")(
     lambda df: values.top_values_per_key(df, ["o_custkey"], ["o_orderstatus", "o_orderpriority"], "o_orderkey"))
