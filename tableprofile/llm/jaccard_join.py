@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tableprofile.llm.common import pick, small, written
 from tableprofile.llm.cluster_search import in_blocks, search
-from tableprofile.llm.components import components
+from tableprofile.llm.components import components, forest
 from tableprofile.llm.text_arrays import U, mix, row_windows, slices, words_of
 
 BLOCK_SHINGLES = 400_000   # elements of a block; a larger set is a block of its own
@@ -119,6 +119,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.flatnonzero(~repeat & (lead != node))
         last_sig, last_node, leader = sig[-1], node[-1], lead[-1]
         pairs = np.unique(np.stack([lead[keep], node[keep]], axis=1), axis=0)
+        pairs = pairs[forest(pairs[:, 0], pairs[:, 1])]
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
@@ -196,7 +197,7 @@ def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", n:
     docs = written(rows.mapInArrow(hashes, "id long, n_shingles long, node long"))
     sig = rows.select("text").mapInArrow(signed, "sig long, node long")
     stars = sig.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "a long, b long")
-    clusters = components(stars)
+    clusters = components(stars, thin=False)
     nodes = docs.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n")).where("id IS NOT NULL")
     nodes = in_blocks(clusters, nodes, block_shingles)
     wanted = small(nodes.select("id", "node"), F.lit(16))
