@@ -1,7 +1,7 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
 Lines are normalised: A-Z as a-z, white space runs as one space, none at the ends. Two lines are
-linked when the SimHashes of their words differ in at most DISTANCE bits and their edit similarity,
+linked when the SimHashes of their different words differ in at most DISTANCE bits and their edit similarity,
 1 - distance / longer length in code points, reaches the threshold. The 64 bits are cut into blocks;
 as at most DISTANCE blocks hold a difference, linked lines agree in all others, and every choice of
 those is a key to join on.
@@ -41,11 +41,19 @@ def line_hashes(words: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.n
     up, down = _power(len(words.hash) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hash) * up[:len(words.hash)])])
     value = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-    filled = np.flatnonzero(last > first)
+    # each different word of a run votes once: else the most frequent would decide alone
+    run = np.repeat(np.arange(len(first)), last - first)
+    word = np.repeat(first - (np.cumsum(last - first) - (last - first)), last - first) + np.arange(len(run))
+    order = np.lexsort((words.hash[word], run))
+    run, hashes = run[order], words.hash[word[order]]
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (hashes[1:] != hashes[:-1])
+    run, hashes = run[new], np.ascontiguousarray(hashes[new])
     votes = np.zeros((len(first), 64), np.int32)
-    if len(filled):
-        bits = np.unpackbits(words.hash.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes[filled] = 2 * np.add.reduceat(bits, first[filled], axis=0, dtype=np.int32) - (last - first)[filled, None]
+    if len(run):
+        begin = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes[run[begin]] = 2 * np.add.reduceat(bits, begin, axis=0, dtype=np.int32) - np.diff(np.append(begin, len(run)))[:, None]
     return value, np.packbits(votes > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
@@ -210,7 +218,7 @@ def removed_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent
     place = F.struct("id", "version", "line")
     lines = written(found.groupBy("node").agg(F.min(place).alias("at"), F.first("simhash").alias("simhash"), F.first("n").alias("n")))
     keyed = lines.select(F.explode(_keys(F.col("simhash"))).alias("key"), "simhash", "node")
-    clusters = components(keyed.repartition("key").sortWithinPartitions("key", "simhash", "node").mapInArrow(_close, "a long, b long"))
+    clusters = components(keyed.repartition("key").sortWithinPartitions("key", "simhash", "node").mapInArrow(_close, "a long, b long"), thin=False)
     nodes = in_blocks(clusters, lines, BLOCK_CHARS)
     wanted = nodes.groupBy("at.id", "at.version").agg(F.collect_list(F.struct("at.line", "node", "simhash")).alias("lines"))
     wanted = small(written(wanted), 24 * F.size("lines") + 40)
