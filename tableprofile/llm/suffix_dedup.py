@@ -193,7 +193,7 @@ def repeated_spans(df: DataFrame, id: str, text: str, length: int = LENGTH) -> D
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, versions, flags = batch.column("id").to_numpy(), batch.column("version").to_numpy(), batch.column("flags")
-            for first, end, data, at in slices(batch.column("text"), 4 * SLICE):
+            for first, end, data, at in slices(batch.column("text"), 2 * SLICE):
                 of, place, gram, lo, hi = anchors(data, at, length)
                 bits = [np.unpackbits(np.frombuffer(flags[i].as_py(), np.uint8)) for i in range(first, end)]
                 edge = np.concatenate([[0], np.cumsum([len(b) for b in bits])])
