@@ -8,10 +8,10 @@ and only links that connect something are returned.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tableprofile.llm.common import written
@@ -49,17 +49,49 @@ def _links(left: list[bytes], right: list[bytes], left_ids: np.ndarray, right_id
     return out
 
 
-def _task(prepare: Prepare):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        known = {int(a): int(b) for a, b in zip(rows.node, rows.part)}
-        asks, answers = rows[rows.asks], rows[~rows.asks | rows.answers]
-        found = []
-        if len(asks) and len(answers):
-            found = _links(list(asks.payload), list(answers.payload), asks.node.to_numpy(), answers.node.to_numpy(), known, prepare)
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+def _task(prepare: Prepare, keys: list[str]):
+    """From rows in order of keys: the links of each group. Held: a batch, and the last group."""
+    def solved(table: pa.Table) -> list[tuple[int, int]]:
+        node, part = (table[c].to_numpy() for c in ("node", "part"))
+        asks, answers = (np.array(table[c].to_pylist(), bool) for c in ("asks", "answers"))
+        right, payload = ~asks | answers, np.array([*table["payload"].to_pylist(), None], object)[:-1]
+        if not asks.any() or not right.any():
+            return []
+        return _links(list(payload[asks]), list(payload[right]), node[asks], node[right], dict(zip(node.tolist(), part.tolist())), prepare)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            columns = [batch.column(c).to_numpy() for c in keys]
+            new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+            edges, found = [0, *new.tolist(), len(batch)], []
+            for begin, end in zip(edges, edges[1:]):
+                key = tuple(int(c[begin]) for c in columns)
+                if key != last and held:
+                    found += solved(pa.concat_tables(held))
+                    held = []
+                last = key
+                held.append(pa.Table.from_batches([batch.slice(begin, end - begin)]))
+            if found:
+                yield _pairs(found)
+        if held:
+            yield _pairs(solved(pa.concat_tables(held)))
     return run
 
 
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _solved(rows: DataFrame, prepare: Prepare, *keys: str) -> DataFrame:
+    """Links of each group of rows; small groups cost no start of their own."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_task(prepare, list(keys)), "a long, b long")
+
+
 def in_blocks(clusters: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
     """clusters: node, component; nodes: node, n and others. The nodes of clusters, with `cluster` and
     `block`: a block's sizes n sum up to about `block`; a larger node is a block of its own."""
@@ -86,7 +118,7 @@ def search(nodes: DataFrame, held: DataFrame, percent: int, block: int, prepare:
         "cluster", "node", "payload", F.col("n").alias("least"), F.col("n").alias("most"), F.col("block").alias("own"))
     visiting = pivot.join(blocks, "cluster").where("own <> block AND " + near).select(
         "cluster", "block", "node", "payload", yes.alias("asks"), no.alias("answers"), F.col("node").alias("part"))
-    inner = written(member.union(visiting).groupBy("cluster", "block").applyInPandas(_task(prepare), "a long, b long"))
+    inner = written(_solved(member.union(visiting), prepare, "cluster", "block"))
     if not several.limit(1).count():
         return inner
 
@@ -103,5 +135,5 @@ def search(nodes: DataFrame, held: DataFrame, percent: int, block: int, prepare:
     full = found.join(tasks, ["cluster", "block"]).select(*columns, no.alias("asks"), no.alias("answers"), "part")
     asking = rest.select("node", "payload", "part").join(chunked, "node").join(tasks, ["cluster", "chunk"]).select(
         *columns, yes.alias("asks"), no.alias("answers"), "part")
-    outer = full.union(asking).groupBy("cluster", "block", "chunk").applyInPandas(_task(prepare), "a long, b long")
+    outer = _solved(full.union(asking), prepare, "cluster", "block", "chunk")
     return inner.union(written(outer))

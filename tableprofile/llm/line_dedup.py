@@ -1,16 +1,17 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
+"""Fuzzy line deduplication: SimHash and MinHash keys, edit similarity, connected groups.
 
 Lines are normalised: A-Z as a-z, white space runs as one space, none at the ends. Two lines are
-linked when the SimHashes of their different words differ in at most DISTANCE bits and their edit similarity,
-1 - distance / longer length in code points, reaches the threshold. The 64 bits are cut into blocks;
-as at most DISTANCE blocks hold a difference, linked lines agree in all others, and every choice of
-those is a key to join on.
+linked when their edit similarity, 1 - distance / longer length in code points, reaches the threshold.
+Candidates agree in one of BANDS keys, each of ROWS minima of hashed features: of words, longer ones
+with more weight, and for lines of at most SHORT bytes of 3-byte strings (lines between LONG and SHORT
+have both). Of lines with a common key, those whose sketches differ in few bits come into one cluster:
+64 bits of the minima, and 64 of the SimHash of the words or, for short lines, of further minima. In a
+cluster, pairs of near sketches are judged by edit similarity. So links can be lost, see the README.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tableprofile.llm.cluster_search import in_blocks, search
 from tableprofile.llm.common import pick, small, written
 from tableprofile.llm.components import components, forest
-from tableprofile.llm.text_arrays import U, Words, _power, mix, slices, words_of
-
-DISTANCE = 3
-BLOCKS = 5
+from tableprofile.llm.text_arrays import LOWER, U, Words, _power, mix, slices, words_of
+
+DISTANCE = 64              # SimHash bits in which linked lines may differ: all, the edit similarity decides
+BANDS = 16
+ROWS = 4
+SHORT = 80                 # bytes of the normalised line
+LONG = 64                  # the longer of two linked lines is above SHORT only if the shorter is at least this
+WORD_BITS = 40             # bits of the 128 in which the sketches of candidates may differ
+GRAM_BITS = 36
 PERCENT = 80
 BLOCK_CHARS = 1_000_000    # code points of the lines searched in one task; a longer line is a task's own
 
@@ -57,6 +63,66 @@ def line_hashes(words: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.n
     return value, np.packbits(votes > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def _minima(hashes: np.ndarray, scale: np.ndarray | None, begin: np.ndarray, number: int) -> np.ndarray:
+    """Per run of features from each of begin on: `number` minima of differently hashed features, as bits.
+    scale: float32, features with a smaller one are chosen more often."""
+    out = np.empty((number, len(begin)), np.float32)
+    for i in range(number):
+        value = ((hashes * _FACTORS[i]) >> U(32)).astype(np.float32)
+        out[i] = np.minimum.reduceat(value if scale is None else value * scale, begin)
+    return out.view(np.uint32)
+
+
+_FACTORS = np.random.default_rng(11).integers(1, 2 ** 63, 128, dtype=np.uint64) * U(2) + U(1)
+
+
+def _bits(minima: np.ndarray) -> np.ndarray:
+    """64 minima of each run as 64 bits."""
+    bit = mix(minima.astype(np.uint64)) & U(1)
+    return (bit << np.arange(64, dtype=np.uint64)[:, None]).sum(axis=0, dtype=np.uint64)
+
+
+def _band_keys(minima: np.ndarray, salt: int) -> np.ndarray:
+    """(run, band): 32-bit keys."""
+    keys = np.empty((minima.shape[1], BANDS), np.int32)
+    for band in range(BANDS):
+        h = np.full(minima.shape[1], salt, np.uint64)
+        for one in minima[band * ROWS:(band + 1) * ROWS]:
+            h = mix(h * U(0xD6E8FEB86659FD93) + one.astype(np.uint64))
+        keys[:, band] = (h & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+    return keys
+
+
+def word_sketches(words: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, bits) of runs of words first..last, none empty; the runs are in order."""
+    word = np.repeat(first - (np.cumsum(last - first) - (last - first)), last - first) + np.arange((last - first).sum())
+    begin = np.cumsum(last - first) - (last - first)
+    scale = (1 / (words.end - words.start)[word]).astype(np.float32)
+    minima = _minima(words.hash[word], scale, begin, 64)
+    return _band_keys(minima, 1), _bits(minima)
+
+
+def gram_sketches(data: np.ndarray, words: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, bits, further bits) of the 3-byte strings of runs of words, each word between spaces."""
+    n = last - first
+    begin = np.cumsum(n) - n
+    word = np.repeat(first - begin, n) + np.arange(n.sum())
+    size = words.end[word] - words.start[word] + 1              # the space before it
+    size[begin + n - 1] += 1                                    # the space after the last
+    at = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(at, size) - 1
+    source = np.repeat(words.start[word], size) + place
+    inner = (place >= 0) & (place < np.repeat(words.end[word] - words.start[word], size))
+    text = np.full(len(place), 32, np.uint64)
+    text[inner] = LOWER[data[source[inner]]]
+    gram = mix(text[:-2] | text[1:-1] << U(8) | text[2:] << U(16))
+    start = at[begin]
+    length = np.diff(np.append(start, len(place))) - 2
+    of = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    minima = _minima(gram[of], None, np.cumsum(length) - length, 128)
+    return _band_keys(minima[:64], 2), _bits(minima[:64]), _bits(minima[64:])
+
+
 def _normal(line: str) -> str:
     """The normalised line; white space is that of the words: ASCII's."""
     return " ".join(w for w in line.translate(_LOWER).split(" ") if w)
@@ -102,40 +168,31 @@ def similar(a: str, b: str, percent: int) -> bool:
     return 100 * min(len(a), len(b)) >= percent * longer and 100 * edit_distance(a, b) <= (100 - percent) * longer
 
 
-def _keys(simhash: Column) -> Column:
-    """The bits of every choice of BLOCKS - DISTANCE blocks, with the number of the choice."""
-    edge = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    keys = []
-    for number, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - DISTANCE)):
-        mask = sum(((1 << edge[i + 1] - edge[i]) - 1) << edge[i] for i in chosen)
-        keys.append(F.xxhash64(simhash.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)), F.lit(number)))
-    return F.array(*keys)
-
-
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, simhash, node) rows in order: links that connect the nodes of each key as all pairs
-    of at most DISTANCE differing bits would. Held: a batch, and the last key's distinct SimHashes."""
-    key = simhash = node = None
+    """From (band, key, simhash, bits, node) rows in order: links that connect the nodes of each key as
+    all pairs of near sketches would. Held: a batch, and the last key's distinct sketches."""
+    held = None
     for batch in batches:
-        new = [batch.column(c).to_numpy() for c in ("key", "simhash", "node")]
-        if key is not None:
-            new = [np.concatenate([a, b]) for a, b in zip((key, simhash, node), new)]
-        key, simhash, node = new
+        band, key, *new = [batch.column(c).to_numpy() for c in ("band", "key", "simhash", "bits", "node")]
+        new = [band.astype(np.int64) << 32 | key.astype(np.int64) & 0xFFFFFFFF, *new]
+        key, simhash, bits, node = new if held is None else [np.concatenate([a, b]) for a, b in zip(held, new)]
         if not len(key):
             continue
         links = []
-        same = np.flatnonzero((key[1:] == key[:-1]) & (simhash[1:] == simhash[:-1])) + 1
+        same = np.flatnonzero((key[1:] == key[:-1]) & (simhash[1:] == simhash[:-1]) & (bits[1:] == bits[:-1])) + 1
         if len(same):
             links.append(np.stack([node[same - 1], node[same]], axis=1))
         keep = np.ones(len(key), bool)
         keep[same] = False
-        key, simhash, node = key[keep], simhash[keep], node[keep]
+        key, simhash, bits, node = key[keep], simhash[keep], bits[keep], node[keep]
+        most = np.where(key >> 32 < BANDS, WORD_BITS, GRAM_BITS)
         part = np.arange(len(key))
         at = np.flatnonzero(key[1:] == key[:-1])
         step = 1
         while len(at):
             near = at[part[at] != part[at + step]]
-            near = near[np.bitwise_count((simhash[near] ^ simhash[near + step]).view(np.uint64)) <= DISTANCE]
+            differ = sum(np.bitwise_count((x[near] ^ x[near + step]).view(np.uint64)).astype(np.int64) for x in (simhash, bits))
+            near = near[differ <= most[near]]
             if len(near):
                 links.append(np.stack([node[near], node[near + step]], axis=1))
                 part = _joined(part, near, near + step)
@@ -143,7 +200,7 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = at[at + step < len(key)]
             at = at[key[at] == key[at + step]]
         last = np.flatnonzero(key == key[-1])       # may go on in the next batch
-        key, simhash, node = key[last], simhash[last], node[last]
+        held = [x[last] for x in (key, simhash, bits, node)]
         if links:
             links = np.concatenate(links)
             links = links[forest(links[:, 0], links[:, 1])]
@@ -169,19 +226,48 @@ def _joined(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _similar_lines(percent: int):
-    """For `search`: payload = SimHash, then the normalised line."""
+    """For `search`: payload = _SKETCH, then the normalised line. Pairs whose sketches are far apart are
+    candidates by no key and came into one cluster through others."""
     def prepare(right: list[bytes]):
-        simhash = np.array([int.from_bytes(r[:8], "little") for r in right], np.uint64)
-        lines = [r[8:].decode() for r in right]
+        held = np.frombuffer(b"".join(r[:_SKETCH.itemsize] for r in right), _SKETCH)
+        lines = [r[_SKETCH.itemsize:].decode() for r in right]
+        size = np.array([len(x) for x in lines], np.int64)
 
         def partners(payload: bytes, open_: np.ndarray) -> np.ndarray:
-            mine, line = U(int.from_bytes(payload[:8], "little")), payload[8:].decode()
-            close = np.flatnonzero((np.bitwise_count(simhash ^ mine) <= DISTANCE) & open_)
-            return np.array([i for i in close if similar(line, lines[i], percent)], np.int64)
+            mine, line = np.frombuffer(payload[:_SKETCH.itemsize], _SKETCH)[0], payload[_SKETCH.itemsize:].decode()
+            fits = np.flatnonzero(open_ & (100 * np.minimum(size, len(line)) >= percent * np.maximum(size, len(line))))
+            far = np.bitwise_count(held["bits"][fits] ^ mine["bits"]).astype(np.int64)     # line, (word, word, gram, gram)
+            both = held["has"][fits] & mine["has"]
+            near = both[:, 0] & (far[:, 0] + far[:, 1] <= WORD_BITS) | both[:, 1] & (far[:, 2] + far[:, 3] <= GRAM_BITS)
+            return np.array([i for i in fits[near] if similar(line, lines[i], percent)], np.int64)
         return partners
     return prepare
 
 
+_SKETCH = np.dtype([("bits", "<u8", 4), ("has", "?", 2)])
+
+
+SKETCHES = ("word_keys", "word_bits", "gram_keys", "gram_bits", "gram_more")
+_SKETCH_TYPES = "word_keys array<int>, word_bits long, gram_keys array<int>, gram_bits long, gram_more long"
+
+
+def _sketches(data: np.ndarray, words: Words, first: np.ndarray, last: np.ndarray) -> list[pa.Array]:
+    """The columns of SKETCHES for runs of words; keys are empty for a line that is too short or too long."""
+    inner = np.concatenate([[0], np.cumsum(words.end - words.start)])
+    size = inner[last] - inner[first] + last - first - 1 if len(first) else first
+    out = []
+    for chosen, sketch in ((size >= LONG, lambda a, b: word_sketches(words, a, b)), (size <= SHORT, lambda a, b: gram_sketches(data, words, a, b))):
+        some = np.flatnonzero(chosen)
+        keys, *bits = sketch(first[some], last[some]) if len(some) else (np.zeros((0, BANDS), np.int32), *[np.zeros(0, np.uint64)] * (1 + len(out) // 2))
+        at = np.concatenate([[0], np.cumsum(chosen)]).astype(np.int32) * BANDS
+        out.append(pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel())))
+        for b in bits:
+            column = np.zeros(len(first), np.int64)
+            column[some] = b.view(np.int64)
+            out.append(pa.array(column))
+    return out
+
+
 def removed_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per text that loses lines: id, version (hash of the text), removed (line numbers from 0, sorted)."""
     rows = pick(df, id=id, text=text).withColumn("version", F.xxhash64("text"))
@@ -199,10 +285,11 @@ def removed_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent
                 size = inner[hi] - inner[lo] + np.maximum(0, hi - lo - 1)       # code points of the normalised line
                 number = np.arange(len(of)) - np.searchsorted(of, of)
                 keep = np.flatnonzero(hi > lo)
+                sketches = _sketches(data, words, lo[keep], hi[keep])
                 take = pa.array(first + of[keep])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").take(take), batch.column("version").take(take), pa.array(number[keep]), pa.array(node[keep].view(np.int64)),
-                     pa.array(simhash[keep].view(np.int64)), pa.array(size[keep])], names=["id", "version", "line", "node", "simhash", "n"])
+                     pa.array(simhash[keep].view(np.int64)), pa.array(size[keep]), *sketches], names=["id", "version", "line", "node", "simhash", "n", *SKETCHES])
 
     def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,17 +298,22 @@ def removed_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent
                 nodes, out = [], []
                 for x in lines.as_py():
                     nodes.append(x["node"])
-                    out.append((x["simhash"] % 2 ** 64).to_bytes(8, "little") + _normal(split[x["line"]]).encode())
+                    sketch = [x[c] % 2 ** 64 for c in ("simhash", "word_bits", "gram_more", "gram_bits")]
+                    out.append(np.array((sketch, (x["by_word"], x["by_gram"])), _SKETCH).tobytes() + _normal(split[x["line"]]).encode())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "payload"])
 
-    found = written(rows.mapInArrow(occurrences, f"id {id_type}, version long, line long, node long, simhash long, n long"))
+    found = written(rows.mapInArrow(occurrences, f"id {id_type}, version long, line long, node long, simhash long, n long, {_SKETCH_TYPES}"))
     place = F.struct("id", "version", "line")
-    lines = written(found.groupBy("node").agg(F.min(place).alias("at"), F.first("simhash").alias("simhash"), F.first("n").alias("n")))
-    keyed = lines.select(F.explode(_keys(F.col("simhash"))).alias("key"), "simhash", "node")
-    clusters = components(keyed.repartition("key").sortWithinPartitions("key", "simhash", "node").mapInArrow(_close, "a long, b long"), thin=False)
+    lines = written(found.groupBy("node").agg(F.min(place).alias("at"), *(F.first(c).alias(c) for c in ("simhash", "n", *SKETCHES))))
+    by_word = lines.select(F.posexplode("word_keys").alias("band", "key"), "simhash", F.col("word_bits").alias("bits"), "node")
+    by_gram = lines.select(F.posexplode("gram_keys").alias("band", "key"), F.col("gram_more").alias("simhash"), F.col("gram_bits").alias("bits"), "node")
+    keyed = by_word.union(by_gram.withColumn("band", F.col("band") + BANDS))
+    keyed = keyed.repartition("band", "key").sortWithinPartitions("band", "key", "simhash", "bits", "node")
+    clusters = components(keyed.mapInArrow(_close, "a long, b long"), thin=False)
+    lines = lines.select("node", "at", "n", "simhash", "word_bits", "gram_more", "gram_bits", (F.size("word_keys") > 0).alias("by_word"), (F.size("gram_keys") > 0).alias("by_gram"))
     nodes = in_blocks(clusters, lines, BLOCK_CHARS)
-    wanted = nodes.groupBy("at.id", "at.version").agg(F.collect_list(F.struct("at.line", "node", "simhash")).alias("lines"))
-    wanted = small(written(wanted), 24 * F.size("lines") + 40)
+    wanted = nodes.groupBy("at.id", "at.version").agg(F.collect_list(F.struct("at.line", "node", "simhash", "word_bits", "gram_more", "gram_bits", "by_word", "by_gram")).alias("lines"))
+    wanted = small(written(wanted), 64 * F.size("lines") + 40)
     texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]) & rows["version"].eqNullSafe(wanted["version"])).select("text", "lines")
     held = written(texts.mapInArrow(payloads, "node long, payload binary").groupBy("node").agg(F.first("payload").alias("payload")))
     groups = components(search(nodes, held, percent, BLOCK_CHARS, _similar_lines(percent)))
@@ -241,8 +333,8 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent:
     as they are and have 0 and 1 lines. Rows that repeat id and text are one document: each loses the
     same lines. Columns of df called n_lines or n_removed are replaced. An empty table gives no rows.
 
-    Texts are read three times. Shuffled are a row per line, the keys of each different line, and the
-    text of lines in clusters; texts only if the list of removed lines is too large to broadcast.
+    Texts are read three times. Shuffled are a row per line with its keys, a row for each key of each
+    different line, and the text of lines in clusters; texts only if the list of removed lines is too large to broadcast.
     """
     gone = removed_lines(df, id, text, percent).select(F.col("id").alias("__id"), F.col("version").alias("__version"), F.col("removed").alias("__removed"))
     gone = small(written(gone), 8 * F.size("__removed") + 40)
