@@ -3,11 +3,14 @@
 Paragraphs are the lines of a text that have a word. A logistic regression over sparse word
 n-grams (1 to 3 words, those of the templates) gives each licence family a probability, and one to
 `unknown`. Its scale is calibrated on paragraphs held out of training. A family counts only if one
-of its templates is found in the paragraph, word by word and in order, to a high share.
+of its templates is found in the paragraph, word by word and in order, to a high share. Wrapped
+notices are looked for in the lines around those that share several n-grams with templates, up to the
+next line without a word, and judged as one paragraph.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -43,6 +46,9 @@ TEMPLATES = {
 }
 UNKNOWN = "unknown"
 SAMPLE_ROWS = 500          # rows whose paragraphs stand for `unknown` in training, at most
+SAMPLE_PARAGRAPHS = 2000   # paragraphs of these rows taken for it, at most
+NEAR_LINES = 8             # lines before and after in which the rest of a wrapped notice is looked for
+SEED_NGRAMS = 2            # n-grams of several words, shared with templates, that make a line worth it
 NGRAM = 3
 MIN_PROBABILITY = 0.5
 MIN_MATCH = 0.85
@@ -57,6 +63,7 @@ class Model:
     weights: np.ndarray     # n-gram, family
     bias: np.ndarray
     scale: float            # calibration: logits are multiplied by it
+    single: np.ndarray      # numbers of the single words in the vocabulary
 
 
 def _features(data: np.ndarray, at: np.ndarray, vocabulary: np.ndarray | None = None):
@@ -103,10 +110,10 @@ def _probabilities(logits: np.ndarray) -> np.ndarray:
 
 
 def fit(df: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[str, list[str]] = TEMPLATES,
-        rows: int = SAMPLE_ROWS, seed: int = 1) -> Model:
+        rows: int = SAMPLE_ROWS, seed: int = 1, paragraphs: int = SAMPLE_PARAGRAPHS) -> Model:
     """Train on variants of the templates, and on the paragraphs of the `rows` rows with the smallest
-    hashes of their ids as `unknown`, except those that hold a template. Every fourth is held out for
-    the calibration."""
+    hashes of their ids as `unknown`, except those that hold a template: of these a random `paragraphs`
+    at most, chosen by `seed`. Every fourth is held out for the calibration."""
     sample = pick(df, id=id, text=text).where("text IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(rows).select("text").toArrow()["text"].to_pylist()
     known = {" ".join(_plain(t)) for all_ in templates.values() for t in all_}
     prose = sorted({p for t in sample for p in t.split("\n") if p.strip() and not any(k in " ".join(_plain(p)) for k in known)})
@@ -124,7 +131,7 @@ def fit(df: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[s
         rng.shuffle(words)
         texts.append(" ".join(words[:max(1, len(words) // 2)]))
         labels.append(len(templates))
-    picked = rng.permutation(len(prose))[:2000]
+    picked = rng.permutation(len(prose))[:paragraphs]
     texts += [prose[i] for i in picked]
     labels += [len(templates)] * len(picked)
     y = np.array(labels)
@@ -146,7 +153,8 @@ def fit(df: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[s
         w, b = w + speed_w, b + speed_b
     logits = x[held] @ w + b
     loss = [-(np.log(_probabilities(logits * s)[np.arange(held.sum()), y[held]].clip(1e-12)) * weight[held]).sum() for s in _SCALES]
-    return Model(families, vocabulary, w.astype(np.float64), b.astype(np.float64), float(_SCALES[int(np.argmin(loss))]))
+    return Model(families, vocabulary, w.astype(np.float64), b.astype(np.float64), float(_SCALES[int(np.argmin(loss))]),
+                 np.flatnonzero(np.isin(vocabulary, words_of(*_pack(notices), lower=True, separators=_SEPARATORS).hash)))
 
 
 _SCALES = np.geomspace(0.1, 4, 25)
@@ -167,14 +175,38 @@ def confirmed(paragraph: str, templates: list[str]) -> float:
     return best
 
 
+def wrapped(lines: list[list[str]], templates: list[str], min_match: float) -> set[tuple[int, int]]:
+    """(first, last line) of the templates found over several lines, given as words: to the share
+    min_match, in runs of two or more words, and with no more between the runs than that share allows
+    and a word a line, as comment marks may be words."""
+    words = [w for line in lines for w in line]
+    of = [i for i, line in enumerate(lines) for _ in line]
+    have, found = Counter(words), set()
+    for t in templates:
+        wanted = _plain(t)
+        if (Counter(wanted) & have).total() < min_match * len(wanted):
+            continue
+        blocks = [b for b in SequenceMatcher(None, wanted, words, autojunk=False).get_matching_blocks() if b.size >= 2]
+        if not blocks or sum(b.size for b in blocks) < min_match * len(wanted):
+            continue
+        first, end = blocks[0].b, blocks[-1].b + blocks[-1].size
+        low, high = of[first], of[end - 1]
+        if low < high and end - first <= len(wanted) / min_match + high - low:
+            found.add((low, high))
+    return found
+
+
 def scan(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", templates: dict[str, list[str]] = TEMPLATES,
          min_probability: float = MIN_PROBABILITY, min_match: float = MIN_MATCH) -> DataFrame:
     """Per row: id, n_paragraphs, n_licence (confirmed paragraphs), n_doubtful (predicted, but not
     confirmed), licences (families found, sorted, comma-joined), probability (largest of a confirmed
     paragraph, else null).
 
+    A notice over several lines is one confirmed paragraph, unless one of its lines is already one of
+    the same family; its lines are not doubtful, and stay single in n_paragraphs.
     Null and empty texts have no paragraph. Repeated rows each give a row; other columns are not read.
-    One scan of whole texts, no shuffle; only predicted paragraphs are compared with templates.
+    One scan of whole texts, no shuffle; only predicted paragraphs, and
+    lines around those that share n-grams with templates, are compared with templates.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     unknown = len(model.families) - 1
@@ -196,15 +228,54 @@ def scan(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", te
                 found: dict[int, dict[str, float]] = {}
                 doubtful = np.zeros(rows, np.int64)
                 n_licence = np.zeros(rows, np.int64)
+                sure: dict[int, str] = {}           # line: family
+                unsure: set[int] = set()
                 for i in np.flatnonzero((family != unknown) & (chance >= min_probability)):
                     line, name = touched[i], m.families[family[i]]
                     paragraph = data[edges[line]:edges[line + 1]].tobytes().decode()
                     if confirmed(paragraph, templates[name]) >= min_match:
                         n_licence[of[line]] += 1
+                        sure[int(line)] = name
                         best = found.setdefault(int(of[line]), {})
                         best[name] = max(best.get(name, 0.0), float(chance[i]))
                     else:
-                        doubtful[of[line]] += 1
+                        unsure.add(int(line))
+                several = np.bincount(row[~np.isin(place, m.single)], minlength=len(edges) - 1)
+                plain: dict[int, list[str]] = {}
+
+                def words_in(line: int) -> list[str]:
+                    if line not in plain:
+                        plain[line] = _plain(data[edges[line]:edges[line + 1]].tobytes().decode())
+                    return plain[line]
+
+                spans: dict[tuple[int, int], set[str]] = {}
+                for seed in np.flatnonzero(several >= SEED_NGRAMS).tolist():
+                    low = high = seed
+                    while low > max(0, seed - NEAR_LINES) and of[low - 1] == of[seed] and filled[low - 1]:
+                        low -= 1
+                    while high < min(len(of) - 1, seed + NEAR_LINES) and of[high + 1] == of[seed] and filled[high + 1]:
+                        high += 1
+                    if low < high:
+                        near = [words_in(i) for i in range(low, high + 1)]
+                        for name, all_ in templates.items():
+                            for a, b in wrapped(near, all_, min_match):
+                                spans.setdefault((low + a, low + b), set()).add(name)
+                for (low, high), names in sorted(spans.items(), key=lambda x: (x[0][1] - x[0][0], x[0])):     # shortest first
+                    joined = np.frombuffer(" ".join(w for i in range(low, high + 1) for w in words_in(i)).encode(), np.uint8)
+                    _, at_, value_, _ = _features(joined, np.array([0, len(joined)]), m.vocabulary)
+                    p_ = _probabilities((value_ @ m.weights[at_] + m.bias)[None, :] * m.scale)[0]
+                    name, inside = m.families[int(p_.argmax())], range(low, high + 1)
+                    if name not in names or p_.max() < min_probability:
+                        continue
+                    unsure.difference_update(inside)
+                    if any(sure.get(i) == name for i in inside):
+                        continue
+                    sure.update((i, name) for i in inside)
+                    n_licence[of[low]] += 1
+                    best = found.setdefault(int(of[low]), {})
+                    best[name] = max(best.get(name, 0.0), float(p_.max()))
+                for line in unsure:
+                    doubtful[of[line]] += 1
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(first, rows), pa.array(np.bincount(of[filled], minlength=rows)), pa.array(n_licence), pa.array(doubtful),
                      pa.array([",".join(sorted(found.get(i, ()))) for i in range(rows)]),
