@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tableprofile.llm import chat_format, decontamination, jaccard_join, language_id, licence_scan, line_dedup, mixing, quality_rules, suffix_dedup
+from tableprofile.llm import chat_format, decontamination, jaccard_join, language_id, licence_scan, line_dedup, mixing, quality_rules, sentence_pieces, suffix_dedup
 from tableprofile.llm.common import table
 from tableprofile.llm.token_counts import token_counts
 
@@ -180,3 +180,14 @@ both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reach.doc_id, y FROM reach JOIN both_ways ON x = other)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(other) FROM reach WHERE reach.doc_id = d.doc_id) AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+
+@query
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = sentence_pieces.encode(table(spark, sf_dir, "documents"), model).select(F.struct("doc_id", "ids").alias("of"), "ids")
+    return sentence_pieces.decode(ids, model, id="of").select(
+        "of.doc_id", F.size("of.ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("of.ids", ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
