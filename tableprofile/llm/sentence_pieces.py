@@ -5,12 +5,11 @@ another character, no merge can cross the place before a run of markers, so a te
 chunks (markers and the word behind them) that are segmented independently of each other:
 
 1. texts are cut into chunks; a block of texts keeps its different chunks once and, per chunk of
-   its texts, the number of that chunk (written; a block is a few MB or a single text),
-2. each different chunk of all blocks is segmented once,
-3. the pieces come back to the blocks by a join on the chunk, and the blocks put the ids of their
-   texts together by position.
+   its texts, the number of that chunk (written, compressed; a block is some MB or a single text),
+2. the blocks' chunks meet by hash and are sorted, so that each different one is segmented once,
+3. the pieces go back to the blocks, which put the ids of their texts together by position.
 
-What is shuffled are the blocks' different chunks, not the texts. A frequent word is one row a block.
+What meets by hash are the blocks' different chunks, not the texts. A frequent word is one entry a block.
 """
 
 from __future__ import annotations
@@ -27,9 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tableprofile.llm.common import pick, written
-from tableprofile.llm.text_arrays import bytes_of, slices
+from tableprofile.llm.packed import pack, pack_bytes, unpack, unpack_bytes
+from tableprofile.llm.text_arrays import bytes_of, range_hashes, slices
 
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 16_000_000
+BUCKETS = 8                # of a block's chunks, for each shuffle partition
+PART_CHUNKS = 500_000      # put together at a time
 
 #: Fixed values of the model format: the marker of white space, kinds of pieces, kind of model.
 MARKER = "▁"
@@ -175,6 +177,26 @@ def _list(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _packs(chunks: pa.Array, buckets: int) -> tuple[pa.Array, np.ndarray]:
+    """(the chunks by bucket of their hash, sorted inside one; number of each given chunk in that order)."""
+    data, at = bytes_of(chunks)
+    order = pc.sort_indices(chunks).to_numpy().astype(np.int64)
+    bucket = (range_hashes(data, at[:-1], at[1:]) % np.uint64(buckets)).astype(np.int32)[order]
+    inside = np.argsort(bucket, kind="stable")
+    order, bucket = order[inside], bucket[inside]
+    number = np.empty(len(order), np.uint32)
+    number[order] = np.arange(len(order), dtype=np.uint32)
+    data, at = bytes_of(chunks.take(pa.array(order)))
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(first[1:], len(bucket))
+    lengths = np.diff(at).astype(np.uint32)
+    return pa.StructArray.from_arrays([
+        pa.array(bucket[first]), pa.array(first.astype(np.int32)),
+        pa.array([pack(lengths[i:j]) for i, j in zip(first, ends)], pa.binary()),
+        pa.array([pack_bytes(data[at[i]:at[j]]) for i, j in zip(first, ends)], pa.binary())],
+        names=["bucket", "number", "lengths", "chars"]), number
+
+
 def encode(df: DataFrame, model: str, id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: its id and `ids` (array of int), the ids of its whole text, without begin or end.
 
@@ -186,8 +208,9 @@ def encode(df: DataFrame, model: str, id: str = "doc_id", text: str = "text", bl
 
     Memory of a task: one block (`block_bytes` of texts, or one longer text) and a sort buffer.
     """
-    pieces_of(model)        # says now if the model doesn't fit
+    ids_type = np.uint16 if len(pieces_of(model).surface) <= 1 << 16 else np.uint32     # also says now if the model doesn't fit
     id_type = df.schema[id].dataType.simpleString()
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefix, number = pieces_of(model).prefix, TaskContext.get().partitionId() << 32
@@ -195,41 +218,78 @@ def encode(df: DataFrame, model: str, id: str = "doc_id", text: str = "text", bl
             ids, texts = batch.column("id"), batch.column("text")
             for begin, end, *_ in slices(texts, block_bytes):
                 chunks, places, sizes = _chunks(texts.slice(begin, end - begin), prefix)
+                packs, renumbered = _packs(chunks, tasks * BUCKETS)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int64()), _list(ids.slice(begin, end - begin)), _list(pa.array(sizes)),
-                     _list(places.cast(pa.int32())), _list(chunks.cast(pa.string()))],
-                    names=["block", "ids", "sizes", "places", "chunks"])
+                     pa.array([pack(renumbered[places.to_numpy()])], pa.binary()), _list(packs)],
+                    names=["block", "ids", "sizes", "places", "packs"])
                 number += 1
 
     cut = written(pick(df, id=id, text=text).mapInArrow(
-        blocks, f"block long, ids array<{id_type}>, sizes array<int>, places array<int>, chunks array<string>"))
+        blocks, f"block long, ids array<{id_type}>, sizes array<int>, places binary, "
+                "packs array<struct<bucket: int, number: int, lengths: binary, chars: binary>>"))
 
-    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(model)
+    def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [pieces.segment(chunk) for chunk in batch.column("chunk").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(found, pa.list_(pa.int32()))], names=["chunk", "pieces"])
+            for row in batch.to_pylist():
+                lengths = unpack(row["lengths"], np.uint32)
+                at = np.append(0, np.cumsum(lengths, dtype=np.int64))
+                chunks = pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(at), pa.py_buffer(unpack_bytes(row["chars"])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(lengths), row["block"])), pa.array(np.arange(len(lengths), dtype=np.int32) + row["number"]),
+                     chunks.cast(pa.string())], names=["block", "number", "chunk"])
 
-    table = written(cut.select(F.explode("chunks").alias("chunk")).distinct().mapInArrow(segment, "chunk string, pieces array<int>"))
-    entries = cut.select("block", F.posexplode("chunks").alias("number", "chunk")).join(table, "chunk")
-    of_block = entries.groupBy("block").agg(F.collect_list(F.struct("number", "pieces")).alias("entries"))     # a block's, so bounded
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks come sorted, so each is worked out once; what a block gets from a batch is one row."""
+        pieces, last = pieces_of(model), ("", [])
+        for batch in batches:
+            coded = batch.column("chunk").dictionary_encode()
+            found = [last[1] if chunk == last[0] else pieces.segment(chunk) for chunk in coded.dictionary.to_pylist()]
+            if not found:
+                continue
+            last = (batch.column("chunk")[-1].as_py(), found[-1])
+            which, block = coded.indices.to_numpy(), batch.column("block").to_numpy()
+            lengths, number = np.array([len(f) for f in found], np.uint32), batch.column("number").to_numpy()
+            order = np.lexsort((number, block))
+            first = np.flatnonzero(np.diff(block[order], prepend=-1))
+            rows = []
+            for of in np.split(order, first[1:]):
+                flat = [i for w in which[of].tolist() for i in found[w]]
+                rows.append((pack(np.diff(number[of].astype(np.uint32), prepend=np.uint32(0))), pack(lengths[which[of]]),
+                             pack(np.array(flat, ids_type))))
+            yield pa.RecordBatch.from_arrays([pa.array(block[order][first]), *(pa.array(list(c), pa.binary()) for c in zip(*rows))],
+                                             names=["block", "numbers", "lengths", "pieces"])
+
+    packs = cut.select("block", F.inline("packs")).repartition(tasks, "bucket").select("block", "number", "lengths", "chars")
+    found = packs.mapInArrow(chunks_of, "block long, number int, chunk string").sortWithinPartitions("chunk").mapInArrow(
+        segment, "block long, numbers binary, lengths binary, pieces binary")
+    of_block = found.groupBy("block").agg(F.collect_list(F.struct("numbers", "lengths", "pieces")).alias("entries"))     # a block's, so bounded
     whole = cut.select("block", "ids", "sizes", "places").join(of_block, "block", "left").select("ids", "sizes", "places", "entries")
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, sizes, places, entries = (batch.column(i).slice(row, 1).flatten() for i in range(4))
-                if len(entries):
-                    order = np.argsort(entries.field("number").to_numpy())
-                    pieces = entries.field("pieces").take(pa.array(order))
-                    flat = pieces.take(places)
-                    lengths = np.append(0, np.cumsum(pc.list_value_length(flat).to_numpy(zero_copy_only=False), dtype=np.int64))
-                    values = flat.flatten()
-                else:
-                    lengths, values = np.zeros(1, np.int64), pa.array([], pa.int32())
-                ends = lengths[np.append(0, np.cumsum(sizes.to_numpy()))]
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=["id", "ids"])
+                ids, sizes = batch.column("ids").slice(row, 1).flatten(), batch.column("sizes").slice(row, 1).flatten().to_numpy()
+                entries = batch.column("entries")[row].as_py() or []
+                places = unpack(batch.column("places")[row].as_py(), np.uint32)
+                numbers, lengths, pieces = (
+                    np.concatenate([np.zeros(0, kind), *parts]) for kind, parts in (
+                        (np.uint32, [np.cumsum(unpack(e["numbers"], np.uint32), dtype=np.uint32) for e in entries]),
+                        (np.uint32, [unpack(e["lengths"], np.uint32) for e in entries]), (ids_type, [unpack(e["pieces"], ids_type) for e in entries])))
+                start, size = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+                start[numbers], size[numbers] = np.cumsum(lengths, dtype=np.int64) - lengths, lengths
+                at = np.append(0, np.cumsum(sizes, dtype=np.int64))
+                begin = 0
+                while begin < len(sizes):       # so many texts that their chunks fill one part
+                    end = max(begin + 1, int(np.searchsorted(at, at[begin] + PART_CHUNKS, "right")) - 1)
+                    part = places[at[begin]:at[end]]
+                    counts = size[part]
+                    before = np.append(0, np.cumsum(counts))
+                    values = pieces[np.repeat(start[part] - before[:-1], counts) + np.arange(before[-1])].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.slice(begin, end - begin),
+                         pa.ListArray.from_arrays(pa.array(before[at[begin:end + 1] - at[begin]], pa.int32()), pa.array(values))], names=["id", "ids"])
+                    begin = end
 
     return whole.mapInArrow(together, f"id {id_type}, ids array<int>").withColumnRenamed("id", id)
 

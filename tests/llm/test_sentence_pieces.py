@@ -27,7 +27,7 @@ def odd_texts(n: int) -> list[str]:
     return ["".join(rng.choices(ODD, k=rng.randint(0, 25))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("block_bytes", [50, 4_000_000])
+@pytest.mark.parametrize("block_bytes", [50, 16_000_000])
 def test_encode_and_decode(spark, reference, block_bytes):
     rows = fixtures.rows() + [(2000 + i, t, None, None, None, None, None, None, None, None) for i, t in enumerate(odd_texts(300))]
     rows.append((3000, "ab▁ c" * 60_000, None, None, None, None, None, None, None, None))      # white space only by marker
