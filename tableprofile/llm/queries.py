@@ -187,7 +187,6 @@ def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    ids = sentence_pieces.encode(table(spark, sf_dir, "documents"), model).select(F.struct("doc_id", "ids").alias("of"), "ids")
-    return sentence_pieces.decode(ids, model, id="of").select(
-        "of.doc_id", F.size("of.ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("of.ids", ","), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"))
+    ids = sentence_pieces.encode(table(spark, sf_dir, "documents"), model)
+    digest = F.struct("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
+    return sentence_pieces.decode(ids.select(digest.alias("of"), "ids"), model, id="of").select("of.*", F.sha2("text", 256).alias("decoded_sha256"))

@@ -5,15 +5,20 @@ another character, no merge can cross the place before a run of markers, so a te
 chunks (markers and the word behind them) that are segmented independently of each other:
 
 1. texts are cut into chunks; a block of texts keeps its different chunks once and, per chunk of
-   its texts, the number of that chunk (written, compressed; a block is some MB or a single text),
+   its texts, the number of that chunk, compressed (a block is some MB or a single text),
 2. the blocks' chunks meet by hash and are sorted, so that each different one is segmented once,
 3. the pieces go back to the blocks, which put the ids of their texts together by position.
 
+Step 1 is done twice, once for the chunks and once for their places, which costs less than to keep
+them: writing the places doubles the disk. Both readings must give the same blocks. A block is
+known by its place and by a hash of its texts, and a reading that differs raises an error.
+
 What meets by hash are the blocks' different chunks, not the texts. A frequent word is one entry a block.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,13 +30,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tableprofile.llm.common import pick, written
+from tableprofile.llm.common import pick
 from tableprofile.llm.packed import pack, pack_bytes, unpack, unpack_bytes
 from tableprofile.llm.text_arrays import bytes_of, range_hashes, slices
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 BUCKETS = 8                # of a block's chunks, for each shuffle partition
-PART_CHUNKS = 500_000      # put together at a time
+PART = 250_000             # chunks put together, or ids decoded, at a time
 
 #: Fixed values of the model format: the marker of white space, kinds of pieces, kind of model.
 MARKER = "▁"
@@ -177,8 +182,8 @@ def _list(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _packs(chunks: pa.Array, buckets: int) -> tuple[pa.Array, np.ndarray]:
-    """(the chunks by bucket of their hash, sorted inside one; number of each given chunk in that order)."""
+def _packs(chunks: pa.Array, buckets: int, whole: bool) -> tuple[pa.StructArray | None, np.ndarray]:
+    """(with `whole`, the chunks by bucket of their hash, sorted inside one; number of each given chunk in that order)."""
     data, at = bytes_of(chunks)
     order = pc.sort_indices(chunks).to_numpy().astype(np.int64)
     bucket = (range_hashes(data, at[:-1], at[1:]) % np.uint64(buckets)).astype(np.int32)[order]
@@ -186,6 +191,8 @@ def _packs(chunks: pa.Array, buckets: int) -> tuple[pa.Array, np.ndarray]:
     order, bucket = order[inside], bucket[inside]
     number = np.empty(len(order), np.uint32)
     number[order] = np.arange(len(order), dtype=np.uint32)
+    if not whole:
+        return None, number
     data, at = bytes_of(chunks.take(pa.array(order)))
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
     ends = np.append(first[1:], len(bucket))
@@ -206,28 +213,35 @@ def encode(df: DataFrame, model: str, id: str = "doc_id", text: str = "text", bl
     text of any length is one block. Text is never normalised other than by the marker, which is
     also what the marker's own character in a text means.
 
-    Memory of a task: one block (`block_bytes` of texts, or one longer text) and a sort buffer.
+    `df` must give the same rows in the same order when it is read again, as a table of files does;
+    else RuntimeError says so, and `df` should be written first. Memory of a task: one block (`block_bytes` of texts, or one longer text) and a sort buffer.
     """
     ids_type = np.uint16 if len(pieces_of(model).surface) <= 1 << 16 else np.uint32     # also says now if the model doesn't fit
     id_type = df.schema[id].dataType.simpleString()
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         prefix, number = pieces_of(model).prefix, TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, texts = batch.column("id"), batch.column("text")
-            for begin, end, *_ in slices(texts, block_bytes):
-                chunks, places, sizes = _chunks(texts.slice(begin, end - begin), prefix)
-                packs, renumbered = _packs(chunks, tasks * BUCKETS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), _list(ids.slice(begin, end - begin)), _list(pa.array(sizes)),
-                     pa.array([pack(renumbered[places.to_numpy()])], pa.binary()), _list(packs)],
-                    names=["block", "ids", "sizes", "places", "packs"])
+            for begin, end, data, at in slices(texts, block_bytes):
+                mark = hashlib.blake2b(data.tobytes() + at.tobytes(), digest_size=8).digest()
+                yield number, int.from_bytes(mark, "little", signed=True), ids.slice(begin, end - begin), *_chunks(texts.slice(begin, end - begin), prefix)
                 number += 1
 
-    cut = written(pick(df, id=id, text=text).mapInArrow(
-        blocks, f"block long, ids array<{id_type}>, sizes array<int>, places binary, "
-                "packs array<struct<bucket: int, number: int, lengths: binary, chars: binary>>"))
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, mark, ids, chunks, places, sizes in cut(batches):
+            _, renumbered = _packs(chunks, tasks * BUCKETS, False)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([mark], pa.int64()), _list(ids), _list(pa.array(sizes)),
+                 pa.array([pack(renumbered[places.to_numpy()])], pa.binary())], names=["block", "mark", "ids", "sizes", "places"])
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, mark, _, chunks, _, _ in cut(batches):
+            made, _ = _packs(chunks, tasks * BUCKETS, True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(made), v), pa.int64()) for v in (number, mark)] + made.flatten(),
+                names=["block", "mark", "bucket", "number", "lengths", "chars"])
 
     def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,9 +249,9 @@ def encode(df: DataFrame, model: str, id: str = "doc_id", text: str = "text", bl
                 lengths = unpack(row["lengths"], np.uint32)
                 at = np.append(0, np.cumsum(lengths, dtype=np.int64))
                 chunks = pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(at), pa.py_buffer(unpack_bytes(row["chars"])))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(lengths), row["block"])), pa.array(np.arange(len(lengths), dtype=np.int32) + row["number"]),
-                     chunks.cast(pa.string())], names=["block", "number", "chunk"])
+                same = [pa.array(np.full(len(lengths), row[name])) for name in ("block", "mark", "bucket")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(lengths), dtype=np.int32) + row["number"]), chunks.cast(pa.string())],
+                                                 names=["block", "mark", "bucket", "number", "chunk"])
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunks come sorted, so each is worked out once; what a block gets from a batch is one row."""
@@ -257,14 +271,17 @@ def encode(df: DataFrame, model: str, id: str = "doc_id", text: str = "text", bl
                 flat = [i for w in which[of].tolist() for i in found[w]]
                 rows.append((pack(np.diff(number[of].astype(np.uint32), prepend=np.uint32(0))), pack(lengths[which[of]]),
                              pack(np.array(flat, ids_type))))
-            yield pa.RecordBatch.from_arrays([pa.array(block[order][first]), *(pa.array(list(c), pa.binary()) for c in zip(*rows))],
-                                             names=["block", "numbers", "lengths", "pieces"])
-
-    packs = cut.select("block", F.inline("packs")).repartition(tasks, "bucket").select("block", "number", "lengths", "chars")
-    found = packs.mapInArrow(chunks_of, "block long, number int, chunk string").sortWithinPartitions("chunk").mapInArrow(
-        segment, "block long, numbers binary, lengths binary, pieces binary")
-    of_block = found.groupBy("block").agg(F.collect_list(F.struct("numbers", "lengths", "pieces")).alias("entries"))     # a block's, so bounded
-    whole = cut.select("block", "ids", "sizes", "places").join(of_block, "block", "left").select("ids", "sizes", "places", "entries")
+            one = [batch.column(name).take(pa.array(order[first])) for name in ("block", "mark")]
+            yield pa.RecordBatch.from_arrays([*one, *(pa.array(list(c), pa.binary()) for c in zip(*rows))],
+                                             names=["block", "mark", "numbers", "lengths", "pieces"])
+
+    given = pick(df, id=id, text=text)
+    met = given.mapInArrow(packs, "block long, mark long, bucket int, number int, lengths binary, chars binary").repartition(tasks, "bucket")
+    found = met.mapInArrow(chunks_of, "block long, mark long, bucket long, number int, chunk string").sortWithinPartitions("bucket", "chunk") \
+        .mapInArrow(segment, "block long, mark long, numbers binary, lengths binary, pieces binary")
+    of_block = found.groupBy("block", "mark").agg(F.collect_list(F.struct("numbers", "lengths", "pieces")).alias("entries"))     # a block's, so bounded
+    whole = given.mapInArrow(blocks, f"block long, mark long, ids array<{id_type}>, sizes array<int>, places binary") \
+        .join(of_block, ["block", "mark"], "left").select("ids", "sizes", "places", "entries")
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,12 +293,14 @@ def encode(df: DataFrame, model: str, id: str = "doc_id", text: str = "text", bl
                     np.concatenate([np.zeros(0, kind), *parts]) for kind, parts in (
                         (np.uint32, [np.cumsum(unpack(e["numbers"], np.uint32), dtype=np.uint32) for e in entries]),
                         (np.uint32, [unpack(e["lengths"], np.uint32) for e in entries]), (ids_type, [unpack(e["pieces"], ids_type) for e in entries])))
+                if len(places) and (not len(numbers) or len(numbers) <= places.max()):
+                    raise RuntimeError("the table gave other rows when it was read again; write it to a file first")
                 start, size = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
                 start[numbers], size[numbers] = np.cumsum(lengths, dtype=np.int64) - lengths, lengths
                 at = np.append(0, np.cumsum(sizes, dtype=np.int64))
                 begin = 0
                 while begin < len(sizes):       # so many texts that their chunks fill one part
-                    end = max(begin + 1, int(np.searchsorted(at, at[begin] + PART_CHUNKS, "right")) - 1)
+                    end = max(begin + 1, int(np.searchsorted(at, at[begin] + PART, "right")) - 1)
                     part = places[at[begin]:at[end]]
                     counts = size[part]
                     before = np.append(0, np.cumsum(counts))
@@ -307,23 +326,28 @@ def decode(df: DataFrame, model: str, id: str = "doc_id", ids: str = "ids") -> D
         surface = pa.array(pieces.surface, pa.large_binary())
         plain = pieces.kinds == NORMAL
         for batch in batches:
-            given = pc.fill_null(batch.column("ids"), pa.scalar([], batch.column("ids").type))
-            flat, at = given.flatten(), np.append(0, np.cumsum(pc.list_value_length(given).to_numpy(zero_copy_only=False), dtype=np.int64))
-            lists = pa.LargeListArray.from_arrays(pa.array(at), surface.take(flat))
-            joined = pc.binary_join(lists, pa.scalar(b"", pa.large_binary())).to_pylist()
-            odd = np.append(0, np.cumsum(~plain[flat.to_numpy()]))
-            odd = np.diff(odd[at])
-            texts = []
-            for row, whole in enumerate(joined):
-                if odd[row]:
-                    # byte and control pieces: whole characters only where the bytes are right
-                    part = flat.slice(at[row], at[row + 1] - at[row]).to_numpy()
-                    kinds = pieces.kinds[part]
-                    if kinds[0] != NORMAL or not np.isin(kinds, (NORMAL, BYTE)).all() or not _whole(whole):
-                        texts.append(pieces.text(part.tolist()))
-                        continue
-                texts.append(whole[1:].decode() if pieces.prefix and whole.startswith(b" ") else whole.decode())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "text"])
+            all_ids = pc.fill_null(batch.column("ids"), pa.scalar([], batch.column("ids").type))
+            upto = np.append(0, np.cumsum(pc.list_value_length(all_ids).to_numpy(zero_copy_only=False), dtype=np.int64))
+            begin = 0
+            while begin < batch.num_rows:
+                end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + PART, "right")) - 1)
+                flat, at = all_ids.slice(begin, end - begin).flatten(), upto[begin:end + 1] - upto[begin]
+                lists = pa.LargeListArray.from_arrays(pa.array(at), surface.take(flat))
+                joined = pc.binary_join(lists, pa.scalar(b"", pa.large_binary())).to_pylist()
+                odd = np.append(0, np.cumsum(~plain[flat.to_numpy()]))
+                odd = np.diff(odd[at])
+                texts = []
+                for row, whole in enumerate(joined):
+                    if odd[row]:
+                        # byte and control pieces: whole characters only where the bytes are right
+                        part = flat.slice(at[row], at[row + 1] - at[row]).to_numpy()
+                        kinds = pieces.kinds[part]
+                        if kinds[0] != NORMAL or not np.isin(kinds, (NORMAL, BYTE)).all() or not _whole(whole):
+                            texts.append(pieces.text(part.tolist()))
+                            continue
+                    texts.append(whole[1:].decode() if pieces.prefix and whole.startswith(b" ") else whole.decode())
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(begin, end - begin), pa.array(texts, pa.string())], names=["id", "text"])
+                begin = end
 
     return pick(df, id=id, ids=ids).mapInArrow(read, f"id {id_type}, text string").withColumnRenamed("id", id)
 
