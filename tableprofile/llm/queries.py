@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tableprofile.llm import chat_format, decontamination, jaccard_join, language_id, licence_scan, line_dedup, mixing, quality_rules, sentence_pieces, suffix_dedup
+from tableprofile.llm import chat_format, decontamination, jaccard_join, language_id, lexical_search, licence_scan, line_dedup, mixing, quality_rules, sentence_pieces, suffix_dedup
 from tableprofile.llm.common import table
 from tableprofile.llm.token_counts import token_counts
 
@@ -190,3 +190,29 @@ def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = sentence_pieces.encode(table(spark, sf_dir, "documents"), model)
     digest = F.struct("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
     return sentence_pieces.decode(ids.select(digest.alias("of"), "ids"), model, id="of").select("of.*", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_lexical_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+held AS (SELECT * FROM d WHERE len(w) > 0),
+whole AS (SELECT count(*)::BIGINT AS N, sum(len(w))::BIGINT AS L FROM held),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM held) GROUP BY ALL),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * (SELECT N FROM whole) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf GROUP BY term),
+item AS (
+  SELECT item_id, term, count(*)::BIGINT AS q FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL) GROUP BY ALL),
+m AS (SELECT r, doc_id, 75 + ((25 * len(w)::BIGINT * (SELECT N FROM whole)) // (SELECT L FROM whole)) AS m FROM held),
+scored AS (
+  SELECT item_id, m.r, any_value(doc_id) AS doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM item JOIN weight USING (term) JOIN tf USING (term) JOIN m ON m.r = tf.r GROUP BY item_id, m.r)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20"""
