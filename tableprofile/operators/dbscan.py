@@ -1,187 +1,102 @@
 """DBSCAN noise (Ester et al. 1996): points that are neither core nor within eps of a core point.
 
-Only noise is asked for, so no clusters are formed. The points are put on a grid whose cells
-have diameter eps. A cell with min_samples points consists of core points, however many it
-holds: it is represented by its count and bounding box, and its points are looked at again
-only where a box does not settle the question. Work is therefore driven by the thinly
-populated cells, not by the pairs of near points, which a dense table has without bound.
+Only noise is asked for, so no clusters are formed. Equal rows are one location with a weight. Space is
+cut into boxes of bounded population, and counts only ever grow, so a location is settled as soon
+as enough rows are known to be near:
+
+1. at home, against the locations of its own box (a box no wider than eps needs no comparison),
+2. by a box that lies within eps as a whole and holds enough rows,
+3. as a guest of the other boxes that its eps ball reaches; only locations still open travel.
+
+What is not core then looks for a core location in the boxes it reaches. In dense space nearly all is
+settled at home, in thin space a ball reaches few boxes, so few rows travel either way.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
 from tableprofile.operators.features import Features
-from tableprofile.plans.cuts import BROADCAST_ROWS, cut, small_side
+from tableprofile.plans.boxes import GUESTS_PER_TASK, cut_boxes, meet
+from tableprofile.plans.cuts import cut, small_side
 
 EPS = 0.5
 MIN_SAMPLES = 5
-# Neighbour cells enumerated per point; further dimensions are left to the distance test.
-_MAX_OFFSETS = 20_000
-
-
-@dataclass
-class _Grid:
-    dims: int
-    eps: float
-
-    @property
-    def side(self) -> float:
-        return self.eps / math.sqrt(self.dims) * (1.0 - 1e-9)
-
-    @property
-    def reach(self) -> int:
-        return math.floor(math.sqrt(self.dims)) + 1
-
-    @property
-    def keyed(self) -> int:
-        """How many dimensions serve as join key."""
-        n = self.dims
-        while n > 1 and (2 * self.reach + 1) ** n > _MAX_OFFSETS:
-            n -= 1
-        return n
-
-    @property
-    def xs(self) -> list[str]:
-        return [f"x{i}" for i in range(self.dims)]
-
-    @property
-    def cell(self) -> list[str]:
-        return [f"c{i}" for i in range(self.dims)]
-
-    @property
-    def keys(self) -> list[str]:
-        return [f"k{i}" for i in range(self.keyed)]
-
-    def with_cell(self, rows: DataFrame) -> DataFrame:
-        return rows.select("*", *[F.floor(F.col(x) / self.side).alias(c) for x, c in zip(self.xs, self.cell)])
-
-    def probes(self, points: DataFrame) -> DataFrame:
-        """Each point once per cell key its eps ball can touch; pruned dimension by dimension."""
-        limit = self.eps * self.eps * (1.0 + 1e-9)
-        out = points.withColumn("__gap", F.lit(0.0))
-        for x, c, k in list(zip(self.xs, self.cell, self.keys)):
-            out = out.withColumn(k, F.explode(F.sequence(F.col(c) - self.reach, F.col(c) + self.reach)))
-            low, high = F.col(k) * self.side, (F.col(k) + 1) * self.side
-            gap = F.greatest(F.lit(0.0), low - F.col(x), F.col(x) - high)
-            out = out.withColumn("__gap", F.col("__gap") + gap * gap).where(F.col("__gap") <= limit)
-        return out.drop("__gap", *self.cell)
-
-    def keyed_cells(self, cells: DataFrame) -> DataFrame:
-        for c, k in zip(self.cell, self.keys):
-            cells = cells.withColumn(k, F.col(c))
-        return cells
-
-    def nearest(self) -> Column:
-        """Squared distance from a point to the nearest place of a box (lo, hi)."""
-        return self._sum(lambda x, lo, hi: F.greatest(F.lit(0.0), lo - x, x - hi))
-
-    def farthest(self) -> Column:
-        return self._sum(lambda x, lo, hi: F.greatest(F.abs(x - lo), F.abs(x - hi)))
-
-    def _sum(self, part) -> Column:
-        total = F.lit(0.0)
-        for i in range(self.dims):
-            d = part(F.col(f"x{i}"), F.col(f"lo{i}"), F.col(f"hi{i}"))
-            total = total + d * d
-        return total
-
-
-def _sparse_points(grid: _Grid, rows: DataFrame, cells: DataFrame, total: int, sparse_cells: int,
-                   min_samples: int) -> DataFrame:
-    """The rows that lie in cells with fewer than min_samples rows.
-
-    The fullest cells (under a thousand can hold more than a thousandth of the rows each) are
-    dropped by a broadcast anti join, so no hot cell reaches the shuffle of the second join.
-    """
-    if sparse_cells > BROADCAST_ROWS:
-        full = cells.where(F.col("n") > max(min_samples, total // 1000)).select(*grid.cell)
-        rows = rows.join(F.broadcast(full), grid.cell, "left_anti")
-    sparse = cells.where(F.col("n") < min_samples).select(*grid.cell)
-    return rows.join(small_side(sparse, sparse_cells), grid.cell, "left_semi")
-
-
-def _inside_partly(grid: _Grid, rows: DataFrame, partly: DataFrame, min_samples: int) -> DataFrame:
-    """(row_id, more): how many points of its partly reached cells a point has within eps, if any.
-
-    The cells are first cut finer, and the parts again stand for their points. Single points
-    are compared only in parts that the ball grazes, and only for points still undecided; the
-    parts are the join key, so a full cell is spread over many tasks. `more` may stop short of
-    the true number once the point is known to be core.
+BOX_ROWS = 2_000
+_CELLS = 1_000_000          # distances held at a time in a task
+
+
+def _near(queries: np.ndarray, points: np.ndarray, weights: np.ndarray, limit: float) -> np.ndarray:
+    """Total weight of the points within the squared distance `limit` of each query."""
+    out = np.zeros(len(queries), np.int64)
+    step = max(1, _CELLS // max(1, len(points)))
+    for start in range(0, len(queries), step):
+        part = queries[start:start + step]
+        squares = np.zeros((len(part), len(points)))
+        for j in range(points.shape[1]):
+            diff = part[:, j, None] - points[None, :, j]
+            squares += diff * diff
+        out[start:start + step] = (squares <= limit) @ weights
+    return out
+
+
+def dbscan_noise(f: Features, eps: float = EPS, min_samples: int = MIN_SAMPLES, box_rows: int = BOX_ROWS,
+                 guests_per_task: int = GUESTS_PER_TASK) -> DataFrame:
+    """(row_id): the noise points of the standardised data; a point counts as its own neighbour.
+
+    Exact for any number of columns. Its jobs run when it is called. A task holds one box (`box_rows`
+    locations) and up to `guests_per_task` guests.
     """
-    if partly.isEmpty():
-        return partly.select("row_id", F.lit(0).cast("long").alias("more"))
-    fine = [f"s{i}" for i in range(grid.dims)]
-    side = grid.side / (4 if grid.dims <= 5 else 2)
-    cells = partly.select(*grid.cell).distinct()
-    inside = rows.join(small_side(cells), grid.cell, "left_semi").select(
-        *grid.cell, *[F.floor(F.col(x) / side).alias(s) for x, s in zip(grid.xs, fine)],
-        *[F.col(x).alias(f"p{i}") for i, x in enumerate(grid.xs)])
-    parts = cut(inside.groupBy(*grid.cell, *fine).agg(
-        F.count(F.lit(1)).alias("n"), *[g(f"p{i}").alias(f"{name}{i}") for i in range(grid.dims)
-                                        for name, g in (("lo", F.min), ("hi", F.max))]))
-    limit = grid.eps * grid.eps
-    met = cut(partly.join(small_side(parts), grid.cell).where(grid.nearest() <= limit)
-              .withColumn("whole", grid.farthest() <= limit)
-              .select("row_id", "sure", *grid.xs, *grid.cell, *fine, "n", "whole"))
-    by_part = cut(met.groupBy("row_id", "sure").agg(F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).alias("more")))
-    grazed = cut(met.where(~F.col("whole")).join(
-        by_part.where(F.col("sure") + F.col("more") < min_samples).select("row_id"), "row_id", "left_semi")
-        .select("row_id", *grid.xs, *grid.cell, *fine))
-    gap = F.lit(0.0)
-    for i, x in enumerate(grid.xs):
-        gap = gap + (F.col(x) - F.col(f"p{i}")) * (F.col(x) - F.col(f"p{i}"))
-    by_point = inside.join(small_side(grazed), [*grid.cell, *fine]).where(gap <= limit) \
-                     .groupBy("row_id").agg(F.count(F.lit(1)).alias("more"))
-    return by_part.select("row_id", "more").unionByName(by_point).groupBy("row_id").agg(F.sum("more").alias("more")) \
-                  .where(F.col("more") > 0)
-
-
-def dbscan_noise(f: Features, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
-    """(row_id): the noise points of the standardised data; a point counts as its own neighbour."""
-    grid = _Grid(len(f.columns), eps)
-    near, all_in = grid.nearest() <= eps * eps, grid.farthest() <= eps * eps
-    rows = grid.with_cell(f.scaled_rows())
-    cells = cut(rows.groupBy(*grid.cell).agg(
-        F.count(F.lit(1)).alias("n"), *[g(x).alias(f"{name}{i}") for i, x in enumerate(grid.xs)
-                                        for name, g in (("lo", F.min), ("hi", F.max))]))
-    size = cells.agg(F.count(F.when(F.col("n") < min_samples, 1)).alias("sparse"),
-                     F.count(F.when(F.col("n") >= min_samples, 1)).alias("dense")).first()
-    sparse = cut(_sparse_points(grid, rows, cells, f.count, size.sparse, min_samples))
-    n_sparse = sparse.count()
-
-    # 1. neighbours in sparse cells one by one, dense cells by their box
-    boxes = [f"{name}{i}" for i in range(grid.dims) for name in ("lo", "hi")]
-    dense = grid.keyed_cells(cells.where(F.col("n") >= min_samples)).withColumn("dense", F.lit(True))
-    single = grid.keyed_cells(sparse)
-    for i, x in enumerate(grid.xs):
-        single = single.withColumn(f"lo{i}", F.col(x)).withColumn(f"hi{i}", F.col(x))
-    targets = dense.select(*grid.keys, *boxes, "n", "dense").unionByName(
-        single.select(*grid.keys, *boxes, F.lit(1).cast("long").alias("n"), F.lit(False).alias("dense")))
-    met = grid.probes(sparse).join(small_side(targets, size.dense + n_sparse), grid.keys).where(near)
-    seen = met.groupBy("row_id").agg(
-        F.sum(F.when(all_in, F.col("n")).otherwise(0)).alias("sure"),
-        F.max(F.col("dense") & all_in).alias("near_core"),
-        F.max(F.col("dense") & ~all_in).alias("open"))
-    points = cut(sparse.join(seen, "row_id"))
-
-    # 2. dense cells that are only partly within reach
-    undecided = points.where((F.col("sure") < min_samples) & F.col("open")).select("row_id", "sure", *grid.xs, *grid.cell)
-    partly = grid.probes(undecided).join(small_side(dense.select(*grid.keys, *grid.cell, *boxes), size.dense),
-                                         grid.keys).where(near & ~all_in)
-    inner = _inside_partly(grid, rows, cut(partly.select("row_id", "sure", *grid.xs, *grid.cell)), min_samples)
-    points = points.join(inner, "row_id", "left").select(
-        "row_id", *grid.xs, *grid.cell,
-        (F.col("sure") + F.coalesce("more", F.lit(0)) >= min_samples).alias("core"),
-        (F.col("near_core") | F.col("more").isNotNull()).alias("near_core"))
-    points = cut(points)
-
-    # 3. what is left is noise unless a core point of a sparse cell is within eps
-    left = points.where(~F.col("core") & ~F.col("near_core")).select("row_id", *grid.xs, *grid.cell)
-    cores = grid.keyed_cells(points.where("core")).select(
-        *grid.keys, *[F.col(x).alias(f"{n}{i}") for i, x in enumerate(grid.xs) for n in ("lo", "hi")])
-    saved = grid.probes(left).join(small_side(cores), grid.keys).where(near).select("row_id").distinct()
-    return left.select("row_id").join(saved, "row_id", "left_anti")
+    columns, limit = f.columns, eps * eps
+    coords = ", ".join(f"{c} double" for c in columns)
+    locations = cut(f.scaled_rows().groupBy(*columns).agg(F.count(F.lit(1)).alias("w"))
+                    .select(F.monotonically_increasing_id().alias("id"), *columns, "w"))
+    boxes = cut_boxes(locations, columns, box_rows)
+
+    def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
+        points, weights = pdf[columns].to_numpy(dtype=float), pdf["w"].to_numpy()
+        if (np.ptp(points, axis=0) ** 2).sum() <= limit and weights.sum() >= min_samples:
+            pdf["near"] = weights.sum()
+        else:
+            pdf["near"] = _near(points, points, weights, limit)
+        return pdf[["id", *columns, "w", "box", "near"]]
+
+    home = cut(boxes.points.drop("top").groupBy("box").applyInPandas(at_home, f"id long, {coords}, w long, box long, near long"))
+    is_open = F.col("near") < min_samples
+    balls = home.where(is_open).select("id", *columns, "near", F.col("box").alias("home"), F.lit(float(eps)).alias("radius"))
+    reached = cut(boxes.visits(balls, guests_per_task))
+
+    # 2. boxes within the ball as a whole
+    per_box = boxes.table.select("box", F.col("w").alias("held"), "low", "high")
+    far = F.lit(0.0)
+    for i, c in enumerate(columns):
+        d = F.greatest(F.abs(F.col(c) - F.col("low")[i]), F.abs(F.col(c) - F.col("high")[i]))
+        far = far + d * d
+    inside = reached.join(small_side(per_box), "box").where((F.col("held") >= min_samples) & (far <= limit))
+    settled = cut(inside.select("id").distinct())
+
+    # 3. the others as guests
+    def count(guests: pd.DataFrame, hosts: pd.DataFrame) -> pd.DataFrame:
+        more = _near(guests[columns].to_numpy(dtype=float), hosts[columns].to_numpy(dtype=float), hosts["w"].to_numpy(), limit)
+        return pd.DataFrame({"id": guests["id"].to_numpy()[more > 0], "more": more[more > 0]})
+
+    away = reached.where(F.col("box") != F.col("home")).join(small_side(settled), "id", "left_anti")
+    met = meet(away.select("id", *columns, "box"), home.select("box", *columns, "w"), count, "id long, more long", guests_per_task)
+    late = home.where(is_open).select("id", "near").join(met.groupBy("id").agg(F.sum("more").alias("more")), "id") \
+        .where(F.col("near") + F.col("more") >= min_samples).select("id")
+    late = cut(settled.unionByName(late).distinct())
+
+    # what is not core, against core locations
+    cores = home.where(~is_open).select("box", *columns, "w").unionByName(
+        home.where(is_open).join(small_side(late), "id", "left_semi").select("box", *columns, "w"))
+    left = reached.join(small_side(late), "id", "left_anti").select("id", *columns, "box")
+
+    def beside(guests: pd.DataFrame, hosts: pd.DataFrame) -> pd.DataFrame:
+        near = _near(guests[columns].to_numpy(dtype=float), hosts[columns].to_numpy(dtype=float), np.ones(len(hosts), np.int64), limit)
+        return pd.DataFrame({"id": guests["id"].to_numpy()[near > 0]})
+
+    saved = meet(left, cores, beside, "id long", guests_per_task).distinct()
+    noise = cut(left.select("id", *columns).distinct().join(saved, "id", "left_anti").select(*columns))
+    return f.scaled_rows().join(small_side(noise), columns, "left_semi").select("row_id")

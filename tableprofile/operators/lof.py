@@ -1,28 +1,25 @@
 """Local Outlier Factor (Breunig et al. 2000) with exact nearest neighbours.
 
 Identical rows are first merged into one location with a multiplicity. Space is cut into boxes
-of about equal population; each box finds the neighbours of its locations, and a location is
-sent on only to the other boxes that its neighbour radius reaches.
+of bounded population by aggregates on the executors; each box finds the neighbours of its locations,
+and a location is sent on only to the other boxes that its neighbour radius reaches.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tableprofile.operators.features import Features
-from tableprofile.plans.boxes import box_of_points, boxes_touched, build_boxes
-from tableprofile.plans.cuts import cut, hot_split_join
+from tableprofile.plans.boxes import cut_boxes, meet, touched
+from tableprofile.plans.cuts import cut, hot_split_join, small_side
 from tableprofile.plans.quantiles import exact_quantiles
 
 NEIGHBOURS = 20
 CONTAMINATION = 0.1
 BOX_ROWS = 2_000
 VISITORS_PER_TASK = 50_000
-_SAMPLE_ROWS = 2_000_000
 _CELLS = 4_000_000          # distances held at a time in a task
 
 
@@ -71,80 +68,63 @@ def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, weights: n
 
 
 def _locations(f: Features) -> DataFrame:
-    """(id, x..., w): distinct points with their number of rows, combined map-side."""
+    """(id, x..., w): distinct points with their number of rows, combined map-side. The id follows the
+    order of the smallest row_id, whatever its type."""
     merged = f.rows.groupBy(*f.columns).agg(F.count(F.lit(1)).alias("w"), F.min("row_id").alias("id"))
     if dict(merged.dtypes)["id"] not in ("bigint", "int", "smallint", "tinyint"):
-        merged = merged.withColumn("id", F.monotonically_increasing_id())
+        # numbers that rise with the partitions of a sort; fixed by the checkpoint
+        merged = merged.orderBy("id").withColumn("id", F.monotonically_increasing_id())
     return cut(merged.select(F.col("id").cast("long").alias("id"), *f.columns, "w"))
 
 
-def _box_tree(locations: DataFrame, cols: list[str], n: int, k: int, box_rows: int) -> dict[str, np.ndarray]:
-    sample = locations
-    if n > _SAMPLE_ROWS:
-        bucket = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-        sample = sample.where(bucket < int(_SAMPLE_ROWS / n * (1 << 40)))
-    points = sample.orderBy("id").select(*cols).toPandas().to_numpy(dtype=float)   # bounded by _SAMPLE_ROWS
-    boxes = max(1, math.ceil(n / box_rows))
-    return build_boxes(points, max(k + 1, len(points) // (2 * boxes)))
-
-
 def neighbours(f: Features, k: int, box_rows: int = BOX_ROWS, visitors_per_task: int = VISITORS_PER_TASK,
                ) -> tuple[DataFrame, DataFrame]:
     """Locations (id, x..., w) and their neighbours (id, d, other, w), weights adding up to k per id."""
     locations = _locations(f)
     cols = f.columns
-    n = locations.count()
-    tree = _box_tree(locations, cols, n, k, box_rows)
-    shared = locations.sparkSession.sparkContext.broadcast(tree)
+    boxes = cut_boxes(locations, cols, max(box_rows, k + 1))
+    shared, one_level = boxes.shared, boxes.one_level
     coords = ", ".join(f"{c} double" for c in cols)
-
-    @F.pandas_udf("long")
-    def box_of(*xs: pd.Series) -> pd.Series:
-        return pd.Series(box_of_points(shared.value, np.column_stack([x.to_numpy(dtype=float) for x in xs])))
-
-    boxed = locations.withColumn("box", box_of(*cols))
+    # a box with too few rows takes the bounds of the box it was cut from, which had enough
+    up = boxes.parents.select(F.col("box").alias("up"), F.col("low").alias("up_low"), F.col("high").alias("up_high"))
+    few = cut(boxes.table.where(F.col("w") <= k).join(up, "up").select("box", "up_low", "up_high"))
+    boxed = boxes.points.join(small_side(few), "box", "left")
 
     def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
-        points, ids, home = pdf[cols].to_numpy(dtype=float), pdf["id"].to_numpy(), int(pdf["box"].iloc[0])
+        points, ids, top = pdf[cols].to_numpy(dtype=float), pdf["id"].to_numpy(), int(pdf["top"].iloc[0])
         q, d, other, w = nearest(points, points, ids, pdf["w"].to_numpy(), k, own=np.arange(len(pdf)))
-        full = np.bincount(q, weights=w, minlength=len(pdf)) >= k
         radius = np.zeros(len(pdf))
         np.maximum.at(radius, q, d)
-        radius[~full] = np.inf
-        visits = [(i, b) for i, boxes in enumerate(boxes_touched(shared.value, points, radius)) for b in boxes if b != home]
-        at, box = np.array(visits, dtype=np.int64).reshape(-1, 2).T
-        travels = np.zeros(len(pdf), dtype=bool)
-        travels[at] = True
-        pairs = pd.DataFrame({"id": ids[q], "d": d, "other": other, "w": w, "travels": travels[q]})
-        journeys = pd.DataFrame({"id": ids[at], "travels": True, "box": box, "radius": radius[at],
-                                 **{c: points[at, i] for i, c in enumerate(cols)}})
-        out = pd.concat([pairs, journeys], ignore_index=True)
-        for c in ("other", "w", "box"):
-            out[c] = out[c].astype("Int64")
+        if pdf["up_low"].iloc[0] is not None:
+            low, high = np.array(pdf["up_low"].iloc[0]), np.array(pdf["up_high"].iloc[0])
+            far = np.sqrt((np.maximum(np.abs(points - low), np.abs(points - high)) ** 2).sum(axis=1))
+            radius = np.where(np.bincount(q, weights=w, minlength=len(pdf)) >= k, radius, far)
+        travels = np.full(len(pdf), not one_level)
+        if one_level:
+            at, box = touched(shared.value, points, radius)
+            travels[at[shared.value["top"][box] != top]] = True
+        going = np.flatnonzero(travels)
+        # whole numbers stay whole beside nulls: box ids have 64 bits
+        whole = lambda values: pd.array(values, dtype="Int64")
+        pairs = pd.DataFrame({"id": ids[q], "d": d, "other": whole(other), "w": whole(w), "travels": travels[q]})
+        balls = pd.DataFrame({"id": ids[going], "travels": True, "home": whole(pdf["box"].to_numpy()[going]), "radius": radius[going],
+                              **{c: points[going, i] for i, c in enumerate(cols)}})
+        out = pd.concat([pairs, balls], ignore_index=True)
         out["travels"] = out["travels"].astype(bool)
         return out
 
     home = cut(boxed.groupBy("box").applyInPandas(
-        at_home, f"id long, d double, other long, w long, travels boolean, box long, radius double, {coords}"))
-
-    pairs = home.where(F.col("box").isNull()).select("id", "d", "other", "w", "travels")
-    visitors = home.where(F.col("box").isNotNull()).select("id", *cols, "radius", "box")
-    # a box that many want to see is copied to several tasks; one row per box is broadcast
-    slots = F.broadcast(visitors.groupBy("box").agg(F.ceil(F.count(F.lit(1)) / visitors_per_task).alias("slots")))
-    hosts = boxed.join(slots, "box").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
-    guests = visitors.join(slots, "box").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")))
-
-    def abroad(pdf: pd.DataFrame) -> pd.DataFrame:
-        host, guest = pdf[pdf["radius"].isna()], pdf[pdf["radius"].notna()]
-        if not len(host) or not len(guest):
-            return pd.DataFrame({"id": [], "d": [], "other": [], "w": []})
+        at_home, f"id long, d double, other long, w long, travels boolean, home long, radius double, {coords}"))
+    pairs = home.where(F.col("home").isNull()).select("id", "d", "other", "w", "travels")
+    balls = home.where(F.col("home").isNotNull()).select("id", *cols, "radius", "home")
+    guests = cut(boxes.visits(balls, visitors_per_task).where(F.col("box") != F.col("home")).drop("home"))
+
+    def abroad(guest: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
         q, d, other, w = nearest(guest[cols].to_numpy(dtype=float), host[cols].to_numpy(dtype=float),
                                  host["id"].to_numpy(), host["w"].to_numpy(), k, radius=guest["radius"].to_numpy())
         return pd.DataFrame({"id": guest["id"].to_numpy()[q], "d": d, "other": other, "w": w})
 
-    away = hosts.select("box", "slot", "id", *cols, "w", F.lit(None).cast("double").alias("radius")).unionByName(
-        guests.select("box", "slot", "id", *cols, F.lit(0).cast("long").alias("w"), "radius")
-    ).groupBy("box", "slot").applyInPandas(abroad, "id long, d double, other long, w long")
+    away = meet(guests, boxes.points.drop("top"), abroad, "id long, d double, other long, w long", visitors_per_task)
 
     # at most k entries from each box visited compete for the k places of a traveller
     before = F.sum("w").over(Window.partitionBy("id").orderBy("d", "other")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tableprofile.operators.dictionary import Dictionary, Entry, built_in
 from tableprofile.operators.words import STOP_WORDS
-from tableprofile.workload import CUSTOMER, PARTS, PLACES, SPELLINGS, TEXT_TERMS
+from tableprofile.workload import CUSTOMER, FIVE, NEARLY_CONSTANT, PARTS, PLACES, SPELLINGS, TEXT_TERMS
 
 ORACLES: dict[str, str] = {}
 
@@ -350,6 +350,28 @@ def _noise(table: str, key: str, cols, eps: float) -> str:
         SELECT row_id FROM p WHERE row_id NOT IN (SELECT row_id FROM saved)"""
 
 
+def _noise_rows(columns: dict[str, str], eps: float) -> str:
+    """As _noise, of lineitem numbered here; pairs meet by the cells of the first two columns."""
+    n, names = len(columns), list(columns)
+    cells = "floor(x0 / {0})::INT AS c0, floor(x1 / {0})::INT AS c1".format(eps * (1 + 1e-9))
+    near = f"(SELECT unnest([-1, 0, 1]) AS d0) u, (SELECT unnest([-1, 0, 1]) AS d1) v"
+    scaled = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS x{i}" for i, c in enumerate(names))
+    return f"""
+        WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, l_orderkey, l_linenumber, {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM lineitem),
+             s AS MATERIALIZED (SELECT r, {scaled} FROM t),
+             p AS MATERIALIZED (SELECT *, {cells} FROM s),
+             q AS MATERIALIZED (SELECT p.* REPLACE (c0 + d0 AS c0, c1 + d1 AS c1) FROM p, {near}),
+             core AS MATERIALIZED (SELECT q.r FROM q JOIN p ON q.c0 = p.c0 AND q.c1 = p.c1 AND {_distance(n, 'q', 'p')} <= {eps * eps}
+                      GROUP BY q.r HAVING count(*) >= 5),
+             c AS MATERIALIZED (SELECT p.* FROM p SEMI JOIN core ON p.r = core.r),
+             rest AS MATERIALIZED (SELECT q.* FROM q ANTI JOIN core ON q.r = core.r),
+             saved AS (SELECT DISTINCT rest.r FROM rest JOIN c ON rest.c0 = c.c0 AND rest.c1 = c.c1 AND {_distance(n, 'rest', 'c')} <= {eps * eps})
+        SELECT l_orderkey, l_linenumber, {', '.join(names)} FROM t
+        WHERE r NOT IN (SELECT r FROM core) AND r NOT IN (SELECT r FROM saved)"""
+
+
+ORACLES["dbscan_noise_five"] = _noise_rows({c: c for c in FIVE}, 0.35)
+ORACLES["dbscan_noise_seven"] = _noise_rows(NEARLY_CONSTANT, 0.25)
 ORACLES["dbscan_noise"] = _noise("customer", "c_custkey", CUSTOMER, 0.2)
 ORACLES["dbscan_noise_default"] = _noise("events", "event_id", ["user_id", "value"], 0.5)
 

@@ -10,6 +10,7 @@ from tableprofile.operators import (
     consensus, dbscan, extraction, features, filters, geo, histograms, isolation_forest, kinds, kmeans, lof,
     outliers, patterns, summary, trends, values, words)
 from tableprofile.operators.dictionary import Dictionary, built_in
+from tableprofile.plans.cuts import with_row_id
 from tableprofile.sources.nested import flatten
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,6 +178,24 @@ query("standardise", "customer")(
 query("dbscan_noise", "customer")(lambda df: dbscan.dbscan_noise(_customer(df), eps=0.2))
 query("dbscan_noise_default", "events")(
     lambda df: dbscan.dbscan_noise(features.features(df, "event_id", ["user_id", "value"])))
+
+
+FIVE = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"]
+#: Four columns and three that hold the same value in nearly all rows.
+NEARLY_CONSTANT = {"l_partkey": "l_partkey", "l_quantity": "l_quantity", "l_discount": "l_discount", "l_tax": "l_tax",
+                   "most": "CAST(l_quantity >= 50 AS INT)", "dear": "CAST(l_extendedprice >= 100000 AS INT)", "late": "CAST(l_linenumber >= 7 AS INT)"}
+
+
+def _noise_rows(df: DataFrame, columns: list[str], eps: float) -> DataFrame:
+    """The noise of a table without a key, as its rows."""
+    numbered = with_row_id(df.select("l_orderkey", "l_linenumber", *columns))
+    noise = dbscan.dbscan_noise(features.features(numbered, "row_id", columns), eps)
+    return numbered.join(noise, "row_id", "left_semi").select("l_orderkey", "l_linenumber", *columns)
+
+
+query("dbscan_noise_five", "lineitem")(lambda df: _noise_rows(df, FIVE, 0.35))
+query("dbscan_noise_seven", "lineitem")(lambda df: _noise_rows(
+    df.selectExpr("l_orderkey", "l_linenumber", *[f"{e} AS {c}" for c, e in NEARLY_CONSTANT.items()]), list(NEARLY_CONSTANT), 0.25))
 query("lof_outliers", "customer")(lambda df: lof.lof_outliers(_customer(df)))
 query("lof_scores", "supplier")(
     lambda df: rounded(lof.lof_scores(features.features(df, "s_suppkey", ["s_nationkey", "s_acctbal"])), "lof"))

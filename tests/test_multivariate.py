@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tableprofile.operators import consensus, dbscan, features, isolation_forest, kmeans, lof, outliers
-from tableprofile.plans.boxes import box_of_points, boxes_touched, build_boxes
-from tableprofile.plans.cuts import hot_split_join, with_row_id
+from tableprofile.plans.boxes import cut_boxes, touched, tree_of
+from tableprofile.plans.cuts import cut, hot_split_join, with_row_id
 from tableprofile.plans.quantiles import exact_quantiles
 
 
@@ -96,6 +96,13 @@ def test_dbscan(cloud, cloud_features, eps, m):
     assert got == brute_noise(x, eps, m)
 
 
+@pytest.mark.parametrize("box_rows", [40, 7])
+def test_dbscan_many_boxes(cloud, cloud_features, box_rows):
+    x = (cloud - cloud.mean(0)) / cloud.std(0)
+    got = {r.row_id for r in dbscan.dbscan_noise(cloud_features, 0.12, 5, box_rows, guests_per_task=9).collect()}
+    assert got == brute_noise(x, 0.12, 5)
+
+
 @pytest.mark.parametrize("dims", [2, 5, 7])
 def test_dbscan_dimensions(spark, dims):
     rng = np.random.default_rng(dims)
@@ -142,18 +149,58 @@ def test_lof_text_ids(spark):
     assert lof.lof_outliers(f).count() == 6
 
 
-def test_boxes():
+def test_lof_text_ids_decide_ties(spark):
+    """Points of a grid have many equal distances: the row_id that comes first wins, however the rows lie."""
+    points = np.array([[i % 9, i // 9] for i in range(81)], dtype=float)
+    names = [f"n{i:03d}" for i in range(81)]
+    rows = list(zip(names, points[:, 0].tolist(), points[:, 1].tolist()))
+    want = brute_lof(points, 3)
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows[::-1], "name string, p0 double, p1 double").repartition(parts)
+        got = {r.row_id: r.lof for r in lof.lof_scores(features.features(df, "name", ["p0", "p1"]), 3, 12).collect()}
+        assert np.allclose([got[n] for n in names], want, rtol=1e-9)
+
+
+def test_search_tree():
+    rng = np.random.default_rng(2)
+    low = rng.normal(size=(700, 3))
+    high = low + rng.exponential(size=(700, 3)) * 0.3
+    points, radius = rng.normal(size=(60, 3)), rng.exponential(size=60)
+    at, box = touched(tree_of(low, high), points, radius)
+    gap = np.maximum(0, np.maximum(low[None] - points[:, None], points[:, None] - high[None]))
+    want = np.argwhere((gap ** 2).sum(-1) <= (radius ** 2)[:, None])
+    assert sorted(zip(at, box)) == sorted(map(tuple, want))
+    assert len(touched(tree_of(low[:1], high[:1]), points, np.full(60, 100.0))[0]) == 60
+
+
+@pytest.mark.parametrize("top_boxes", [100_000, 40])
+def test_boxes(spark, top_boxes):
+    """Bounded population, with values that many points share and one nearly constant column."""
     rng = np.random.default_rng(0)
-    points = np.column_stack([rng.normal(size=3000), rng.integers(0, 3, 3000), rng.exponential(size=3000)])
-    tree = build_boxes(points, 21)
-    home = box_of_points(tree, points)
-    assert np.bincount(home).min() >= 21 and home.max() > 50
-    r = np.full(3000, 0.3)
-    touched = boxes_touched(tree, points, r)
-    d = np.sqrt(((points[:40, None] - points[None]) ** 2).sum(-1))
-    for i in range(40):
-        assert set(home[d[i] <= 0.3]) <= set(touched[i])
-    assert len(set(box_of_points(build_boxes(np.ones((500, 2)), 5), np.ones((500, 2))))) == 1
+    points = np.column_stack([rng.normal(size=6000), rng.integers(0, 3, 6000), rng.exponential(size=6000),
+                              np.where(rng.uniform(size=6000) < 0.99, 0.0, rng.normal(size=6000))])
+    pdf = pd.DataFrame(points, columns=["x0", "x1", "x2", "x3"]).assign(id=range(6000), w=1)
+    boxes = cut_boxes(cut(spark.createDataFrame(pdf)), ["x0", "x1", "x2", "x3"], 25, top_boxes=top_boxes)
+    assert boxes.one_level == (top_boxes > 40)
+    table = boxes.table.toPandas().set_index("box")
+    assert table.n.sum() == 6000 and table.n.max() <= 25 and len(table) < 3000
+    home = boxes.points.toPandas().set_index("id").sort_index()
+    assert (home.box.map(table.top) == home.top).all()
+    few = boxes.points.where("id < 60").withColumn("radius", F.lit(0.3)).drop("box", "top")
+    visits = boxes.visits(few, 11).toPandas()
+    near = ((points[:60, None] - points[None]) ** 2).sum(-1) <= 0.09
+    for i in range(60):
+        assert set(home.box[near[i]]) <= set(visits.box[visits.id == i])
+    assert len(visits) == len(visits[["id", "box"]].drop_duplicates()) < 60 * len(table) / 5
+
+
+def test_boxes_of_equal_coordinates(spark):
+    """Points that differ in one column only, and most of them at its largest or smallest value in another."""
+    pdf = pd.DataFrame({"id": range(1000), "w": 1, "x0": [0.0] * 990 + [1e-9 * i for i in range(10)], "x1": [5.0] * 10 + [9.0] * 990,
+                        "x2": np.arange(1000) * 1e-3})
+    boxes = cut_boxes(cut(spark.createDataFrame(pdf)), ["x0", "x1", "x2"], 30)
+    most, total = boxes.table.agg(F.max("n"), F.sum("n")).first()
+    assert most <= 30 and total == 1000
 
 
 def test_planted_points_and_consensus(spark, cloud):
