@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tableprofile.functions.columns import quoted
 from tableprofile.sources.nested import flatten
+from tableprofile.sources.split_csv import breaks_in_quotes, read_records
 
 # Texts that stand for a missing value in CSV files.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -17,23 +18,16 @@ _FLOAT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|Inf|infinity|Infinity)
 _TRUE, _FALSE = ["True", "TRUE", "true"], ["False", "FALSE", "false"]
 
 
-def _breaks_in_quotes(spark: SparkSession, path: str) -> bool:
-    """Is a quote left open at the end of some line? One scan, line by line; one flag returns."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
-
-
 def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """CSV with a header row; a column becomes int, float or bool if all its values fit.
 
     Everything is read as text and the types are voted on by one aggregate, because Spark's own
-    inference would turn date texts into dates and take NA for text. multi_line allows line
-    breaks inside quotes, at the price of one task per file; by default a scan looks for a quote
-    that is open at the end of a line.
+    inference would turn date texts into dates and take NA for text. Line breaks inside quotes are
+    found by a scan of the lines, and such files too are read by many tasks; multi_line=False
+    leaves out the scan.
     """
-    if multi_line is None:
-        multi_line = _breaks_in_quotes(spark, path)
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
+    splits = None if multi_line is False else breaks_in_quotes(spark, path)
+    raw = spark.read.option("header", True).option("escape", '"').csv(path) if splits is None else read_records(spark, path, splits)
     text = raw.select(*[F.when(~quoted(c).isin(NA_TOKENS), quoted(c)).alias(c) for c in raw.columns])
     votes = []
     for i, c in enumerate(raw.columns):

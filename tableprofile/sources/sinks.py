@@ -28,7 +28,8 @@ def _printable(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV with a header in a directory; single_file is for small result tables only."""
     out = _printable(df)
-    (out.repartition(1) if single_file else out).write.option("header", True).option("escape", '"').csv(path)
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    (out.repartition(1) if single_file else out).write.options(header=True, escape='"', **kept).csv(path)
 
 
 def export_raw(df: DataFrame, fields: list[str], folder: str, base: str, now: datetime | None = None) -> str:
