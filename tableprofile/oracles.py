@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tableprofile.operators.dictionary import Dictionary, Entry, built_in
 from tableprofile.operators.words import STOP_WORDS
+from tableprofile.sources.readers import NA_TOKENS
 from tableprofile.workload import CUSTOMER, FIVE, NEARLY_CONSTANT, PARTS, PLACES, SPELLINGS, TEXT_TERMS
 
 ORACLES: dict[str, str] = {}
@@ -336,6 +337,21 @@ ORACLES["standardise"] = "SELECT row_id, " + ", ".join(
     f"round(x{i}, 6) AS {c}" for i, c in enumerate(CUSTOMER[1:])) + f" FROM ({_scaled('customer', 'c_custkey', CUSTOMER[1:])})"
 
 
+#: Clusters that are known, so their centres and what lies far from them are plain averages.
+_PLANTED = """
+    WITH t AS (SELECT c_custkey, c_nationkey % 3 AS g, c_nationkey % 3 * 40 + c_acctbal / 1000 AS x,
+                 CASE WHEN c_nationkey % 3 = 1 THEN 50.0::DOUBLE ELSE 0 END + (c_custkey % 97) / 10.0::DOUBLE AS y FROM customer),
+         s AS (SELECT c_custkey AS row_id, g, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS y FROM t),
+         centre AS (SELECT g, count(*) AS n, avg(x) AS cx, avg(y) AS cy, avg(x * x + y * y) AS length FROM s GROUP BY g)"""
+ORACLES["kmeans_planted"] = f"""{_PLANTED},
+    far AS (SELECT row_id, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d FROM s JOIN centre USING (g))
+    SELECT row_id FROM far WHERE d > (SELECT quantile_cont(d, 0.9) FROM far)"""
+ORACLES["best_k_planted"] = f"""{_PLANTED},
+    apart AS (SELECT row_id, s.g AS own, c.g, c.n, x * x + y * y + length - 2 * (x * cx + y * cy) AS d FROM s, centre c),
+    two AS (SELECT row_id, max(d * n / (n - 1)) FILTER (g = own) AS a, min(d) FILTER (g <> own) AS b FROM apart GROUP BY row_id)
+    SELECT 3 AS k, round(avg((b - a) / greatest(a, b)), 6) AS silhouette, true AS best FROM two"""
+
+
 def _distance(n: int, a: str, b: str) -> str:
     return " + ".join(f"({a}.x{i} - {b}.x{i}) * ({a}.x{i} - {b}.x{i})" for i in range(n))
 
@@ -468,3 +484,16 @@ ORACLES["country_coverage"] = f"""
 # --- nested data --------------------------------------------------------------------------
 
 ORACLES["flatten_json"] = """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS "props.k" FROM events"""
+
+# --- sources and sinks ------------------------------------------------------------------------
+
+_NA = ", ".join(map(_q, NA_TOKENS))
+ORACLES["csv_round_trip"] = "SELECT doc_id, n_chars, " + ", ".join(
+    f"CASE WHEN {c} NOT IN ({_NA}) THEN {c} END AS {c}" for c in ("text", "lang", "source")) + " FROM documents"
+ORACLES["raw_export"] = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"
+ORACLES["session_round_trip"] = """SELECT *, 'c_custkey' AS key,
+    (SELECT string_agg(n_name, ',' ORDER BY n_name) FROM (SELECT n_name FROM nation ORDER BY n_name LIMIT 3)) AS countries FROM customer"""
+ORACLES["json_lines"] = """SELECT event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS "props.k" FROM events"""
+ORACLES["json_document"] = """SELECT p_partkey, p_name, p_brand AS "made.p_brand", p_size AS "made.p_size" FROM part"""
+ORACLES["xml_rows"] = "SELECT s_suppkey::VARCHAR AS s_suppkey, s_name, s_nationkey::VARCHAR AS s_nationkey, s_acctbal::VARCHAR AS s_acctbal FROM supplier"
+ORACLES["sql_source"] = "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"

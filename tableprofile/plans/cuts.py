@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,6 +27,15 @@ def _checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def scratch_folder(spark: SparkSession, name: str = "") -> str:
+    """A new path in the checkpoint folder, deleted when the session ends."""
+    _checkpoint_dir(spark)
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return f"{folder.toString()}/{name}" if name else folder.toString()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder and read them back from there.
 

@@ -10,7 +10,8 @@ from tableprofile.operators import (
     consensus, dbscan, extraction, features, filters, geo, histograms, isolation_forest, kinds, kmeans, lof,
     outliers, patterns, summary, trends, values, words)
 from tableprofile.operators.dictionary import Dictionary, built_in
-from tableprofile.plans.cuts import with_row_id
+from tableprofile.plans.cuts import scratch_folder, with_row_id
+from tableprofile.sources import readers, sinks
 from tableprofile.sources.nested import flatten
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -248,6 +249,17 @@ query("best_k_range", "customer")(lambda df: kmeans.best_k(_customer(df)).agg(
 query("kmeans_share", "customer")(lambda df: _far_check(kmeans.kmeans_outliers(_customer(df)), df.count()).select("rows", "share_holds"))
 
 
+def _planted(df: DataFrame) -> features.Features:
+    """Customers in three clusters far apart, by their nation; inside one they spread by balance and number."""
+    group = F.col("c_nationkey") % 3
+    return features.features(df.select("c_custkey", (group * 40 + F.col("c_acctbal") / 1000).alias("x"),
+                                       (F.when(group == 1, 50.0).otherwise(0.0) + F.col("c_custkey") % 97 / 10).alias("y")), "c_custkey", ["x", "y"])
+
+
+query("kmeans_planted", "customer")(lambda df: kmeans.kmeans_outliers(_planted(df)))
+query("best_k_planted", "customer")(lambda df: rounded(kmeans.best_k(_planted(df)).where("best"), "silhouette", places=6))
+
+
 @query("field_summary_estimate", "lineitem")
 def _estimates(df: DataFrame) -> DataFrame:
     """(field, close): is the estimated number of values within 5 % of the exact one?"""
@@ -322,3 +334,58 @@ query("heat_weights", "customer")(
 
 query("flatten_json", "events")(
     lambda df: flatten(df.select("event_id", F.from_json("props", "k long").alias("props"))))
+
+
+# --- sources and sinks: what is written comes back --------------------------------------------
+
+
+@query("csv_round_trip", "documents")
+def _csv(df: DataFrame) -> DataFrame:
+    """Texts with line breaks and quotes, through files."""
+    path = scratch_folder(df.sparkSession, "documents.csv")
+    sinks.write_csv(df, path)
+    return readers.read_any(df.sparkSession, path)
+
+
+@query("raw_export", "orders")
+def _raw_export(df: DataFrame) -> DataFrame:
+    path = sinks.export_raw(df, ["o_orderkey", "o_orderstatus", "o_totalprice"], scratch_folder(df.sparkSession), "orders")
+    return readers.read_csv(df.sparkSession, path)
+
+
+@query("session_round_trip", "customer", "nation")
+def _session(df: DataFrame, nation: DataFrame) -> DataFrame:
+    """The table, beside the choices that were saved with it."""
+    chosen = sinks.Session(primary_keys=["c_custkey"], countries=[r.n_name for r in nation.orderBy("n_name").limit(3).collect()])
+    table, back = sinks.restore_session(df.sparkSession, sinks.save_session(df, chosen, scratch_folder(df.sparkSession), "customer"))
+    return table.select("*", F.lit(back.primary_keys[0]).alias("key"), F.lit(",".join(back.countries)).alias("countries"))
+
+
+@query("json_lines", "events")
+def _json_lines(df: DataFrame) -> DataFrame:
+    path = scratch_folder(df.sparkSession, "events.jsonl")
+    df.select("event_id", "event_type", "value", F.from_json("props", "k long").alias("props")).write.json(path)
+    return readers.read_any(df.sparkSession, path)
+
+
+@query("json_document", "part")
+def _json_document(df: DataFrame) -> DataFrame:
+    """Arrays of objects, one document a file."""
+    path = scratch_folder(df.sparkSession, "part.json")
+    one = F.to_json(F.struct("p_partkey", "p_name", F.struct("p_brand", "p_size").alias("made")))
+    df.groupBy(F.pmod("p_partkey", F.lit(16)).alias("file")).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list(one), ",\n"), F.lit("]")).alias("value")).write.partitionBy("file").option("lineSep", "\n").text(path)
+    return readers.read_json(df.sparkSession, f"{path}/*", lines=False)
+
+
+@query("xml_rows", "supplier")
+def _xml_rows(df: DataFrame) -> DataFrame:
+    path = scratch_folder(df.sparkSession, "supplier.xml")
+    df.select(*[F.col(c).cast("string") for c in df.columns]).write.format("xml").option("rootTag", "suppliers").option("rowTag", "supplier").save(path)
+    return readers.read_any(df.sparkSession, path)
+
+
+@query("sql_source", "orders")
+def _sql_source(df: DataFrame) -> DataFrame:
+    df.createOrReplaceTempView("tableprofile_orders")
+    return readers.read_sql(df.sparkSession, "SELECT o_orderstatus, count(*) AS n FROM tableprofile_orders GROUP BY o_orderstatus")

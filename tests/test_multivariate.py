@@ -249,6 +249,37 @@ def test_best_k(spark):
     assert kmeans.kmeans_outliers(f).count() == 18
 
 
+def test_kmeans_is_the_same_on_any_partitions(spark, cloud):
+    """Centres and scores to the last digit; fewer distinct rows than clusters do no harm."""
+    found = []
+    for parts in (1, 16):
+        f = features.features(frame(spark, cloud).repartition(parts, "id"), "id")
+        choice = kmeans.choose_k(f)
+        found.append((choice, sorted(r.row_id for r in kmeans.kmeans_outliers(f).collect())))
+    assert found[0] == found[1] and len(found[0][0].scores) == 9
+    same = features.features(frame(spark, np.tile([[1.0, 2.0], [3.0, 4.0]], (30, 1))), "id")
+    choice = kmeans.choose_k(same)
+    assert choice.k == 2 and kmeans.kmeans_outliers(same).count() == 0
+
+
+def test_silhouette_against_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(80, 3))
+    f = features.features(frame(spark, points), "id", ["p0", "p1", "p2"])
+    x = (points - points.mean(0)) / points.std(0)
+    centres = {k: x[:k].copy() for k in (2, 4)}
+    got = kmeans._silhouettes(f.rows.select(*kmeans._scaled(f)), centres)
+    for k, at in centres.items():
+        which = ((x[:, None] - at[None]) ** 2).sum(-1).argmin(1)
+        d, s = ((x[:, None] - x[None]) ** 2).sum(-1), []
+        for i in range(80):
+            own = [j for j in range(80) if which[j] == which[i] and j != i]
+            a = d[i, own].mean() if own else None
+            b = min(d[i, which == c].mean() for c in set(which) - {which[i]})
+            s.append(0.0 if a is None else (b - a) / max(a, b))
+        assert got[k] == pytest.approx(np.mean(s), abs=1e-8)
+
+
 def test_tiny_tables(spark):
     f = features.features(frame(spark, np.array([[1.0, 2.0], [1.0, 2.5], [9.0, 9.0]])), "id", ["p0", "p1"])
     assert kmeans.choose_k(f).k == 2
