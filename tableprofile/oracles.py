@@ -452,6 +452,20 @@ ORACLES["joined_terms"] = f"""SELECT row_id, field, category, keyword FROM ({_ma
     "(SELECT * REPLACE (CASE WHEN p_size > 25 THEN replace(p_name, ' ', '') ELSE p_name END AS p_name) FROM part)",
     "p_partkey", ["p_name"], Dictionary({"Name": ["small ring", "Red Widget"]}).entries(match_joined=True))})"""
 
+_TERMS = r"""
+    WITH w AS (SELECT string_split(text, ' ') AS w FROM benchmark),
+         given AS (SELECT 'phrase' AS category, unnest([w[i] || ' ' || w[i + 1] FOR i IN generate_series(1, len(w) - 1)]) AS keyword FROM w
+                   UNION ALL SELECT 'part', p_name || ' ' || p_partkey FROM part),
+         term AS MATERIALIZED (SELECT category, lower(k) AS form, min(k) AS keyword
+                 FROM (SELECT category, trim(keyword, e' \n\r\t') AS k FROM given) WHERE k <> '' GROUP BY category, lower(k)),
+         low AS MATERIALIZED (SELECT doc_id, lower(text) AS low FROM documents),
+         hit AS MATERIALIZED (SELECT doc_id AS row_id, 'text' AS field, category, keyword FROM low JOIN term ON contains(low, form)
+                 WHERE regexp_matches(low, '(^|[^\p{L}\p{Nl}\p{No}])' || regexp_escape(form) || '([^\p{L}\p{Nl}\p{No}]|$)'))"""
+ORACLES["extract_table"] = ORACLES["extract_table_shuffled"] = f"{_TERMS} SELECT * FROM hit"
+ORACLES["extract_table_counts"] = f"""{_TERMS}
+    SELECT field, category, keyword, count(*) AS matched_records, count(*)::DOUBLE / (SELECT count(*) FROM documents) * 100.0 AS coverage_pct,
+           (SELECT count(text) FROM documents) AS records_processed FROM hit GROUP BY ALL"""
+
 # --- countries ----------------------------------------------------------------------------
 
 _SPELLED = f"""(SELECT *, ([{', '.join(_q(s) for s in SPELLINGS)}])[c_nationkey % {len(SPELLINGS)} + 1] AS country FROM customer)"""

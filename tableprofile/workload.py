@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tableprofile.operators import (
-    consensus, dbscan, extraction, features, filters, geo, histograms, isolation_forest, kinds, kmeans, lof,
+    consensus, dbscan, extraction, features, filters, geo, histograms, isolation_forest, keyword_table, kinds, kmeans, lof,
     outliers, patterns, summary, trends, values, words)
 from tableprofile.operators.dictionary import Dictionary, built_in
 from tableprofile.plans.cuts import scratch_folder, with_row_id
@@ -336,6 +336,25 @@ query("flatten_json", "events")(
     lambda df: flatten(df.select("event_id", F.from_json("props", "k long").alias("props"))))
 
 
+# --- keywords from tables -----------------------------------------------------------------------
+
+
+def _table_terms(benchmark: DataFrame, part: DataFrame) -> DataFrame:
+    """Two neighbouring words of every benchmark text, and every part by name and number."""
+    words = F.split("text", " ")
+    pairs = benchmark.select(words.alias("w")).select(F.explode(F.transform(F.slice("w", 2, 1 << 30), lambda x, i: F.concat(F.get("w", i), F.lit(" "), x))).alias("keyword"))
+    return pairs.select(F.lit("phrase").alias("category"), "keyword").union(
+        part.select(F.lit("part"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))))
+
+
+query("extract_table", "documents", "benchmark", "part")(lambda df, benchmark, part: keyword_table.extract_matches_of(
+    df, _table_terms(benchmark, part), "doc_id", ["text"]))
+query("extract_table_shuffled", "documents", "benchmark", "part")(lambda df, benchmark, part: keyword_table.extract_matches_of(
+    df, _table_terms(benchmark, part), "doc_id", ["text"], broadcast_bytes=0))
+query("extract_table_counts", "documents", "benchmark", "part")(lambda df, benchmark, part: keyword_table.extract_counts_of(
+    df, _table_terms(benchmark, part), "doc_id", ["text", "lang"]).drop("evidence"))
+
+
 # --- sources and sinks: what is written comes back --------------------------------------------
 
 
