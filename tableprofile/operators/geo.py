@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-import re
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tableprofile.operators.similar_names import similar_names
+
 ACCEPT = 80
-# A country dimension has a few hundred rows; a bigger table is a mistake in the call.
-MAX_DIMENSION = 10_000
 RADIUS = (100_000.0, 400_000.0)
 DEFAULT_RADIUS = 200_000.0
 
 
-def _sorted_tokens(name: str) -> str:
-    ascii_like = re.sub("[\x80-\xff]", "", name)
-    return " ".join(sorted(re.sub(r"\W", " ", ascii_like).lower().split()))
-
-
-def token_sort_ratio(a: str, b: str) -> int:
-    """0..100 similarity of two names whose words have been sorted; 0 for an empty name."""
-    a, b = _sorted_tokens(a), _sorted_tokens(b)
-    return round(100 * SequenceMatcher(None, a, b).ratio()) if a and b else 0
-
-
 def _exact(names: DataFrame, dim: DataFrame) -> DataFrame:
     """names plus the dimension row with the same name ignoring case; nulls when there is none."""
     first = dim.groupBy(F.lower("country").alias("key")).agg(
@@ -36,8 +21,9 @@ def _exact(names: DataFrame, dim: DataFrame) -> DataFrame:
 def match_countries(df: DataFrame, column: str, dim: DataFrame, fuzzy: bool = True) -> DataFrame:
     """(name, country, lat, lon, score) per distinct matched name; dim has country, lat, lon.
 
-    Names are made distinct first. Only those without an exact match are scored, each once
-    against the whole dimension inside an Arrow batch, so no pair of names is ever shuffled.
+    Names are made distinct first. Those without an exact match meet the places whose names may be
+    similar enough, by shared pieces; the place of the highest score counts, of equals the smaller name.
+    The dimension may have any size.
     """
     names = df.select(F.col(column).alias("name")).where(F.col("name").isNotNull()).distinct()
     exact = _exact(names, dim)
@@ -45,26 +31,9 @@ def match_countries(df: DataFrame, column: str, dim: DataFrame, fuzzy: bool = Tr
         "name", "place.country", "place.lat", "place.lon", F.lit(100).alias("score"))
     if not fuzzy:
         return hits
-    rows = dim.select("country", F.col("lat").cast("double"), F.col("lon").cast("double")) \
-              .orderBy("country").limit(MAX_DIMENSION + 1).collect()
-    if len(rows) > MAX_DIMENSION:
-        raise ValueError(f"the country dimension has more than {MAX_DIMENSION} rows")
-    places = [(r.country, r.lat, r.lon) for r in rows]
-
-    @F.pandas_udf("country string, lat double, lon double, score int")
-    def best(names: pd.Series) -> pd.DataFrame:
-        out = []
-        for name in names:
-            score, place = 0, (None, None, None)
-            for candidate in places:
-                s = token_sort_ratio(name, candidate[0])
-                if s > score:
-                    score, place = s, candidate
-            out.append((*place, score))
-        return pd.DataFrame(out, columns=["country", "lat", "lon", "score"])
-
-    rest = exact.where(F.col("place").isNull()).select("name", best("name").alias("m"))
-    rest = rest.where(F.col("m.score") >= ACCEPT).select("name", "m.country", "m.lat", "m.lon", "m.score")
+    places = dim.groupBy("country").agg(F.min(F.struct(F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))).alias("at"))
+    like = similar_names(exact.where(F.col("place").isNull()), places.select(F.col("country").alias("name")), ACCEPT)
+    rest = like.join(places, F.col("known") == F.col("country")).select("name", "country", "at.lat", "at.lon", "score")
     return hits.unionByName(rest)
 
 

@@ -476,6 +476,30 @@ _EXACT = f"""SELECT DISTINCT country AS name, place AS country, lat, lon, 100 AS
     FROM {_SPELLED} JOIN {_DIM} ON lower(country) = lower(place)"""
 _NEAR = f"""SELECT DISTINCT s.country AS name, d.place AS country, lat, lon, score
     FROM {_SPELLED} s JOIN {_FUZZY} ON s.country = misspelt JOIN {_DIM} ON f.place = d.place"""
+#: Matching blocks by recursion: the longest common stretch (100 * length - place in the left text), then what is left and right of it.
+ORACLES["similar_parts"] = r"""
+    WITH RECURSIVE names AS (
+      SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN lost WHEN 1 THEN left(p_name, place + 1) || substr(p_name, place + 1) WHEN 2 THEN w[-1] || ', ' || upper(w[1])
+             WHEN 3 THEN p_brand || ' ' || p_name ELSE substr(lost, 2) END AS name
+      FROM (SELECT *, p_partkey % length(p_name) AS place, string_split(p_name, ' ') AS w, left(p_name, p_partkey % length(p_name)) || substr(p_name, p_partkey % length(p_name) + 2) AS lost FROM part)),
+    dim AS (SELECT p_name AS country, min(p_size)::DOUBLE AS lat, min(p_retailprice) AS lon FROM part GROUP BY p_name),
+    exact AS (SELECT name, country, lat, lon, 100 AS score FROM names JOIN dim ON lower(name) = lower(country)),
+    a AS (SELECT name, array_to_string(list_sort([t FOR t IN string_split(lower(regexp_replace(name, '[^\p{L}\p{N}_]', ' ', 'g')), ' ') IF t <> '']), ' ') AS a
+          FROM names WHERE name NOT IN (SELECT name FROM exact)),
+    b AS (SELECT country, array_to_string(list_sort(string_split(lower(country), ' ')), ' ') AS b FROM dim),
+    pair AS (SELECT DISTINCT a, b FROM a, b WHERE a <> '' AND 2 * least(length(a), length(b)) >= 0.795 * (length(a) + length(b))),
+    work AS (
+      SELECT a, b, a AS x, b AS y, 0::BIGINT AS m FROM pair
+      UNION ALL
+      SELECT a, b, unnest([left(x, i - 1), substr(x, i + n)]), unnest([left(y, j - 1), substr(y, j + n)]), unnest([n, 0]) FROM (
+        SELECT *, strpos(y, substr(x, i, n)) AS j FROM (
+          SELECT *, (best + 99) // 100 AS n, (best + 99) // 100 * 100 - best AS i FROM (
+            SELECT a, b, x, y, list_max(flatten([[100 * n - i FOR n IN generate_series(1, length(x) - i + 1) IF contains(y, substr(x, i, n))]
+                                  FOR i IN generate_series(1, length(x))])) AS best FROM work WHERE x <> '' AND y <> '') WHERE best IS NOT NULL))),
+    score AS (SELECT a, b, round_even(100 * (2.0 * sum(m) / (length(a) + length(b)))::DOUBLE, 0)::INT AS score FROM work GROUP BY a, b)
+    SELECT * FROM exact UNION ALL
+    SELECT name, country, lat, lon, score FROM a JOIN score USING (a) JOIN b USING (b) JOIN dim USING (country) WHERE score >= 80
+    QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, country) = 1"""
 ORACLES["geo_match"] = _EXACT
 ORACLES["geo_fuzzy"] = f"{_EXACT} UNION ALL {_NEAR}"
 _LAYER = f"""

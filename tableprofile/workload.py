@@ -323,6 +323,21 @@ query("geo_match", "customer")(
     lambda df: geo.match_countries(with_country(df, "c_nationkey"), "country", dimension(df.sparkSession), fuzzy=False))
 query("geo_fuzzy", "customer")(
     lambda df: geo.match_countries(with_country(df, "c_nationkey"), "country", dimension(df.sparkSession)))
+
+
+def _misspelt(part: DataFrame) -> DataFrame:
+    """Part names with a letter lost or doubled, words in other order, or several of these."""
+    at = F.col("p_partkey") % F.length("p_name") + 1
+    lost = F.concat(F.expr("left(p_name, CAST(p_partkey % length(p_name) AS INT))"), F.substr("p_name", at.cast("int") + F.lit(1)))
+    doubled = F.concat(F.expr("left(p_name, CAST(p_partkey % length(p_name) AS INT) + 1)"), F.substr("p_name", at.cast("int")))
+    swapped = F.concat_ws(", ", F.substring_index("p_name", " ", -1), F.upper(F.substring_index("p_name", " ", 1)))
+    kind = F.col("p_partkey") % 5
+    return part.select(F.when(kind == 0, lost).when(kind == 1, doubled).when(kind == 2, swapped).when(kind == 3, F.concat("p_brand", F.lit(" "), "p_name"))
+                       .otherwise(F.substr(lost, F.lit(2))).alias("country"))
+
+
+query("similar_parts", "part")(lambda df: geo.match_countries(_misspelt(df), "country", df.groupBy(F.col("p_name").alias("country")).agg(
+    F.min("p_size").cast("double").alias("lat"), F.min("p_retailprice").alias("lon"))))
 query("map_layer", "customer")(
     lambda df: rounded(geo.map_layer(_by_country(df), "country", dimension(df.sparkSession), "n"), "radius"))
 query("map_lines", "customer")(
