@@ -45,9 +45,16 @@ def _other_digits() -> str:
     return "".join(c for c in every if c.isdigit() and unicodedata.category(c) != "Nd")
 
 
+@lru_cache
+def _spaces() -> str:
+    """The characters of _SPACE."""
+    every = map(chr, range(sys.maxunicode + 1))
+    return "".join(c for c in every if c in "\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85" or unicodedata.category(c).startswith("Z"))
+
+
 def trimmed(value: Column) -> Column:
     """Strip white space of every kind from both ends; plain `trim` only strips blanks."""
-    return F.regexp_replace(value, f"^[{_SPACE}]+|[{_SPACE}]+$", "")
+    return F.btrim(value, F.lit(_spaces()))
 
 
 def is_internal_ip(ip: Column) -> Column:

@@ -99,6 +99,7 @@ query("date_listing", "orders")(lambda df: trends.date_listing(orders_with_text_
 # --- words and distributions --------------------------------------------------------------
 
 query("word_counts", "documents")(lambda df: words.word_counts(df, "text"))
+query("word_pairs", "documents")(lambda df: words.word_counts(df, "text", pairs=True, top=None))
 query("histogram_30", "lineitem")(lambda df: histograms.histogram(df, "l_extendedprice", 30))
 query("histogram_50", "lineitem")(lambda df: histograms.histogram(df, "l_quantity", 50))
 query("outlier_histogram", "events")(lambda df: histograms.outlier_histogram(df, "value", 50))

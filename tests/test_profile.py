@@ -215,6 +215,18 @@ def test_histogram_without_infinity(spark):
     assert sum(r["count"] for r in histograms.outlier_histogram(df, "x").collect()) == 2
 
 
+def test_word_pairs(spark):
+    """A pair that always stands together becomes an entry; its words keep what is left of their counts."""
+    rows = [("New York is far",)] * 40 + [(f"old town number{i} far",) for i in range(40)] + [("york 12 new",), ("new the york",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "t string")
+    got = {r.word: r["count"] for r in words.word_counts(df, "t", ["the", "is"], pairs=True).collect()}
+    assert got["new york"] == 40 and got["old town"] == 40 and "old" not in got and got["new"] == got["york"] == 2
+    assert got["far"] == 80 and "york far" not in got
+    plain = {r.word: r["count"] for r in words.word_counts(df, "t", ["the", "is"]).collect()}
+    assert plain["new"] == 42 and "new york" not in plain
+    assert words.word_counts(df.where("false"), "t", pairs=True).count() == 0
+
+
 def test_word_counts(spark):
     df = spark.createDataFrame([("The cars' car; John's glass 42 été bus buses x",), ("Cars glass ÉTÉ",)], "t string")
     got = {r.word: r["count"] for r in words.word_counts(df, "t", ["the"]).collect()}
