@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # A text is tried against the formats of the first shape it fits, in order.
+CLOCK_SHAPE, CLOCK_FORMAT = r"(?i)^\d{4}-\d{1,2}-\d{1,2}[T ]\d.* [ap]m$", "yyyy-M-d[ ]['T']h:mm[:ss] a"
 ISO_SHAPE = r"^\d{4}(-\d{1,2}(-\d{1,2}([T ]\d.*)?)?)?$"
 WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +(?=.*\d)"
 TEXT_FORMATS = [
@@ -14,14 +15,17 @@ TEXT_FORMATS = [
     (r"^\d{1,2}/\d{1,2}/\d{2}( \d.*)?$", ["M/d/yy[ H:mm[:ss]]", "d/M/yy[ H:mm[:ss]]"]),
     (r"^\d{1,2}-\d{1,2}-\d{4}( \d.*)?$", ["M-d-yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]"]),
     (r"^\d{4}\.\d{1,2}\.\d{1,2}( \d.*)?$", ["yyyy.M.d[ H:mm[:ss]]"]),
-    (r"^[A-Za-z]{3,9} \d{1,2} \d{4}$", ["MMM d yyyy", "MMMM d yyyy"]),
+    (r"(?i)^[a-z]{3,9} \d{1,2},? \d{4},? \d.* [ap]m$", ["MMM d[,] yyyy[,] h:mm[:ss] a", "MMMM d[,] yyyy[,] h:mm[:ss] a"]),
+    (r"^[A-Za-z]{3,9} \d{1,2},? \d{4}(,? \d.*)?$", ["MMM d[,] yyyy[[,] H:mm[:ss]]", "MMMM d[,] yyyy[[,] H:mm[:ss]]"]),
     (r"^\d{4}/\d{1,2}/\d{1,2}( \d.*)?$", ["yyyy/M/d[ H:mm[:ss]]"]),
     (r"^\d{8}$", ["yyyyMMdd"]),
-    (r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$", ["MMM d, yyyy", "MMMM d, yyyy"]),
-    (r"^\d{1,2} [A-Za-z]{3,9} \d{4}$", ["d MMM yyyy", "d MMMM yyyy"]),
+    (r"(?i)^\d{1,2} [a-z]{3,9},? \d{4},? \d.* [ap]m$", ["d MMM[,] yyyy[,] h:mm[:ss] a", "d MMMM[,] yyyy[,] h:mm[:ss] a"]),
+    (r"^\d{1,2} [A-Za-z]{3,9},? \d{4}(,? \d.*)?$", ["d MMM[,] yyyy[[,] H:mm[:ss]]", "d MMMM[,] yyyy[[,] H:mm[:ss]]"]),
     (r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", ["d-MMM-yy"]),
     (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", ["d-MMM-yyyy"]),
 ]
+BEGINNING = r"(?i)^\s*(\d|mon|tue|wed|thu|fri|sat|sun|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+LONGEST = 64
 DATE_HINT = r"(?i)[-/]|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 
 
@@ -29,14 +33,24 @@ def parse_date(value: Column) -> Column:
     """Timestamp of a date text, else null. Text without a date part (12:30) is no date.
 
     A failing parser is far dearer than a failing regex, so each format runs only on text
-    of its shape. A weekday before the date is dropped. Years of two digits lie within fifty
-    years of today.
+    of its shape, and shapes are tried only on text of the length and beginning of a date. A weekday
+    before the date is dropped. Years of two digits lie within fifty years of today.
     """
-    v = F.regexp_replace(F.trim(value), WEEKDAY, "")
-    parsed = F.when(v.rlike(ISO_SHAPE), F.try_to_timestamp(v))
+    # the lambda makes the cleaned text once, not once a shape
+    cleaned = F.regexp_replace(F.regexp_replace(F.trim(value), WEEKDAY, ""), r"(?i)\bsept\b", "Sep")
+    return F.when(may_be_date(value), F.transform(F.array(cleaned), _by_shape)[0])
+
+
+def may_be_date(value: Column) -> Column:
+    """A cheap test that every date text passes."""
+    return F.length(F.trim(value)).between(4, LONGEST) & value.rlike(r"\d") & value.rlike(BEGINNING)
+
+
+def _by_shape(v: Column) -> Column:
+    parsed = F.when(v.rlike(CLOCK_SHAPE), _parsed(v, CLOCK_FORMAT)).when(v.rlike(ISO_SHAPE), F.try_to_timestamp(v))
     for shape, formats in TEXT_FORMATS:
         parsed = parsed.when(v.rlike(shape), F.coalesce(*[_parsed(v, f) for f in formats]))
-    return F.when(value.rlike(r"\d"), parsed)
+    return F.when(v.rlike(BEGINNING), parsed)
 
 
 def _parsed(v: Column, pattern: str) -> Column:

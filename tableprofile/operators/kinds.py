@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tableprofile.functions.columns import pick_fields, type_labels
-from tableprofile.functions.dates import has_date_hint, parse_date
+from tableprofile.functions.dates import has_date_hint, may_be_date, parse_date
 from tableprofile.operators.values import NULL_TEXT
 from tableprofile.plans.longform import digest, field_table, to_long
 
@@ -38,13 +38,15 @@ def _measures(df: DataFrame, fields: list[str], row_id: str | None) -> DataFrame
     labels = type_labels(df)
     texts = [f for f in fields if labels[f] == "string"]
     v = F.col("value")
-    parses = F.when(F.col("field").isin(texts), parse_date(v).isNotNull()).otherwise(False) if texts else F.lit(False)
+    # what may be a date travels as text and is parsed once per value
+    dated = F.when(F.col("field").isin(texts) & may_be_date(v), v) if texts else F.lit(None).cast("string")
     long = to_long(df, fields).select(
-        "field", digest(v).alias("value"), F.length(v).alias("size"), parses.alias("parses"),
+        "field", digest(v).alias("value"), F.length(v).alias("size"), dated.alias("dated"),
         v.rlike(r"\p{L}").alias("letter"), (v == NULL_TEXT).alias("null_text"))
     per_value = long.groupBy("field", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.max("parses").alias("parses"),
+        F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.max("dated").alias("dated"),
         F.max("letter").alias("letter"), F.max("null_text").alias("null_text"))
+    per_value = per_value.withColumn("parses", F.coalesce(parse_date(F.col("dated")).isNotNull(), F.lit(False)))
     filled = F.col("value").isNotNull()
     out = per_value.groupBy("field").agg(
         F.sum("n").alias("total"),

@@ -155,6 +155,8 @@ ORACLES["trend_events"] = _trend("events", "ts", "day")
 ORACLES["trend_text_dates"] = _trend("orders", "o_orderdate", "month")
 ORACLES["date_listing"] = "SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS date FROM orders"
 
+ORACLES["mixed_dates"] = "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, true AS written, false AS other FROM orders"
+
 # --- words and distributions --------------------------------------------------------------
 
 def _likelihood(hits: str, tries: str, chance: str) -> str:

@@ -34,6 +34,7 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
 
 def export_raw(df: DataFrame, fields: list[str], folder: str, base: str, now: datetime | None = None) -> str:
     """Write chosen columns, as many files in parallel as there are partitions; returns the path."""
+    # File name and time format.
     stamp = (now or datetime.now()).strftime("%Y%m%d_%H%M%S")
     path = f"{folder.rstrip('/')}/{base}-raw-data-export-{stamp}.csv"
     write_csv(project(df, pick_fields(df, fields)), path)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tableprofile.operators import (
     consensus, dbscan, extraction, features, filters, geo, histograms, isolation_forest, keyword_table, kinds, kmeans, lof,
     outliers, patterns, summary, trends, values, words)
+from tableprofile.functions.dates import parse_date
 from tableprofile.operators.dictionary import Dictionary, built_in
 from tableprofile.plans.cuts import scratch_folder, with_row_id
 from tableprofile.sources import readers, sinks
@@ -96,6 +97,18 @@ query("trend_text_dates", "orders")(
                      .withColumn("period", F.col("period").cast("string")))
 query("date_listing", "orders")(lambda df: trends.date_listing(orders_with_text_dates(df), "order_day"))
 
+MIXED_DATES = ["yyyy-MM-dd", "M/d/yyyy H:mm", "MMMM d, yyyy H:mm", "yyyy-M-d h:mm:ss a", "dd MMM yyyy HH:mm", "d-MMM-yy", "EEEE, MMM d, yyyy"]
+
+
+@query("mixed_dates", "orders")
+def _mixed_dates(df: DataFrame) -> DataFrame:
+    """Dates written in many ways, read again; is the whole a date column?"""
+    text = F.coalesce(*[F.when(F.col("o_orderkey") % len(MIXED_DATES) == i, F.date_format("o_orderdate", f)) for i, f in enumerate(MIXED_DATES)])
+    given = df.select("o_orderkey", text.alias("written"), F.col("o_orderpriority").alias("other"))
+    found = kinds.detect_dates(given, ["written", "other"], "o_orderkey").groupBy().pivot("field", ["written", "other"]).agg(F.max("is_date"))
+    return given.select("o_orderkey", F.to_date(parse_date(F.col("written"))).alias("day")).join(F.broadcast(found), F.lit(True))
+
+
 # --- words and distributions --------------------------------------------------------------
 
 query("word_counts", "documents")(lambda df: words.word_counts(df, "text"))

@@ -157,6 +157,9 @@ def test_everyday_date_texts(spark):
     want = {"1/25/24": "2024-01-25 00:00", "01/25/2024 10:30 AM": "2024-01-25 10:30", "1/25/2024 9:05:06 pm": "2024-01-25 21:05",
             "Jan 5 2024": "2024-01-05 00:00", "2024.01.05": "2024-01-05 00:00", "25-01-2024": "2024-01-25 00:00", "01-25-2024": "2024-01-25 00:00",
             "Fri, 05 Jan 2024": "2024-01-05 00:00", "Friday Jan 5, 2024": "2024-01-05 00:00", "5-Jan-99": "1999-01-05 00:00", " " * 40 + "2024-01-05": "2024-01-05 00:00",
+            "January 5, 2024 10:30": "2024-01-05 10:30", "2024-1-5 3:04:05 PM": "2024-01-05 15:04", "05 Jan 2024 10:00": "2024-01-05 10:00",
+            "Sept 5, 2024": "2024-09-05 00:00", "5 Sept 2024": "2024-09-05 00:00", "Jan 5, 2024, 3:04 pm": "2024-01-05 15:04",
+            "5 January 2024 12:00 AM": "2024-01-05 00:00", "September 5 2024 23:59:59": "2024-09-05 23:59", "2024-13-5 3:04 PM": None, "Mayor 5, 2024": None,
             "1/25/24x": None, "13-13-2024": None, "Fri": None, "12:30 AM": None}
     df = spark.createDataFrame([(v,) for v in want], "v string")
     assert {r.v: r.d for r in df.select("v", F.date_format(parse_date(F.col("v")), "yyyy-MM-dd HH:mm").alias("d")).collect()} == want
