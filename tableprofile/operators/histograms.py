@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tableprofile.functions.columns import as_double, pick_fields
+from tableprofile.functions.columns import as_double, numeric_columns, pick_fields
 from tableprofile.operators.outliers import FENCE, column_stats
 from tableprofile.plans.quantiles import exact_quantiles
 
@@ -29,17 +29,39 @@ def nice_step(low: float, high: float, max_bins: int) -> float:
         power += 1
 
 
-def histogram(df: DataFrame, field: str, max_bins: int = 30) -> DataFrame:
-    """(bin_start, bin_end, count) of the occupied bins; infinite values have none.
+def _bins(df: DataFrame, fields: list[str], max_bins: int, flag: dict[str, Column] | None = None) -> DataFrame:
+    """(field, step, bin, flag) per row and field: the bounds of all fields come from one aggregate."""
+    xs = {f: _finite(df, f) for f in fields}
+    bounds = df.agg(*[g(x).alias(f"{n}{i}") for i, x in enumerate(xs.values()) for n, g in (("low", F.min), ("high", F.max))]).first()
+    entries = []
+    for i, (f, x) in enumerate(xs.items()):
+        low, high = bounds[f"low{i}"], bounds[f"high{i}"]
+        step = nice_step(low, high, max_bins) if low is not None else 1.0
+        marked = F.coalesce(flag[f], F.lit(False)) if flag else F.lit(False)
+        entries.append(F.struct(F.lit(f).alias("field"), F.lit(step).alias("step"), F.floor(x / step).alias("bin"), marked.alias("flag")))
+    return df.select(F.inline(F.array(*entries))).where(F.col("bin").isNotNull())
+
+
+def _bin_edges() -> list[Column]:
+    return [(F.col("bin") * F.col("step")).alias("bin_start"), ((F.col("bin") + 1) * F.col("step")).alias("bin_end")]
+
+
+def histograms(df: DataFrame, fields: list[str] | None = None, max_bins: int = 30) -> DataFrame:
+    """(field, bin_start, bin_end, count) of the occupied bins of all numeric fields; infinite values have none.
 
-    Two scans of one column: bounds, then a count per bin that is combined map-side.
+    Two scans whatever the number of fields: the bounds of all, then a count per field and bin that is
+    combined map-side.
     """
-    x = _finite(df, field)
-    low, high = df.agg(F.min(x), F.max(x)).first()
-    step = nice_step(low, high, max_bins) if low is not None else 1.0
-    bins = df.select(F.floor(x / step).alias("bin")).where(F.col("bin").isNotNull()) \
-             .groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    return bins.select((F.col("bin") * step).alias("bin_start"), ((F.col("bin") + 1) * step).alias("bin_end"), "count")
+    fields = numeric_columns(df) if fields is None else pick_fields(df, fields)
+    if not fields:
+        return df.sparkSession.createDataFrame([], "field string, bin_start double, bin_end double, count long")
+    counts = _bins(df, fields, max_bins).groupBy("field", "step", "bin").agg(F.count(F.lit(1)).alias("count"))
+    return counts.select("field", *_bin_edges(), "count")
+
+
+def histogram(df: DataFrame, field: str, max_bins: int = 30) -> DataFrame:
+    """(bin_start, bin_end, count) of one field, as in histograms."""
+    return histograms(df, [field], max_bins).drop("field")
 
 
 def box_stats(df: DataFrame, field: str) -> DataFrame:
@@ -57,13 +79,18 @@ def box_stats(df: DataFrame, field: str) -> DataFrame:
         *values, "lower_whisker", "upper_whisker", "points_outside")
 
 
+def outlier_histograms(df: DataFrame, fields: list[str] | None = None, max_bins: int = 50) -> DataFrame:
+    """(field, bin_start, bin_end, count, zscore_outliers) of all numeric fields: each distribution with its
+    z-score outliers per bin. The moments of all fields come from one pass, the bins from another."""
+    fields = numeric_columns(df) if fields is None else pick_fields(df, fields)
+    if not fields:
+        return df.sparkSession.createDataFrame([], "field string, bin_start double, bin_end double, count long, zscore_outliers long")
+    far = {s.name: s.is_zscore(_finite(df, s.name)) for s in column_stats(df, fields)}
+    counts = _bins(df, fields, max_bins, far).groupBy("field", "step", "bin").agg(
+        F.count(F.lit(1)).alias("count"), F.count(F.when(F.col("flag"), 1)).alias("zscore_outliers"))
+    return counts.select("field", *_bin_edges(), "count", "zscore_outliers")
+
+
 def outlier_histogram(df: DataFrame, field: str, max_bins: int = 50) -> DataFrame:
-    """(bin_start, bin_end, count, zscore_outliers): the distribution with its z-score outliers per bin."""
-    s = column_stats(df, pick_fields(df, [field]))[0]
-    x = _finite(df, field)
-    low, high = df.agg(F.min(x), F.max(x)).first()
-    step = nice_step(low, high, max_bins) if low is not None else 1.0
-    bins = df.select(F.floor(x / step).alias("bin"), s.is_zscore(x).alias("z")).where(F.col("bin").isNotNull()) \
-             .groupBy("bin").agg(F.count(F.lit(1)).alias("count"), F.count(F.when(F.col("z"), 1)).alias("zscore_outliers"))
-    return bins.select((F.col("bin") * step).alias("bin_start"), ((F.col("bin") + 1) * step).alias("bin_end"),
-                       "count", "zscore_outliers")
+    """(bin_start, bin_end, count, zscore_outliers) of one field, as in outlier_histograms."""
+    return outlier_histograms(df, [field], max_bins).drop("field")

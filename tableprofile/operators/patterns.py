@@ -35,7 +35,13 @@ def top_pattern(df: DataFrame, fields: list[str] | None = None, row_id: str | No
 
 
 def known_formats(df: DataFrame, field: str) -> DataFrame:
-    """(pattern, count) of one field, restricted to the named formats; no shape is computed."""
-    label = known_format(trimmed(as_text(df, field)))
-    return df.select(label.alias("pattern")).where(F.col("pattern").isNotNull()) \
-             .groupBy("pattern").agg(F.count(F.lit(1)).alias("count"))
+    """(pattern, count) of one field, restricted to the named formats; no shape is computed.
+
+    Only values that hold a dot, or colons or hyphens of a MAC address, go further; equal ones are counted
+    first, map-side, and labelled once.
+    """
+    v = F.col("value")
+    usable = v.contains(".") | (((F.length(v) >= 17) & (v.contains(":") | v.contains("-"))))
+    values = df.select(as_text(df, field).alias("value")).where(usable).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    return values.select(known_format(trimmed(v)).alias("pattern"), "n").where(F.col("pattern").isNotNull()) \
+                 .groupBy("pattern").agg(F.sum("n").alias("count"))

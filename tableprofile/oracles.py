@@ -193,7 +193,8 @@ ORACLES["word_counts"] = f"""
 
 _NICE = """
     b AS (SELECT min({x}) AS lo, max({x}) AS hi FROM {t}),
-    steps AS (SELECT lead * power(10.0, e) AS step FROM (SELECT unnest([1.0, 2.0, 5.0]) AS lead), range(0, 12) r(e)),
+    steps AS (SELECT CASE WHEN e >= 0 THEN lead * power(10.0, e) ELSE lead / power(10.0, -e) END AS step
+              FROM (SELECT unnest([1.0, 2.0, 5.0]) AS lead), range(-12, 13) r(e)),
     s AS (SELECT min(step) AS step FROM steps, b WHERE floor(hi / step) - floor(lo / step) + 1 <= {bins})"""
 
 
@@ -214,6 +215,31 @@ ORACLES["outlier_histogram"] = f"""
            CAST((floor(value / step) + 1) * step AS DOUBLE) AS bin_end, count(*) AS count,
            count(*) FILTER (abs((value - m) / sd) > 3) AS zscore_outliers
     FROM events, s, z GROUP BY ALL"""
+_NUMBERS = [f for f, label in LINEITEM.items() if label in ("int", "float")]
+ORACLES["histograms"] = _each(_NUMBERS, lambda f: f"SELECT '{f}' AS field, * FROM ({_histogram('lineitem', f, 30)})")
+ORACLES["outlier_histograms"] = _each(["user_id", "value"], lambda f: f"SELECT '{f}' AS field, * FROM (" + ORACLES["outlier_histogram"].replace("value", f) + ")")
+_SHOWN = {"unique": ["unique_values"], "numeric": ["histogram", "top_values"], "datetime": ["trend_day"], "donut": ["top_values", "chart"],
+          "bar": ["top_values", "chart"], "long_text": ["top_values"]}
+_ROWS = {"unique_values": "count(*)", "top_values": "least(10, count(DISTINCT {f}) + CAST(count({f}) < count(*) AS INT)) + 1",
+         "chart": "least(10, count(DISTINCT {f}) + CAST(count({f}) < count(*) AS INT))"}
+
+
+def _insight_rows(f: str, label: str) -> str:
+    """(field, name, rows) of each table that a field of this type can have."""
+    parts = [f"SELECT '{f}' AS field, '{name}' AS name, {rows.format(f=f)} AS rows FROM {_ORDERS_TEXT}" for name, rows in _ROWS.items()]
+    if label in ("int", "float"):
+        parts.append(f"SELECT '{f}', 'histogram', count(*) FROM ({_histogram('orders', f, 30)})")
+    if label in ("datetime", "string"):
+        day = f if label == "datetime" else f"try_strptime({f}, '%m/%d/%Y')"
+        parts.append(f"SELECT '{f}', 'trend_day', date_diff('day', min({day}), max({day})) + 1 FROM {_ORDERS_TEXT}")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLES["insights"] = f"""
+    WITH kind AS ({ORACLES["field_kinds"]}),
+         size AS ({_each({**ORDERS, "order_day": "string"}.items(), lambda p: _insight_rows(*p))}),
+         shown AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{n}')" for k, ns in _SHOWN.items() for n in ns)}) s(kind, name))
+    SELECT kind.field, kind.kind, name, CAST(rows AS BIGINT) AS rows FROM kind JOIN shown USING (kind) JOIN size USING (field, name)"""
 ORACLES["box_stats"] = """
     WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
                       quantile_cont(value, 0.75) AS q3 FROM events)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tableprofile.operators import (
-    consensus, dbscan, extraction, features, filters, geo, histograms, isolation_forest, keyword_table, kinds, kmeans, lof,
+    consensus, dbscan, extraction, features, filters, geo, histograms, insights, isolation_forest, keyword_table, kinds, kmeans, lof,
     outliers, patterns, summary, trends, values, words)
 from tableprofile.functions.dates import parse_date
 from tableprofile.operators.dictionary import Dictionary, built_in
@@ -114,6 +115,19 @@ def _mixed_dates(df: DataFrame) -> DataFrame:
 query("word_counts", "documents")(lambda df: words.word_counts(df, "text"))
 query("word_pairs", "documents")(lambda df: words.word_counts(df, "text", pairs=True, top=None))
 query("histogram_30", "lineitem")(lambda df: histograms.histogram(df, "l_extendedprice", 30))
+query("histograms", "lineitem")(lambda df: histograms.histograms(df))
+query("outlier_histograms", "events")(lambda df: histograms.outlier_histograms(df, ["user_id", "value"]))
+
+
+@query("insights", "orders")
+def _insights(df: DataFrame) -> DataFrame:
+    """(field, kind, name, rows): every table of every field with the number of its rows."""
+    found = insights.insights(orders_with_text_dates(df), row_id="o_orderkey", keys=["o_custkey"])
+    parts = [table.agg(F.lit(f).alias("field"), F.lit(one.kind).alias("kind"), F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"))
+             for f, one in found.items() for name, table in one.tables.items() if name in ("histogram", "top_values", "unique_values", "chart", "trend_day")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 query("histogram_50", "lineitem")(lambda df: histograms.histogram(df, "l_quantity", 50))
 query("outlier_histogram", "events")(lambda df: histograms.outlier_histogram(df, "value", 50))
 query("box_stats", "events")(lambda df: histograms.box_stats(df, "value"))
