@@ -6,7 +6,7 @@ from tableprofile.functions.shapes import EMAIL, IPV4, MAC
 from tableprofile.operators.dictionary import Dictionary, Entry, built_in
 from tableprofile.operators.words import PAIR_SCORE, STOP_WORDS
 from tableprofile.sources.readers import NA_TOKENS
-from tableprofile.workload import CUSTOMER, FIVE, NEARLY_CONSTANT, PARTS, PLACES, SPELLINGS, TEXT_TERMS
+from tableprofile.workload import CUSTOMER, FIVE, LICENCES, NEARLY_CONSTANT, PARTS, PLACES, SPELLINGS, TEXT_TERMS
 
 ORACLES: dict[str, str] = {}
 
@@ -331,6 +331,9 @@ def _outlier_summary(table: str, fields, places: int | None = 4) -> str:
 
 _EVENT_FIELDS = ["event_id", "user_id", "value"]
 _NUMERIC = [f for f, t in LINEITEM.items() if t in ("int", "float")]
+_PARTLY = "(SELECT doc_id, n_chars, quality, toxic, 7 AS same FROM documents LEFT JOIN labels USING (doc_id))"
+ORACLES["outlier_eligible"] = _each(["doc_id", "n_chars", "quality", "toxic", "same"], lambda f: f"""
+    SELECT * FROM ({_outlier_summary(_PARTLY, [f])}) WHERE (SELECT min({f}) < max({f}) AND 2 * count({f}) >= count(*) FROM {_PARTLY})""")
 ORACLES["outlier_summary"] = _outlier_summary("lineitem", _NUMERIC)
 ORACLES["outlier_summary_events"] = _outlier_summary("events", _EVENT_FIELDS)
 _STATS = """(SELECT avg(value) AS m, stddev_samp(value) AS sd, quantile_cont(value, 0.25) AS q1,
@@ -497,6 +500,10 @@ def _extract(table: str, key: str, fields, dictionary: Dictionary) -> str:
 ORACLES["extract_matches"] = f"""SELECT row_id, field, category, keyword
     FROM ({_matches("documents", "doc_id", ["text", "lang"], TEXT_TERMS.entries())})"""
 ORACLES["extract_summary"] = _extract("documents", "doc_id", ["text", "lang", "source"], TEXT_TERMS)
+ORACLES["extract_split"] = f"SELECT *, category AS split FROM ({ORACLES['extract_summary']})"
+_MANAGED = [Entry("Licence", w, low) for low, w in {w.lower(): w for w in LICENCES}.items()] + [Entry("Function word", "und", "und"), Entry("Function word", "der", "der"),
+                                                                Entry("Language", "LA", "la"), Entry("Language", "el", "el")]
+ORACLES["extract_managed"] = f"""SELECT row_id, field, category, keyword FROM ({_matches("documents", "doc_id", ["text"], _MANAGED)})"""
 ORACLES["extract_built_in"] = _extract("documents", "doc_id", ["text", "lang", "source"], built_in(["France", "India", "Peru"]))
 ORACLES["extract_custom"] = _extract("part", "p_partkey", ["p_name", "p_brand", "p_type"], PARTS)
 ORACLES["joined_terms"] = f"""SELECT row_id, field, category, keyword FROM ({_matches(

@@ -189,6 +189,15 @@ query("outlier_overview", "events")(
 query("outlier_flags", "events")(
     lambda df: outliers.outlier_flags(outliers.outlier_summary(df, ["event_id", "user_id", "value"])))
 
+
+
+def _partly_eligible(d: DataFrame, l: DataFrame) -> DataFrame:
+    """One column with a single value, two that are mostly null, and two that may be judged."""
+    return labelled(d, l).select("doc_id", "n_chars", "quality", "toxic", F.lit(7).alias("same"))
+
+
+query("outlier_eligible", "documents", "labels")(lambda d, l: rounded(outliers.outlier_summary(_partly_eligible(d, l)), "mean", "std_dev", "iqr"))
+
 # --- multi-column outliers ----------------------------------------------------------------
 
 CUSTOMER = ["c_custkey", "c_nationkey", "c_acctbal"]
@@ -315,6 +324,18 @@ def _flat(found: DataFrame) -> DataFrame:
 
 
 query("extract_summary", "documents")(lambda df: _flat(extraction.extract_summary(df, TEXT_TERMS, row_id="doc_id")))
+
+
+@query("extract_split", "documents")
+def _split(df: DataFrame) -> DataFrame:
+    """The summary of each category by itself, under the category's name."""
+    parts = extraction.split_by_category(_flat(extraction.extract_summary(df, TEXT_TERMS, row_id="doc_id")), TEXT_TERMS)
+    return reduce(DataFrame.unionByName, [part.withColumn("split", F.lit(c)) for c, part in parts.items()])
+
+
+#: Categories added, replaced and taken away.
+MANAGED = TEXT_TERMS.add("Language", ["la", " el ", "LA"]).add("Gone", ["die"]).replace("Function word", ["und", "der"]).remove("Gone")
+query("extract_managed", "documents")(lambda df: extraction.extract_matches(df, MANAGED, "doc_id", ["text"]))
 query("extract_built_in", "documents")(
     lambda df: _flat(extraction.extract_summary(df, built_in(["France", "India", "Peru"]), row_id="doc_id")))
 query("extract_custom", "part")(lambda df: _flat(extraction.extract_summary(df, PARTS, row_id="p_partkey")))
