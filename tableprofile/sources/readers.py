@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tableprofile.functions.columns import quoted
 from tableprofile.sources.nested import flatten
 from tableprofile.sources.split_csv import breaks_in_quotes, read_records
+from tableprofile.sources.split_json import array_lines
 
 # Texts that stand for a missing value in CSV files.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -66,10 +67,14 @@ def _is_json_lines(spark: SparkSession, path: str) -> bool:
 def read_json(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
     """A JSON document (array of objects, or one object) or JSON lines, flattened.
 
-    A document is read by one task per file; JSON lines are split like any text file.
+    An array is turned into JSON lines by many tasks; JSON lines are split like any text file. Only a
+    document that is one object is read by one task per file.
     """
     if lines is None:
         lines = _is_json_lines(spark, path)
+    if not lines:
+        folder = array_lines(spark, path)
+        path, lines = (path, False) if folder is None else (folder, True)
     return flatten(spark.read.option("multiLine", not lines).json(path))
 
 

@@ -43,7 +43,7 @@ def _steps(lines: pa.Array) -> tuple[np.ndarray, list[int], list[int]]:
     return np.flatnonzero(with_quote.to_numpy(zero_copy_only=False)), *ends
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.Array]]:
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.Array]]:
     """(file, start, lines) of consecutive lines of one split."""
     file, start = batch.column("file").dictionary_encode(), batch.column("start").to_numpy()
     code = file.indices.to_numpy()
@@ -64,7 +64,7 @@ def _split_states(lines: DataFrame) -> DataFrame:
 
         schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("outside", pa.int64()), ("inside", pa.int64()), ("opens", pa.bool_())])
         for batch in batches:
-            for file, start, values in _runs(batch):
+            for file, start, values in runs(batch):
                 if now != (file, start):
                     if now:
                         yield row()
@@ -157,7 +157,7 @@ def _records(lines: DataFrame, states: dict[tuple[str, int], int]) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None
         for batch in batches:
-            for file, start, values in _runs(batch):
+            for file, start, values in runs(batch):
                 if now is None or (now.file, now.start) != (file, start):
                     if now:
                         yield from now.end()
