@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tableprofile.operators.features import Features
 from tableprofile.plans.boxes import GUESTS_PER_TASK, cut_boxes, meet
-from tableprofile.plans.cuts import cut, small_side
+from tableprofile.plans.cuts import cut, dealt, small_side
 
 EPS = 0.5
 MIN_SAMPLES = 5
@@ -63,7 +63,7 @@ def dbscan_noise(f: Features, eps: float = EPS, min_samples: int = MIN_SAMPLES,
             pdf["near"] = _near(points, points, weights, limit)
         return pdf[["id", *columns, "w", "box", "near"]]
 
-    home = cut(boxes.points.drop("top").groupBy("box").applyInPandas(at_home, f"id long, {coords}, w long, box long, near long"))
+    home = cut(dealt(boxes.points.drop("top"), "box").groupBy("box").applyInPandas(at_home, f"id long, {coords}, w long, box long, near long"))
     is_open = F.col("near") < min_samples
     balls = home.where(is_open).select("id", *columns, "near", F.col("box").alias("home"), F.lit(float(eps)).alias("radius"))
     reached = cut(boxes.visits(balls, guests_per_task))

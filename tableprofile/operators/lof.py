@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tableprofile.operators.features import Features
 from tableprofile.plans.boxes import cut_boxes, meet, touched
-from tableprofile.plans.cuts import cut, hot_split_join, small_side
+from tableprofile.plans.cuts import cut, dealt, hot_split_join, small_side
 from tableprofile.plans.quantiles import exact_quantiles
 
 NEIGHBOURS = 20
@@ -113,7 +113,7 @@ def neighbours(f: Features, k: int, box_rows: int = BOX_ROWS, visitors_per_task:
         out["travels"] = out["travels"].astype(bool)
         return out
 
-    home = cut(boxed.groupBy("box").applyInPandas(
+    home = cut(dealt(boxed, "box").groupBy("box").applyInPandas(
         at_home, f"id long, d double, other long, w long, travels boolean, home long, radius double, {coords}"))
     pairs = home.where(F.col("home").isNull()).select("id", "d", "other", "w", "travels")
     balls = home.where(F.col("home").isNotNull()).select("id", *cols, "radius", "home")
@@ -129,7 +129,7 @@ def neighbours(f: Features, k: int, box_rows: int = BOX_ROWS, visitors_per_task:
     # at most k entries from each box visited compete for the k places of a traveller
     before = F.sum("w").over(Window.partitionBy("id").orderBy("d", "other")
                              .rowsBetween(Window.unboundedPreceding, -1))
-    merged = pairs.where("travels").drop("travels").unionByName(away) \
+    merged = dealt(pairs.where("travels").drop("travels").unionByName(away), "id") \
         .withColumn("w", F.least(F.col("w"), F.lit(k) - F.coalesce(before, F.lit(0)))).where(F.col("w") > 0)
     return locations, cut(pairs.where(~F.col("travels")).drop("travels").unionByName(merged))
 

@@ -50,12 +50,6 @@ def _with_total(top: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.unionByName(total_rows)
 
 
-def _null_as_text(counts: DataFrame) -> DataFrame:
-    """Nulls join the literal text "NULL"."""
-    return counts.withColumn("value", F.coalesce("value", F.lit(NULL_TEXT))) \
-                 .groupBy("field", "value").agg(F.sum("n").alias("n"))
-
-
 def top_values(df: DataFrame, fields: list[str] | None = None, k: int = 10) -> DataFrame:
     """(field, value, count, percentage) plus a Total row per field; nulls count as NULL."""
     return _with_total(*_top_counts(df, fields, k))

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tableprofile.plans.cuts import cut, small_side
+from tableprofile.plans.cuts import cut, dealt, small_side
 
 TOP_BOXES = 100_000
 GUESTS_PER_TASK = 50_000
@@ -128,8 +128,9 @@ def meet(guests: DataFrame, hosts: DataFrame, work: Callable[[pd.DataFrame, pd.D
     per_box = cut(guests.groupBy("box").agg(F.ceil(F.count(F.lit(1)) / guests_per_task).alias("slots")))
     slots = small_side(per_box)
     many = hosts.join(slots, "box").withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)))
-    dealt = guests.join(slots, "box").withColumn("slot", F.pmod(F.xxhash64(*guests.columns), F.col("slots")))
-    return dealt.groupBy("box", "slot").cogroup(many.groupBy("box", "slot")).applyInPandas(
+    spread = guests.join(slots, "box").withColumn("slot", F.pmod(F.xxhash64(*guests.columns), F.col("slots")))
+    place = ["box", "slot"]
+    return dealt(spread, *place).groupBy(*place).cogroup(dealt(many, *place).groupBy(*place)).applyInPandas(
         lambda guest, host: work(guest, host) if len(guest) and len(host) else pd.DataFrame(columns=_names(schema)), schema)
 
 
@@ -157,9 +158,9 @@ def cut_boxes(points: DataFrame, columns: list[str], box_rows: int, weight: str
         parents = large.drop("at") if parents is None else parents.unionByName(large.drop("at"))
         cuts = small_side(large.select("box", *_cuts(columns, box_rows)), size.large, _CUT_ROWS)
         place = [_passed(F.col("over")[i], F.col(c), False) + _passed(F.col("from")[i], F.col(c), True) for i, c in enumerate(columns)]
-        dealt = now.join(cuts, "box", "left").withColumn(
+        parted = now.join(cuts, "box", "left").withColumn(
             "child", F.when(F.col("over").isNull(), F.col("box")).otherwise(F.xxhash64("box", *place)))
-        now = cut(dealt.select(*points.columns, F.col("child").alias("box"),
+        now = cut(parted.select(*points.columns, F.col("child").alias("box"),
                                F.when(F.col("over").isNull(), F.col("up")).otherwise(F.col("box")).alias("up"), top.alias("top")))
 
 

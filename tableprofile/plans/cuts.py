@@ -58,6 +58,12 @@ def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_RO
     return F.broadcast(df) if n <= limit else df
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows by key on the session's number of shuffle partitions. For work that is dear per row: a number that is
+    given is not folded by bytes, which would leave cores idle where groups are small."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def hot_split_join(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, total: int,
                    hot_share: int = 1000) -> DataFrame:
     """Inner join of rows with one row per key, where a key may own a large part of the rows.
