@@ -159,3 +159,16 @@ def test_map_layers(spark, dim):
     assert {(r.lat, r.weight) for r in geo.heat_weights(layer).collect()} == {(1.0, 10.13), (7.0, 30.0), (5.0, 20.0)}
     assert geo.map_layer(df.where("c = 'France'"), "c", dim, "v").first().radius == 200000.0
     assert {r.radius for r in geo.map_layer(df, "c", dim).collect()} == {200000.0}
+
+
+def test_map_lines_across_partitions(spark):
+    """Sorted over many tasks, with ties and missing values: the same chain as in one."""
+    rows = [(f"c{i:04d}", float(i), -float(i), None if i % 50 == 0 else float(i % 37)) for i in range(3000)]
+    layer = spark.createDataFrame(rows, "country string, lat double, lon double, value double").repartition(6)
+    from tableprofile.operators import geo
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {(r.start_country, r.end_country) for r in geo.map_lines(layer).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    chain = [r[0] for r in sorted(rows, key=lambda r: (r[3] is None, -(r[3] or 0), r[0]))]
+    assert got == set(zip(chain, chain[1:])) and len(got) == 2999
