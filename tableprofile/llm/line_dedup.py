@@ -1,12 +1,12 @@
-"""Fuzzy line deduplication: SimHash and MinHash keys, edit similarity, connected groups.
-
-Lines are normalised: A-Z as a-z, white space runs as one space, none at the ends. Two lines are
-linked when their edit similarity, 1 - distance / longer length in code points, reaches the threshold.
-Candidates agree in one of BANDS keys, each of ROWS minima of hashed features: of words, longer ones
-with more weight, and for lines of at most SHORT bytes of 3-byte strings (lines between LONG and SHORT
-have both). Of lines with a common key, those whose sketches differ in few bits come into one cluster:
-64 bits of the minima, and 64 of the SimHash of the words or, for short lines, of further minima. In a
-cluster, pairs of near sketches are judged by edit similarity. So links can be lost, see the README.
+"""Fuzzy line deduplication: SimHash, joins on pigeonhole blocks, edit similarity, connected groups.
+
+Lines are normalised: A-Z as a-z, white space runs as one space, none at the ends. The SimHash of a
+line has BLOCKS blocks of BLOCK_BITS bits: the signs of sums over its different 4-byte strings, one rule
+for all lengths. Two lines are linked when they share a block (any two within BLOCKS - 1 bits do, by the
+pigeonhole principle), differ in at most DISTANCE bits of all and NEAR of the SHOWN bits that travel
+with a block, and their edit similarity, 1 - distance / longer length in code points, reaches the
+threshold. Every such pair is judged, or connected already by pairs that were. Chance meetings in a
+block grow with the number of lines; BLOCK_BITS of about its binary logarithm keeps them few.
 """
 
 from __future__ import annotations
@@ -15,22 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tableprofile.llm.cluster_search import in_blocks, search
 from tableprofile.llm.common import pick, small, written
 from tableprofile.llm.components import components, forest
 from tableprofile.llm.text_arrays import LOWER, U, Words, _power, mix, slices, words_of
 
-DISTANCE = 64              # SimHash bits in which linked lines may differ: all, the edit similarity decides
-BANDS = 16
-ROWS = 4
-SHORT = 80                 # bytes of the normalised line
-LONG = 64                  # the longer of two linked lines is above SHORT only if the shorter is at least this
-WORD_BITS = 40             # bits of the 128 in which the sketches of candidates may differ
-GRAM_BITS = 36
+GRAM = 4                   # bytes of a string that votes
+BLOCKS = 15                # three in each of five longs
+BLOCK_BITS = 20            # at most 21
+SHOWN = 98                 # bits next to a block: all 60 of the next long, 38 of the one after it
+NEAR = 22                  # of those, in which linked lines may differ
+DISTANCE = 66              # of all 300
 PERCENT = 80
-BLOCK_CHARS = 1_000_000    # code points of the lines searched in one task; a longer line is a task's own
+FEATURES = 1024            # dimensions into which the strings are hashed before the projection
+SKETCH = tuple(f"s{i}" for i in range(BLOCKS // 3))
 
 
 def line_edges(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,85 +41,48 @@ def line_edges(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return of, starts, ends
 
 
-def line_hashes(words: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the words in order, SimHash) of each run of words first..last."""
+def line_hashes(words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of the words in order of each run of words first..last."""
     up, down = _power(len(words.hash) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hash) * up[:len(words.hash)])])
-    value = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-    # each different word of a run votes once: else the most frequent would decide alone
-    run = np.repeat(np.arange(len(first)), last - first)
-    word = np.repeat(first - (np.cumsum(last - first) - (last - first)), last - first) + np.arange(len(run))
-    order = np.lexsort((words.hash[word], run))
-    run, hashes = run[order], words.hash[word[order]]
-    new = np.ones(len(run), bool)
-    new[1:] = (run[1:] != run[:-1]) | (hashes[1:] != hashes[:-1])
-    run, hashes = run[new], np.ascontiguousarray(hashes[new])
-    votes = np.zeros((len(first), 64), np.int32)
-    if len(run):
-        begin = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes[run[begin]] = 2 * np.add.reduceat(bits, begin, axis=0, dtype=np.int32) - np.diff(np.append(begin, len(run)))[:, None]
-    return value, np.packbits(votes > 0, axis=1, bitorder="little").view(np.uint64).ravel()
-
-
-def _minima(hashes: np.ndarray, scale: np.ndarray | None, begin: np.ndarray, number: int) -> np.ndarray:
-    """Per run of features from each of begin on: `number` minima of differently hashed features, as bits.
-    scale: float32, features with a smaller one are chosen more often."""
-    out = np.empty((number, len(begin)), np.float32)
-    for i in range(number):
-        value = ((hashes * _FACTORS[i]) >> U(32)).astype(np.float32)
-        out[i] = np.minimum.reduceat(value if scale is None else value * scale, begin)
-    return out.view(np.uint32)
-
-
-_FACTORS = np.random.default_rng(11).integers(1, 2 ** 63, 128, dtype=np.uint64) * U(2) + U(1)
-
-
-def _bits(minima: np.ndarray) -> np.ndarray:
-    """64 minima of each run as 64 bits."""
-    bit = mix(minima.astype(np.uint64)) & U(1)
-    return (bit << np.arange(64, dtype=np.uint64)[:, None]).sum(axis=0, dtype=np.uint64)
-
-
-def _band_keys(minima: np.ndarray, salt: int) -> np.ndarray:
-    """(run, band): 32-bit keys."""
-    keys = np.empty((minima.shape[1], BANDS), np.int32)
-    for band in range(BANDS):
-        h = np.full(minima.shape[1], salt, np.uint64)
-        for one in minima[band * ROWS:(band + 1) * ROWS]:
-            h = mix(h * U(0xD6E8FEB86659FD93) + one.astype(np.uint64))
-        keys[:, band] = (h & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-    return keys
-
-
-def word_sketches(words: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, bits) of runs of words first..last, none empty; the runs are in order."""
-    word = np.repeat(first - (np.cumsum(last - first) - (last - first)), last - first) + np.arange((last - first).sum())
-    begin = np.cumsum(last - first) - (last - first)
-    scale = (1 / (words.end - words.start)[word]).astype(np.float32)
-    minima = _minima(words.hash[word], scale, begin, 64)
-    return _band_keys(minima, 1), _bits(minima)
-
-
-def gram_sketches(data: np.ndarray, words: Words, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, bits, further bits) of the 3-byte strings of runs of words, each word between spaces."""
+    return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+
+
+_SIGNS = np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (FEATURES, 3 * BLOCK_BITS * len(SKETCH)))
+
+
+def simhash(data: np.ndarray, words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """(run, long): SimHash of runs of words, none empty. A string votes once in a run; the line ends in spaces."""
     n = last - first
     begin = np.cumsum(n) - n
     word = np.repeat(first - begin, n) + np.arange(n.sum())
     size = words.end[word] - words.start[word] + 1              # the space before it
-    size[begin + n - 1] += 1                                    # the space after the last
+    size[begin + n - 1] += GRAM - 1
     at = np.cumsum(size) - size
     place = np.arange(size.sum()) - np.repeat(at, size) - 1
-    source = np.repeat(words.start[word], size) + place
     inner = (place >= 0) & (place < np.repeat(words.end[word] - words.start[word], size))
-    text = np.full(len(place), 32, np.uint64)
-    text[inner] = LOWER[data[source[inner]]]
-    gram = mix(text[:-2] | text[1:-1] << U(8) | text[2:] << U(16))
+    text = np.full(len(place) + GRAM - 1, 32, np.uint64)
+    text[:len(place)][inner] = LOWER[data[(np.repeat(words.start[word], size) + place)[inner]]]
     start = at[begin]
-    length = np.diff(np.append(start, len(place))) - 2
-    of = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
-    minima = _minima(gram[of], None, np.cumsum(length) - length, 128)
-    return _band_keys(minima[:64], 2), _bits(minima[:64]), _bits(minima[64:])
+    length = np.diff(np.append(start, len(place))) - GRAM + 1
+    run = np.repeat(np.arange(len(n)), length)
+    source = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    gram = np.zeros(len(source), np.uint64)
+    for i in range(GRAM):
+        gram |= text[source + i] << U(8 * i)
+    votes = np.sort(run.astype(np.uint64) << U(40) | mix(gram) >> U(24))
+    votes = votes[np.concatenate([[True], votes[1:] != votes[:-1]])] if len(votes) else votes
+    run, feature = (votes >> U(40)).astype(np.int64), (votes & U(FEATURES - 1)).astype(np.int64)
+    sign = 1.0 - 2.0 * (votes >> U(39) & U(1)).astype(np.float64)
+    out = np.empty((len(n), len(SKETCH)), np.int64)
+    powers = np.int64(1) << np.arange(3 * BLOCK_BITS, dtype=np.int64)
+    for low in range(0, len(n), 1024):
+        high = min(low + 1024, len(n))
+        a, b = np.searchsorted(run, [low, high])
+        sums = np.bincount((run[a:b] - low) * FEATURES + feature[a:b], sign[a:b], (high - low) * FEATURES)
+        bits = sums.reshape(-1, FEATURES).astype(np.float32) @ _SIGNS > 0
+        out[low:high] = (bits.reshape(high - low, len(SKETCH), -1) * powers).sum(axis=2)
+    return out
 
 
 def _normal(line: str) -> str:
@@ -168,43 +130,81 @@ def similar(a: str, b: str, percent: int) -> bool:
     return 100 * min(len(a), len(b)) >= percent * longer and 100 * edit_distance(a, b) <= (100 - percent) * longer
 
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (band, key, simhash, bits, node) rows in order: links that connect the nodes of each key as
-    all pairs of near sketches would. Held: a batch, and the last key's distinct sketches."""
-    held = None
-    for batch in batches:
-        band, key, *new = [batch.column(c).to_numpy() for c in ("band", "key", "simhash", "bits", "node")]
-        new = [band.astype(np.int64) << 32 | key.astype(np.int64) & 0xFFFFFFFF, *new]
-        key, simhash, bits, node = new if held is None else [np.concatenate([a, b]) for a, b in zip(held, new)]
-        if not len(key):
-            continue
-        links = []
-        same = np.flatnonzero((key[1:] == key[:-1]) & (simhash[1:] == simhash[:-1]) & (bits[1:] == bits[:-1])) + 1
-        if len(same):
-            links.append(np.stack([node[same - 1], node[same]], axis=1))
+def _near(key: np.ndarray, bits: np.ndarray, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+    shown = (key[at] ^ key[other]) & (1 << SHOWN - 3 * BLOCK_BITS) - 1     # the block is the same
+    return np.bitwise_count(shown).astype(np.int64) + np.bitwise_count(bits[at] ^ bits[other]) <= NEAR
+
+
+def _connect(block: np.ndarray, key: np.ndarray, bits: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Pairs that connect the nodes of each block as all pairs of near ones would."""
+    links = []
+    same = np.flatnonzero((key[1:] == key[:-1]) & (bits[1:] == bits[:-1])) + 1
+    if len(same):
+        links.append(np.stack([node[same - 1], node[same]], axis=1))
         keep = np.ones(len(key), bool)
         keep[same] = False
-        key, simhash, bits, node = key[keep], simhash[keep], bits[keep], node[keep]
-        most = np.where(key >> 32 < BANDS, WORD_BITS, GRAM_BITS)
-        part = np.arange(len(key))
-        at = np.flatnonzero(key[1:] == key[:-1])
-        step = 1
-        while len(at):
-            near = at[part[at] != part[at + step]]
-            differ = sum(np.bitwise_count((x[near] ^ x[near + step]).view(np.uint64)).astype(np.int64) for x in (simhash, bits))
-            near = near[differ <= most[near]]
-            if len(near):
-                links.append(np.stack([node[near], node[near + step]], axis=1))
-                part = _joined(part, near, near + step)
-            step += 1
-            at = at[at + step < len(key)]
-            at = at[key[at] == key[at + step]]
-        last = np.flatnonzero(key == key[-1])       # may go on in the next batch
-        held = [x[last] for x in (key, simhash, bits, node)]
-        if links:
-            links = np.concatenate(links)
-            links = links[forest(links[:, 0], links[:, 1])]
-            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+        block, key, bits, node = block[keep], key[keep], bits[keep], node[keep]
+    part, step = np.arange(len(key)), 1
+    at = np.flatnonzero(block[1:] == block[:-1])
+    while len(at):
+        open_ = at[part[at] != part[at + step]]
+        open_ = open_[_near(key, bits, open_, open_ + step)]
+        if len(open_):
+            links.append(np.stack([node[open_], node[open_ + step]], axis=1))
+            part = _joined(part, open_, open_ + step)
+        step += 1
+        at = at[at + step < len(key)]
+        at = at[block[at] == block[at + step]]
+    links = np.concatenate([*links, np.zeros((0, 2), np.int64)])
+    return links[forest(links[:, 0], links[:, 1])] if len(links) else links
+
+
+def _across(block: np.ndarray, key: np.ndarray, bits: np.ndarray, node: np.ndarray, part: np.ndarray) -> Iterator[np.ndarray]:
+    """All near pairs of a block whose parts differ, step by step."""
+    cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    mixed = np.minimum.reduceat(part, cuts) != np.maximum.reduceat(part, cuts)
+    keep = np.repeat(mixed, np.diff(np.append(cuts, len(block))))
+    block, key, bits, node, part = block[keep], key[keep], bits[keep], node[keep], part[keep]
+    at, step = np.flatnonzero(block[1:] == block[:-1]), 1
+    while len(at):
+        open_ = at[part[at] != part[at + step]]
+        open_ = open_[_near(key, bits, open_, open_ + step)]
+        if len(open_):
+            yield np.stack([node[open_], node[open_ + step]], axis=1)
+        step += 1
+        at = at[at + step < len(key)]
+        at = at[block[at] == block[at + step]]
+
+
+def _meetings(across: bool):
+    """From (key, bits, node[, part]) rows in order: pairs (a, b), a < b. Held: a batch, and the last block."""
+    names = ("key", "bits", "node", "part")[:3 + across]
+
+    def solved(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        block = columns[0] >> SHOWN - 3 * BLOCK_BITS
+        for pairs in _across(block, *columns) if across else [_connect(block, *columns)]:
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            new = [batch.column(c).to_numpy() for c in names]
+            block = new[0] >> SHOWN - 3 * BLOCK_BITS
+            last = int(np.searchsorted(block, block[-1]))
+            if held and (last or held[-1][0][-1] >> SHOWN - 3 * BLOCK_BITS != block[0]):
+                done = [np.concatenate(x) for x in zip(*held, [x[:last] for x in new])]
+                held, new = [], [x[last:] for x in new]
+                yield from solved(done)
+            elif last:
+                yield from solved([x[:last] for x in new])
+                new = [x[last:] for x in new]
+            held.append(new)
+        if held:
+            yield from solved([np.concatenate(x) for x in zip(*held)])
+    return run
 
 
 def _joined(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -225,47 +225,36 @@ def _joined(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return change[part]
 
 
-def _similar_lines(percent: int):
-    """For `search`: payload = _SKETCH, then the normalised line. Pairs whose sketches are far apart are
-    candidates by no key and came into one cluster through others."""
-    def prepare(right: list[bytes]):
-        held = np.frombuffer(b"".join(r[:_SKETCH.itemsize] for r in right), _SKETCH)
-        lines = [r[_SKETCH.itemsize:].decode() for r in right]
-        size = np.array([len(x) for x in lines], np.int64)
-
-        def partners(payload: bytes, open_: np.ndarray) -> np.ndarray:
-            mine, line = np.frombuffer(payload[:_SKETCH.itemsize], _SKETCH)[0], payload[_SKETCH.itemsize:].decode()
-            fits = np.flatnonzero(open_ & (100 * np.minimum(size, len(line)) >= percent * np.maximum(size, len(line))))
-            far = np.bitwise_count(held["bits"][fits] ^ mine["bits"]).astype(np.int64)     # line, (word, word, gram, gram)
-            both = held["has"][fits] & mine["has"]
-            near = both[:, 0] & (far[:, 0] + far[:, 1] <= WORD_BITS) | both[:, 1] & (far[:, 2] + far[:, 3] <= GRAM_BITS)
-            return np.array([i for i in fits[near] if similar(line, lines[i], percent)], np.int64)
-        return partners
-    return prepare
-
-
-_SKETCH = np.dtype([("bits", "<u8", 4), ("has", "?", 2)])
-
-
-SKETCHES = ("word_keys", "word_bits", "gram_keys", "gram_bits", "gram_more")
-_SKETCH_TYPES = "word_keys array<int>, word_bits long, gram_keys array<int>, gram_bits long, gram_more long"
-
-
-def _sketches(data: np.ndarray, words: Words, first: np.ndarray, last: np.ndarray) -> list[pa.Array]:
-    """The columns of SKETCHES for runs of words; keys are empty for a line that is too short or too long."""
-    inner = np.concatenate([[0], np.cumsum(words.end - words.start)])
-    size = inner[last] - inner[first] + last - first - 1 if len(first) else first
-    out = []
-    for chosen, sketch in ((size >= LONG, lambda a, b: word_sketches(words, a, b)), (size <= SHORT, lambda a, b: gram_sketches(data, words, a, b))):
-        some = np.flatnonzero(chosen)
-        keys, *bits = sketch(first[some], last[some]) if len(some) else (np.zeros((0, BANDS), np.int32), *[np.zeros(0, np.uint64)] * (1 + len(out) // 2))
-        at = np.concatenate([[0], np.cumsum(chosen)]).astype(np.int32) * BANDS
-        out.append(pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel())))
-        for b in bits:
-            column = np.zeros(len(first), np.int64)
-            column[some] = b.view(np.int64)
-            out.append(pa.array(column))
-    return out
+def _blocks(lines: DataFrame, *also: str) -> DataFrame:
+    """A row for each block of each line, sorted: key (number and bits of the block, 38 further bits), bits, node."""
+    rows = []
+    for i in range(BLOCKS):
+        own, after, last = (F.col(SKETCH[(i // 3 + k) % len(SKETCH)]) for k in range(3))
+        block = F.shiftright(own, BLOCK_BITS * (i % 3)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) + F.lit(i << BLOCK_BITS)
+        tail = SHOWN - 3 * BLOCK_BITS
+        rows.append(F.struct((F.shiftleft(block, tail) + last.bitwiseAND(F.lit((1 << tail) - 1))).alias("key"), after.alias("bits")))
+    keyed = lines.select(F.explode(F.array(*rows)).alias("r"), "node", *also).select("r.key", "r.bits", "node", *also)
+    number = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(number, F.shiftright("key", SHOWN - 3 * BLOCK_BITS)).sortWithinPartitions("key", "bits", "node")
+
+
+def _judged(pairs: DataFrame, lines: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose SimHashes and lengths are near enough and whose lines are similar."""
+    def side(name: str) -> DataFrame:
+        return lines.select(F.col("node").alias(name), F.struct("n", *SKETCH).alias(f"of_{name}"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()
+            yield batch.select(["a", "b"]).filter(pa.array([similar(x, y, percent) for x, y in zip(a, b)], pa.bool_()))
+
+    far = sum((F.bit_count(F.col(f"of_a.{c}").bitwiseXOR(F.col(f"of_b.{c}"))) for c in SKETCH), F.lit(0))
+    sizes = F.least("of_a.n", "of_b.n") * 100 >= F.greatest("of_a.n", "of_b.n") * percent
+    near = written(pairs.join(side("a"), "a").join(side("b"), "b").where((far <= DISTANCE) & sizes).select("a", "b"))
+    number = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = near.join(held.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a").join(
+        held.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
+    return written(full.repartition(number, "a", "b").mapInArrow(judge, "a long, b long"))
 
 
 def removed_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -279,49 +268,48 @@ def removed_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent
                 of, starts, ends = line_edges(data, at)
                 words = words_of(data, at, lower=True)
                 lo, hi = np.searchsorted(words.start, starts), np.searchsorted(words.start, ends)
-                node, simhash = line_hashes(words, lo, hi)
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 inner = np.concatenate([[0], np.cumsum(chars[words.end] - chars[words.start])])
                 size = inner[hi] - inner[lo] + np.maximum(0, hi - lo - 1)       # code points of the normalised line
                 number = np.arange(len(of)) - np.searchsorted(of, of)
                 keep = np.flatnonzero(hi > lo)
-                sketches = _sketches(data, words, lo[keep], hi[keep])
+                lo, hi = lo[keep], hi[keep]
+                node = line_hashes(words, lo, hi)
+                _, once, again = np.unique(node, return_index=True, return_inverse=True)
+                sketch = simhash(data, words, lo[once], hi[once])[again]
                 take = pa.array(first + of[keep])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(take), batch.column("version").take(take), pa.array(number[keep]), pa.array(node[keep].view(np.int64)),
-                     pa.array(simhash[keep].view(np.int64)), pa.array(size[keep]), *sketches], names=["id", "version", "line", "node", "simhash", "n", *SKETCHES])
+                    [batch.column("id").take(take), batch.column("version").take(take), pa.array(number[keep]), pa.array(node.view(np.int64)),
+                     pa.array(size[keep]), *(pa.array(np.ascontiguousarray(x)) for x in sketch.T)], names=["id", "version", "line", "node", "n", *SKETCH])
 
-    def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text_, lines in zip(batch.column("text"), batch.column("lines")):
-                split = text_.as_py().split("\n")
-                nodes, out = [], []
-                for x in lines.as_py():
-                    nodes.append(x["node"])
-                    sketch = [x[c] % 2 ** 64 for c in ("simhash", "word_bits", "gram_more", "gram_bits")]
-                    out.append(np.array((sketch, (x["by_word"], x["by_gram"])), _SKETCH).tobytes() + _normal(split[x["line"]]).encode())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "payload"])
-
-    found = written(rows.mapInArrow(occurrences, f"id {id_type}, version long, line long, node long, simhash long, n long, {_SKETCH_TYPES}"))
+                split, chosen = text_.as_py().split("\n"), lines.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([x["node"] for x in chosen], pa.int64()),
+                                                  pa.array([_normal(split[x["line"]]) for x in chosen], pa.string())], names=["node", "line"])
+
+    longs = ", ".join(f"{c} long" for c in ("version", "line", "node", "n", *SKETCH))
+    found = written(rows.mapInArrow(occurrences, f"id {id_type}, {longs}"))
     place = F.struct("id", "version", "line")
-    lines = written(found.groupBy("node").agg(F.min(place).alias("at"), *(F.first(c).alias(c) for c in ("simhash", "n", *SKETCHES))))
-    by_word = lines.select(F.posexplode("word_keys").alias("band", "key"), "simhash", F.col("word_bits").alias("bits"), "node")
-    by_gram = lines.select(F.posexplode("gram_keys").alias("band", "key"), F.col("gram_more").alias("simhash"), F.col("gram_bits").alias("bits"), "node")
-    keyed = by_word.union(by_gram.withColumn("band", F.col("band") + BANDS))
-    keyed = keyed.repartition("band", "key").sortWithinPartitions("band", "key", "simhash", "bits", "node")
-    clusters = components(keyed.mapInArrow(_close, "a long, b long"), thin=False)
-    lines = lines.select("node", "at", "n", "simhash", "word_bits", "gram_more", "gram_bits", (F.size("word_keys") > 0).alias("by_word"), (F.size("gram_keys") > 0).alias("by_gram"))
-    nodes = in_blocks(clusters, lines, BLOCK_CHARS)
-    wanted = nodes.groupBy("at.id", "at.version").agg(F.collect_list(F.struct("at.line", "node", "simhash", "word_bits", "gram_more", "gram_bits", "by_word", "by_gram")).alias("lines"))
-    wanted = small(written(wanted), 64 * F.size("lines") + 40)
+    lines = written(found.groupBy("node").agg(F.min(place).alias("at"), *(F.min(c).alias(c) for c in ("n", *SKETCH))))
+    first = written(_blocks(lines).mapInArrow(_meetings(False), "a long, b long").distinct())
+    met = small(written(first.select(F.explode(F.array("a", "b")).alias("node")).distinct()), F.lit(8))
+    near = written(lines.join(met, "node", "left_semi"))
+    wanted = near.groupBy("at.id", "at.version").agg(F.collect_list(F.struct("at.line", "node")).alias("lines"))
+    wanted = small(written(wanted), 16 * F.size("lines") + 40)
     texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]) & rows["version"].eqNullSafe(wanted["version"])).select("text", "lines")
-    held = written(texts.mapInArrow(payloads, "node long, payload binary").groupBy("node").agg(F.first("payload").alias("payload")))
-    groups = components(search(nodes, held, percent, BLOCK_CHARS, _similar_lines(percent)))
-    grouped = lines.join(groups, "node")
+    held = written(texts.mapInArrow(texts_of, "node long, line string").groupBy("node").agg(F.min("line").alias("line")))
+    links = _judged(first, near, held, percent)
+    parts = components(links).withColumnRenamed("component", "part")
+    known = near.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    second = _blocks(known, "part").mapInArrow(_meetings(True), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    groups = components(links.union(_judged(written(second), near, held, percent)))
+    grouped = near.join(groups, "node")
     keepers = grouped.groupBy("component").agg(F.min("at").alias("kept"))
     fuzzy = grouped.join(keepers, "component").select("node", F.col("kept"))
     kept = lines.select("node", "at").join(fuzzy, "node", "left").select("node", F.coalesce("kept", "at").alias("kept"))
-    gone = found.join(kept, "node").where(~place.eqNullSafe(F.col("kept")))
+    gone = found.select("id", "version", "line", "node").join(kept, "node").where(~place.eqNullSafe(F.col("kept")))
     return gone.groupBy("id", "version").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
@@ -333,8 +321,9 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent:
     as they are and have 0 and 1 lines. Rows that repeat id and text are one document: each loses the
     same lines. Columns of df called n_lines or n_removed are replaced. An empty table gives no rows.
 
-    Texts are read three times. Shuffled are a row per line with its keys, a row for each key of each
-    different line, and the text of lines in clusters; texts only if the list of removed lines is too large to broadcast.
+    Texts are read three times. Shuffled are a row per line with its SimHash, a row of 24 bytes for each block of
+    each different line, and the text of lines that met near ones; texts only if the list of removed lines is too
+    large to broadcast. All lines of one block value are one task's; equal SimHashes there count once.
     """
     gone = removed_lines(df, id, text, percent).select(F.col("id").alias("__id"), F.col("version").alias("__version"), F.col("removed").alias("__removed"))
     gone = small(written(gone), 8 * F.size("__removed") + 40)
