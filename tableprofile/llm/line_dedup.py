@@ -18,17 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tableprofile.llm.common import pick, small, written
-from tableprofile.llm.components import components, forest
+from tableprofile.llm.components import PART_LINKS, components, forest
 from tableprofile.llm.text_arrays import LOWER, U, Words, _power, mix, slices, words_of
 
-GRAM = 4                   # bytes of a string that votes
+GRAM = 4                   # bytes of a string that votes: a 32-bit word
 BLOCKS = 15                # three in each of five longs
-BLOCK_BITS = 20            # at most 21
-SHOWN = 98                 # bits next to a block: all 60 of the next long, 38 of the one after it
-NEAR = 22                  # of those, in which linked lines may differ
-DISTANCE = 66              # of all 300
+BLOCK_BITS = 18            # at most 21
+SHOWN = 92                 # bits next to a block: all 54 of the next long, 38 of the one after it
+NEAR = 21                  # of those, in which linked lines may differ
+DISTANCE = 59              # of all 270
 PERCENT = 80
-FEATURES = 1024            # dimensions into which the strings are hashed before the projection
+FEATURES = 512             # dimensions into which the strings are hashed before the projection
 SKETCH = tuple(f"s{i}" for i in range(BLOCKS // 3))
 
 
@@ -53,35 +53,42 @@ _SIGNS = np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (FEATURE
 
 def simhash(data: np.ndarray, words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """(run, long): SimHash of runs of words, none empty. A string votes once in a run; the line ends in spaces."""
+    if not len(first):
+        return np.empty((0, len(SKETCH)), np.int64)
     n = last - first
     begin = np.cumsum(n) - n
     word = np.repeat(first - begin, n) + np.arange(n.sum())
-    size = words.end[word] - words.start[word] + 1              # the space before it
+    wide = words.end[word] - words.start[word]
+    size = wide + 1                                             # the space before it
     size[begin + n - 1] += GRAM - 1
     at = np.cumsum(size) - size
-    place = np.arange(size.sum()) - np.repeat(at, size) - 1
-    inner = (place >= 0) & (place < np.repeat(words.end[word] - words.start[word], size))
-    text = np.full(len(place) + GRAM - 1, 32, np.uint64)
-    text[:len(place)][inner] = LOWER[data[(np.repeat(words.start[word], size) + place)[inner]]]
-    start = at[begin]
-    length = np.diff(np.append(start, len(place))) - GRAM + 1
-    run = np.repeat(np.arange(len(n)), length)
-    source = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
-    gram = np.zeros(len(source), np.uint64)
-    for i in range(GRAM):
-        gram |= text[source + i] << U(8 * i)
-    votes = np.sort(run.astype(np.uint64) << U(40) | mix(gram) >> U(24))
-    votes = votes[np.concatenate([[True], votes[1:] != votes[:-1]])] if len(votes) else votes
-    run, feature = (votes >> U(40)).astype(np.int64), (votes & U(FEATURES - 1)).astype(np.int64)
-    sign = 1.0 - 2.0 * (votes >> U(39) & U(1)).astype(np.float64)
+    text = np.full(int(size.sum()) + GRAM, 32, np.uint8)
+    jump = words.start[word] - at - 1                           # from a letter's place here to its place in data
+    inner = np.repeat(at + 1 - (np.cumsum(wide) - wide), wide) + np.arange(wide.sum())
+    text[inner] = LOWER[data[inner + np.repeat(jump, wide)]]
+    end = np.append(at[begin][1:], len(text) - GRAM)
+    length = np.diff(np.append(0, end)) - GRAM + 1
+    inside = np.ones(len(text) - GRAM, bool)
+    for i in range(1, GRAM):
+        inside[end - i] = False
+    gram = np.empty(len(inside) + GRAM, np.uint32)
+    for i in range(4):
+        whole = text[i:i + (len(text) - i) // 4 * 4].view("<u4")
+        gram[i::4][:len(whole)] = whole
+    votes = np.sort(np.repeat(np.arange(len(n), dtype=np.uint64) << U(32), length) | gram[:len(inside)][inside])
+    votes = votes[np.concatenate([[True], votes[1:] != votes[:-1]])]
+    run = (votes >> U(32)).astype(np.int64)
+    hashed = mix(votes & U(0xFFFFFFFF))
+    feature, sign = (hashed & U(FEATURES - 1)).astype(np.int64), 1.0 - 2.0 * (hashed >> U(40) & U(1))
     out = np.empty((len(n), len(SKETCH)), np.int64)
-    powers = np.int64(1) << np.arange(3 * BLOCK_BITS, dtype=np.int64)
     for low in range(0, len(n), 1024):
         high = min(low + 1024, len(n))
         a, b = np.searchsorted(run, [low, high])
         sums = np.bincount((run[a:b] - low) * FEATURES + feature[a:b], sign[a:b], (high - low) * FEATURES)
         bits = sums.reshape(-1, FEATURES).astype(np.float32) @ _SIGNS > 0
-        out[low:high] = (bits.reshape(high - low, len(SKETCH), -1) * powers).sum(axis=2)
+        packed = np.zeros((high - low, len(SKETCH), 64), bool)
+        packed[:, :, :3 * BLOCK_BITS] = bits.reshape(high - low, len(SKETCH), -1)
+        out[low:high] = np.packbits(packed, axis=2, bitorder="little").view("<i8")[:, :, 0]
     return out
 
 
@@ -93,19 +100,24 @@ def _normal(line: str) -> str:
 _LOWER = {c: c + 32 for c in range(65, 91)} | {c: 32 for c in range(9, 14)}
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the common start."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance; one step of bit arithmetic per character of b."""
-    while a and b and a[-1] == b[-1] and a[0] == b[0]:
-        lead = 0
-        top = min(len(a), len(b))
-        while lead < top and a[lead] == b[lead]:
-            lead += 1
-        a, b = a[lead:], b[lead:]
-        tail = 0
-        top = min(len(a), len(b))
-        while tail < top and a[-1 - tail] == b[-1 - tail]:
-            tail += 1
-        a, b = a[:len(a) - tail], b[:len(b) - tail]
+    lead = _common(a, b)
+    a, b = a[lead:], b[lead:]
+    tail = _common(a[::-1], b[::-1])
+    a, b = a[:len(a) - tail], b[:len(b) - tail]
     if not a or not b:
         return len(a) + len(b)
     if len(a) > len(b):
@@ -238,21 +250,32 @@ def _blocks(lines: DataFrame, *also: str) -> DataFrame:
     return keyed.repartition(number, F.shiftright("key", SHOWN - 3 * BLOCK_BITS)).sortWithinPartitions("key", "bits", "node")
 
 
-def _judged(pairs: DataFrame, lines: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose SimHashes and lengths are near enough and whose lines are similar."""
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's pairs those that close no circle."""
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *(np.stack([x.to_numpy() for x in batch.columns], axis=1) for batch in batches)])
+    pairs = pairs[forest(pairs[:, 0], pairs[:, 1])]
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _asked(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose SimHashes and lengths are near enough."""
     def side(name: str) -> DataFrame:
         return lines.select(F.col("node").alias(name), F.struct("n", *SKETCH).alias(f"of_{name}"))
 
+    far = sum((F.bit_count(F.col(f"of_a.{c}").bitwiseXOR(F.col(f"of_b.{c}"))) for c in SKETCH), F.lit(0))
+    sizes = F.least("of_a.n", "of_b.n") * 100 >= F.greatest("of_a.n", "of_b.n") * percent
+    return written(pairs.join(side("a"), "a").join(side("b"), "b").where((far <= DISTANCE) & sizes).select("a", "b"))
+
+
+def _judged(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose lines are similar."""
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()
             yield batch.select(["a", "b"]).filter(pa.array([similar(x, y, percent) for x, y in zip(a, b)], pa.bool_()))
 
-    far = sum((F.bit_count(F.col(f"of_a.{c}").bitwiseXOR(F.col(f"of_b.{c}"))) for c in SKETCH), F.lit(0))
-    sizes = F.least("of_a.n", "of_b.n") * 100 >= F.greatest("of_a.n", "of_b.n") * percent
-    near = written(pairs.join(side("a"), "a").join(side("b"), "b").where((far <= DISTANCE) & sizes).select("a", "b"))
     number = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    full = near.join(held.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a").join(
+    full = pairs.join(held.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a").join(
         held.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
     return written(full.repartition(number, "a", "b").mapInArrow(judge, "a long, b long"))
 
@@ -292,7 +315,7 @@ def removed_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent
     longs = ", ".join(f"{c} long" for c in ("version", "line", "node", "n", *SKETCH))
     found = written(rows.mapInArrow(occurrences, f"id {id_type}, {longs}"))
     place = F.struct("id", "version", "line")
-    lines = written(found.groupBy("node").agg(F.min(place).alias("at"), *(F.min(c).alias(c) for c in ("n", *SKETCH))))
+    lines = written(found.groupBy("node").agg(F.min(place).alias("at"), F.count("*").alias("copies"), *(F.min(c).alias(c) for c in ("n", *SKETCH))))
     first = written(_blocks(lines).mapInArrow(_meetings(False), "a long, b long").distinct())
     met = small(written(first.select(F.explode(F.array("a", "b")).alias("node")).distinct()), F.lit(8))
     near = written(lines.join(met, "node", "left_semi"))
@@ -300,15 +323,19 @@ def removed_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent
     wanted = small(written(wanted), 16 * F.size("lines") + 40)
     texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]) & rows["version"].eqNullSafe(wanted["version"])).select("text", "lines")
     held = written(texts.mapInArrow(texts_of, "node long, line string").groupBy("node").agg(F.min("line").alias("line")))
-    links = _judged(first, near, held, percent)
+    # Where pairs form circles a tree of them is judged first. What it leaves apart is judged pair by pair.
+    asked = _asked(first, near, percent)
+    tree = written(asked.coalesce(-(-asked.count() // PART_LINKS) or 1).mapInArrow(_thin, "a long, b long"))
+    links = _judged(tree, held, percent)
     parts = components(links).withColumnRenamed("component", "part")
     known = near.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    second = _blocks(known, "part").mapInArrow(_meetings(True), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    groups = components(links.union(_judged(written(second), near, held, percent)))
+    second = written(_blocks(known, "part").mapInArrow(_meetings(True), "a long, b long").distinct().join(tree, ["a", "b"], "left_anti"))
+    groups = components(links.union(_judged(_asked(second, near, percent), held, percent)))
     grouped = near.join(groups, "node")
     keepers = grouped.groupBy("component").agg(F.min("at").alias("kept"))
-    fuzzy = grouped.join(keepers, "component").select("node", F.col("kept"))
-    kept = lines.select("node", "at").join(fuzzy, "node", "left").select("node", F.coalesce("kept", "at").alias("kept"))
+    fuzzy = grouped.join(keepers, "component").select("node", "kept")
+    alone = lines.where("copies > 1").join(fuzzy, "node", "left_anti").select("node", F.col("at").alias("kept"))
+    kept = small(written(fuzzy.union(alone)), F.lit(40))
     gone = found.select("id", "version", "line", "node").join(kept, "node").where(~place.eqNullSafe(F.col("kept")))
     return gone.groupBy("id", "version").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 

@@ -109,11 +109,15 @@ def test_edit_distance():
 
 
 def meet(a, b):
-    """Of SimHashes as 15 blocks of 20 bits: a common block with near bits after it, and few different bits in all."""
-    far = [(x ^ y).bit_count() for x, y in zip(a, b)]
-    tail = lambda i: i // 3 * 3 + 6 if i < 9 else i // 3 * 3 - 9
-    shown = lambda i: sum(far[(i // 3 * 3 + k) % 15] for k in (3, 4, 5)) + far[tail(i)] + ((a[tail(i) + 1] ^ b[tail(i) + 1]) & 0x3FFFF).bit_count()
-    return sum(far) <= line_dedup.DISTANCE and any(not far[i] and shown(i) <= line_dedup.NEAR for i in range(15))
+    """Of SimHashes as five longs of three blocks: a common block with near bits in the longs after it, and few different bits in all."""
+    far = [x ^ y for x, y in zip(a, b)]
+    tail = (1 << line_dedup.SHOWN - 3 * line_dedup.BLOCK_BITS) - 1
+    for i in range(line_dedup.BLOCKS):
+        block = far[i // 3] >> line_dedup.BLOCK_BITS * (i % 3) & (1 << line_dedup.BLOCK_BITS) - 1
+        shown = far[(i // 3 + 1) % 5].bit_count() + (far[(i // 3 + 2) % 5] & tail).bit_count()
+        if not block and shown <= line_dedup.NEAR:
+            return sum(x.bit_count() for x in far) <= line_dedup.DISTANCE
+    return False
 
 
 def brute_lines(given):
@@ -125,8 +129,7 @@ def brute_lines(given):
     for k in kinds:
         data = np.frombuffer(k.encode(), np.uint8)
         words = words_of(data, np.array([0, len(data)]))
-        longs = line_dedup.simhash(data, words, np.array([0]), np.array([len(words.hash)]))[0].tolist()
-        sketch.append([x >> 20 * j & 0xFFFFF for x in longs for j in range(3)])
+        sketch.append(line_dedup.simhash(data, words, np.array([0]), np.array([len(words.hash)]))[0].tolist())
     brute = Parts()
     for i, k in enumerate(kinds):
         brute.root(i)
