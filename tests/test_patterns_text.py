@@ -172,3 +172,10 @@ def test_map_lines_across_partitions(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     chain = [r[0] for r in sorted(rows, key=lambda r: (r[3] is None, -(r[3] or 0), r[0]))]
     assert got == set(zip(chain, chain[1:])) and len(got) == 2999
+
+
+@pytest.mark.parametrize("values", [["bb", "aa", "cc"], ["aa", "cc", "bb"], ["cc", "bb", "aa"]])
+def test_pattern_example_of_rows_that_share_an_id(spark, values):
+    df = spark.createDataFrame([(1, v) for v in values] + [(2, "a0"), (None, "a1")], "id long, v string").coalesce(1)
+    got = {r.pattern: r.example for r in patterns.pattern_report(df, ["v"], "id").collect()}
+    assert got == {"aa": "aa", "a9": "a0"}
