@@ -50,3 +50,25 @@ def test_counts_and_limits(spark, monkeypatch):
     monkeypatch.setattr(keyword_table, "MOST_BARE", 1)
     with pytest.raises(ValueError):
         keyword_table.extract_matches_of(df, given(spark), "id")
+
+
+def test_keywords_that_share_their_words_make_no_pairs(spark, rows):
+    """Texts that hold the words of all keywords, but few of the keywords: only what may be a whole keyword goes on."""
+    words = spark.createDataFrame([("part", f"large ring {i}") for i in range(2_000)], "category string, keyword string")
+    df = spark.createDataFrame([(i, f"a large ring {i + 1_990} and a large, ring; ring large") for i in range(200)], "id long, text string")
+    table = keyword_table.keyword_table(words)
+    heads = table.select("head", "runs", "pre", "post").distinct()
+    assert heads.count() == 4       # of one to four digits
+    texts = keyword_table._long(df, "id", None).selectExpr("*", "xxhash64(value) AS text")
+    places = keyword_table._places(texts, heads, 2, 15)
+    assert places.count() == 200
+    assert keyword_table._candidates(places.join(heads, "head")).count() == 800     # not 200 times 2,000
+    # a keyword may end within a number
+    want = [(i, f"large ring {n}") for i in range(200) for n in {str(i + 1_990)[:k] for k in (1, 2, 3, 4)} if int(n) < 2_000]
+    assert rows(keyword_table.extract_matches_of(df, words, "id", broadcast_bytes=0), "row_id", "keyword") == sorted(want, key=repr)
+
+
+def test_evidence_is_fetched_for_keywords_only(spark):
+    df = spark.createDataFrame([(2, "us two"), (1, "us " + "." * 500 + " us"), (1, "us"), (None, "hr")], "id long, text string")
+    got = {r.keyword: (r.matched_records, r.evidence) for r in keyword_table.extract_counts_of(df, given(spark).where("category = 'A'"), "id").collect()}
+    assert got["us"][0] == 3 and got["us"][1].startswith("us") and got["us"][1] != "us two" and got["HR"] == (1, None)
