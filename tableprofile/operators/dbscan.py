@@ -4,7 +4,8 @@ Only noise is asked for, so no clusters are formed. Equal rows are one location
 cut into boxes of bounded population, and counts only ever grow, so a location is settled as soon
 as enough rows are known to be near:
 
-1. at home, against the locations of its own box (a box no wider than eps needs no comparison),
+1. at home, against the locations of its own part of the box and, if these are too few, of the whole box (a box no wider
+   than eps needs no comparison),
 2. by a box that lies within eps as a whole and holds enough rows,
 3. as a guest of the other boxes that its eps ball reaches; only locations still open travel.
 
@@ -26,6 +27,7 @@ EPS = 0.5
 MIN_SAMPLES = 5
 BOX_ROWS = 2_000
 _CELLS = 1_000_000          # distances held at a time in a task
+_PART_ROWS = 128            # locations of a box that are compared first
 
 
 def _near(queries: np.ndarray, points: np.ndarray, weights: np.ndarray, limit: float) -> np.ndarray:
@@ -42,6 +44,30 @@ def _near(queries: np.ndarray, points: np.ndarray, weights: np.ndarray, limit: f
     return out
 
 
+def _parts(points: np.ndarray) -> list[np.ndarray]:
+    """The places of the points in parts of at most _PART_ROWS, by halves of the widest dimension."""
+    parts, small = [np.arange(len(points))], []
+    while parts:
+        at = parts.pop()
+        if len(at) <= _PART_ROWS:
+            small.append(at)
+            continue
+        x = points[at, np.argmax(np.ptp(points[at], axis=0))]
+        ordered = at[np.argpartition(x, len(at) // 2)]
+        parts += [ordered[:len(at) // 2], ordered[len(at) // 2:]]
+    return small
+
+
+def _near_home(points: np.ndarray, weights: np.ndarray, limit: float, enough: int) -> np.ndarray:
+    """Total weight near each point of a box; from `enough` on it may be more. Most points have enough beside them."""
+    out = np.zeros(len(points), np.int64)
+    for at in _parts(points):
+        out[at] = _near(points[at], points[at], weights[at], limit)
+    few = np.flatnonzero(out < enough)
+    out[few] = _near(points[few], points, weights, limit)
+    return out
+
+
 def dbscan_noise(f: Features, eps: float = EPS, min_samples: int = MIN_SAMPLES, box_rows: int = BOX_ROWS,
                  guests_per_task: int = GUESTS_PER_TASK) -> DataFrame:
     """(row_id): the noise points of the standardised data; a point counts as its own neighbour.
@@ -60,7 +86,7 @@ def dbscan_noise(f: Features, eps: float = EPS, min_samples: int = MIN_SAMPLES,
         if (np.ptp(points, axis=0) ** 2).sum() <= limit and weights.sum() >= min_samples:
             pdf["near"] = weights.sum()
         else:
-            pdf["near"] = _near(points, points, weights, limit)
+            pdf["near"] = _near_home(points, weights, limit, min_samples)
         return pdf[["id", *columns, "w", "box", "near"]]
 
     home = cut(dealt(boxes.points.drop("top"), "box").groupBy("box").applyInPandas(at_home, f"id long, {coords}, w long, box long, near long"))

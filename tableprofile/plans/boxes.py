@@ -1,7 +1,7 @@
 """Space cut into boxes of bounded population, by aggregates on the executors.
 
-Each round takes one aggregate over the points: rows, bounds and quantiles of every box. Boxes with
-too many points are cut at quantiles of their widest dimensions, until none is left. A value that many
+Each round counts the rows of every box with their bounds; boxes with too many points are sketched, and cut
+at quantiles of their widest dimensions, until none is left. A value that many
 points share becomes a slab of its own, so every round makes the large boxes smaller, and distinct
 points can always be parted. No point comes to the driver; what does are the bounds of the boxes of an
 upper level, at most TOP_BOXES of them.
@@ -145,18 +145,20 @@ def cut_boxes(points: DataFrame, columns: list[str], box_rows: int, weight: str
     while True:
         boxes = cut(now.groupBy("box").agg(
             F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"), F.first("up").alias("up"), F.first("top").alias("top"),
-            F.array(*[F.min(c) for c in columns]).alias("low"), F.array(*[F.max(c) for c in columns]).alias("high"),
-            F.array(*[F.percentile_approx(c, F.array(*map(F.lit, _GRID)), 1_000) for c in columns]).alias("at")))
+            F.array(*[F.min(c) for c in columns]).alias("low"), F.array(*[F.max(c) for c in columns]).alias("high")))
         large = boxes.where(F.col("n") > box_rows)
         size = boxes.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("n") > box_rows, 1)).alias("large")).first()
         # the upper level is the last one that the driver may know
         top = F.col("box") if size.all <= top_boxes else F.col("top")
         if not size.large:
             placed = now.withColumn("top", top).drop("up")
-            return Boxes(placed if parents is None else cut(placed), boxes.withColumn("top", top).drop("at"),
-                         boxes.drop("at").limit(0) if parents is None else parents, columns)
-        parents = large.drop("at") if parents is None else parents.unionByName(large.drop("at"))
-        cuts = small_side(large.select("box", *_cuts(columns, box_rows)), size.large, _CUT_ROWS)
+            return Boxes(placed if parents is None else cut(placed), boxes.withColumn("top", top),
+                         boxes.limit(0) if parents is None else parents, columns)
+        parents = large if parents is None else parents.unionByName(large)
+        # sketches cost most, and after the first round only few boxes need one
+        quantiles = now.join(small_side(large.select("box"), size.large), "box", "left_semi").groupBy("box").agg(
+            F.array(*[F.percentile_approx(c, F.array(*map(F.lit, _GRID)), 1_000) for c in columns]).alias("at"))
+        cuts = small_side(cut(large.join(quantiles, "box").select("box", *_cuts(columns, box_rows))), size.large, _CUT_ROWS)
         place = [_passed(F.col("over")[i], F.col(c), False) + _passed(F.col("from")[i], F.col(c), True) for i, c in enumerate(columns)]
         parted = now.join(cuts, "box", "left").withColumn(
             "child", F.when(F.col("over").isNull(), F.col("box")).otherwise(F.xxhash64("box", *place)))

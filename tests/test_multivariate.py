@@ -298,3 +298,23 @@ def test_row_ids_are_stable(spark):
     df = with_row_id(spark.range(1000).selectExpr("id % 7 AS x").repartition(5))
     assert df.select("row_id").distinct().count() == 1000
     assert df.exceptAll(df).count() == 0
+
+
+def test_points_of_a_box_are_compared_with_few(monkeypatch):
+    rng = np.random.default_rng(5)
+    points, weights, limit = np.vstack([rng.normal(size=(1_800, 3)), rng.uniform(-6, 6, size=(200, 3))]), rng.integers(1, 3, 2_000), 0.4 ** 2
+    compared, near = [], dbscan._near
+    monkeypatch.setattr(dbscan, "_near", lambda q, p, w, most: compared.append(len(q) * len(p)) or near(q, p, w, most))
+    got, want = dbscan._near_home(points, weights, limit, 5), near(points, points, weights, limit)
+    assert ((got >= 5) == (want >= 5)).all() and (got[got < 5] == want[got < 5]).all() and (got <= want).all()
+    assert sum(compared) < 0.5 * 2_000 * 2_000 and (want < 5).any()
+    assert sorted(np.concatenate(dbscan._parts(np.zeros((1_000, 2))))) == list(range(1_000))
+
+
+def test_boxes_are_sketched_only_to_be_cut(spark, monkeypatch):
+    """A table that fits one box takes no quantiles."""
+    from tableprofile.plans import boxes
+    df = spark.range(100).selectExpr("id", "CAST(id AS DOUBLE) AS x0", "1 AS w").localCheckpoint()
+    monkeypatch.setattr(boxes, "_GRID", None)
+    found = boxes.cut_boxes(df, ["x0"], 100)
+    assert found.table.select("n", "w", "low", "high").first() == (100, 100, [0.0], [99.0])
