@@ -258,3 +258,25 @@ def test_filter_reaches_the_scan(spark):
     plan = QUERIES["filter_and"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(l_returnflag,R)" in plan and "GreaterThan(l_extendedprice,60000.0)" in plan
     assert "l_comment" not in plan and "l_shipdate" not in plan
+
+
+def test_word_pairs_read_the_texts_twice(spark):
+    """Once for words, once for pairs, however often the counts are used; and plain functions do what the patterns did."""
+    from pyspark.sql import functions as F
+    from tableprofile.operators import words
+    df = spark.createDataFrame([("john's cat ate 12 ٣٤ big 9 fish's 'x _y 1a a1's é's",), ("big fish " * 40,), (None,), ("",)], "t string")
+    texts = df.select(F.explode(F.regexp_extract_all(F.lower("t"), F.lit(words.WORD), F.lit(0))).alias("w"))
+    old = texts.select(F.regexp_replace("w", "'s$", "").alias("w")).where((F.col("w") != "") & ~F.col("w").rlike(r"^\p{Nd}+$"))
+    new = texts.select(words._cleaned(F.col("w")).alias("w")).where(words._is_word(F.col("w")))
+    assert sorted(r.w for r in new.collect()) == sorted(r.w for r in old.collect()) and new.where("w = 'john'").count() == 1
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    counted = df.repartition(1).mapInArrow(count, "t string")
+    got = {r.word: r["count"] for r in words.word_counts(counted, "t", top=None, pairs=True).collect()}
+    # 'fish' and 'fish's' are one word, whose pairs count once
+    assert got["big fish"] == 41 and seen.value == 2 * 4
