@@ -46,9 +46,10 @@ def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, weights: n
         if take < len(points):
             best = np.argpartition(squares, take - 1, axis=1)[:, :take]
             limit = np.take_along_axis(squares, best, axis=1).max(axis=1)
-            tied = (squares <= limit[:, None]).sum(axis=1) > take
-            for r in np.flatnonzero(tied):
-                best[r] = np.argsort(squares[r], kind="stable")[:take]
+            within = squares <= limit[:, None]
+            for r in np.flatnonzero(within.sum(axis=1) > take):     # ties: only what competes is sorted
+                at = np.flatnonzero(within[r])
+                best[r] = at[np.argsort(squares[r, at], kind="stable")[:take]]
             best.sort(axis=1)     # by id, so that the stable sort below keeps the tie order
         else:
             best = np.repeat(np.arange(len(points))[None, :], len(part), axis=0)

@@ -318,3 +318,21 @@ def test_boxes_are_sketched_only_to_be_cut(spark, monkeypatch):
     monkeypatch.setattr(boxes, "_GRID", None)
     found = boxes.cut_boxes(df, ["x0"], 100)
     assert found.table.select("n", "w", "low", "high").first() == (100, 100, [0.0], [99.0])
+
+
+def test_ties_sort_only_what_competes(monkeypatch):
+    """Copies at equal steps tie everywhere; a point then sorts its nearest places, not the whole box."""
+    points = np.column_stack([np.repeat(np.arange(40.0), 10), np.tile(np.arange(10.0), 40)])
+    ids, weights = np.random.default_rng(1).permutation(400), np.ones(400, np.int64)
+    longest, sort = [0], np.argsort
+
+    def argsort(values, *args, **named):
+        longest[0] = max(longest[0], len(values) if np.ndim(values) == 1 and values.dtype == float else 0)
+        return sort(values, *args, **named)
+
+    monkeypatch.setattr(lof.np, "argsort", argsort)
+    q, d, other, w = lof.nearest(points, points, ids, weights, 6, own=np.arange(400))
+    assert 7 <= longest[0] < 60
+    for i in (0, 57, 399):
+        away = sorted((np.sqrt(((points[i] - p) ** 2).sum()), n) for j, (p, n) in enumerate(zip(points, ids)) if j != i)[:6]
+        assert [(x, int(n)) for x, n in zip(d[q == i], other[q == i])] == [(x, int(n)) for x, n in away]
