@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tableprofile.llm.common import pick, small, written
@@ -28,8 +29,11 @@ SHOWN = 98                 # bits next to a block: all 60 of the next long, 38 o
 NEAR = 22                  # of those, in which linked lines may differ
 DISTANCE = 66              # of all 300
 PERCENT = 80
-FEATURES = 1024            # dimensions into which the strings are hashed before the projection
+FEATURES = 1024            # dimensions into which the strings are hashed before the projection; a power of two
 SKETCH = tuple(f"s{i}" for i in range(BLOCKS // 3))
+_LINES = 1024              # projected at a time
+_GRAMS = 1 << 15           # strings sorted and summed at a time: their arrays stay in the cache of a core
+_REACH = 24                # words, of both lines together, over which an alignment looks for equal ones
 
 
 def line_edges(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,46 +55,64 @@ def line_hashes(words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray
 _SIGNS = np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (FEATURES, 3 * BLOCK_BITS * len(SKETCH)))
 
 
+def _inside(start: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+    """Which of `size` places lie in one of the ranges; these don't overlap."""
+    steps = np.zeros(size + 1, np.int8)
+    steps[start] = 1
+    steps[end] -= 1
+    return np.cumsum(steps[:-1], dtype=np.int8).view(bool)
+
+
 def simhash(data: np.ndarray, words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """(run, long): SimHash of runs of words, none empty. A string votes once in a run; the line ends in spaces."""
-    n = last - first
+    """(run, long): SimHash of runs of words, none empty, none overlapping. A string votes once in a run; the line ends in spaces."""
+    order = np.argsort(first, kind="stable")
+    first, n = first[order], (last - first)[order]
     begin = np.cumsum(n) - n
     word = np.repeat(first - begin, n) + np.arange(n.sum())
-    size = words.end[word] - words.start[word] + 1              # the space before it
+    start, end = words.start[word], words.end[word]
+    size = end - start + 1                                      # the space before it
     size[begin + n - 1] += GRAM - 1
     at = np.cumsum(size) - size
-    place = np.arange(size.sum()) - np.repeat(at, size) - 1
-    inner = (place >= 0) & (place < np.repeat(words.end[word] - words.start[word], size))
-    text = np.full(len(place) + GRAM - 1, 32, np.uint64)
-    text[:len(place)][inner] = LOWER[data[(np.repeat(words.start[word], size) + place)[inner]]]
-    start = at[begin]
-    length = np.diff(np.append(start, len(place))) - GRAM + 1
-    run = np.repeat(np.arange(len(n)), length)
-    source = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
-    gram = np.zeros(len(source), np.uint64)
-    for i in range(GRAM):
-        gram |= text[source + i] << U(8 * i)
-    votes = np.sort(run.astype(np.uint64) << U(40) | mix(gram) >> U(24))
-    votes = votes[np.concatenate([[True], votes[1:] != votes[:-1]])] if len(votes) else votes
-    run, feature = (votes >> U(40)).astype(np.int64), (votes & U(FEATURES - 1)).astype(np.int64)
-    sign = 1.0 - 2.0 * (votes >> U(39) & U(1)).astype(np.float64)
+    text = np.full(max(GRAM, size.sum()), 32, np.uint8)
+    text[_inside(at + 1, at + 1 + end - start, len(text))] = LOWER[data[_inside(start, end, len(data))]]
+    gram = np.ndarray(len(text) - GRAM + 1, "<u4", text.data, strides=(1,))
+    edge = np.append(at[begin], size.sum())                     # of the lines
     out = np.empty((len(n), len(SKETCH)), np.int64)
-    powers = np.int64(1) << np.arange(3 * BLOCK_BITS, dtype=np.int64)
-    for low in range(0, len(n), 1024):
-        high = min(low + 1024, len(n))
-        a, b = np.searchsorted(run, [low, high])
-        sums = np.bincount((run[a:b] - low) * FEATURES + feature[a:b], sign[a:b], (high - low) * FEATURES)
-        bits = sums.reshape(-1, FEATURES).astype(np.float32) @ _SIGNS > 0
-        out[low:high] = (bits.reshape(high - low, len(SKETCH), -1) * powers).sum(axis=2)
+    sums = np.empty((min(len(n), _LINES), FEATURES), np.float32)
+    for low in range(0, len(n), _LINES):
+        high, a = min(low + _LINES, len(n)), low
+        while a < high:
+            b = min(high, max(a + 1, int(np.searchsorted(edge, edge[a] + _GRAMS, "right")) - 1))
+            sums[a - low:b - low] = _votes(gram, edge[a:b + 1])
+            a = b
+        bits = np.zeros((high - low, len(SKETCH), 64), bool)
+        bits[:, :, :3 * BLOCK_BITS] = (sums[:high - low] @ _SIGNS > 0).reshape(high - low, len(SKETCH), -1)
+        out[order[low:high]] = np.packbits(bits.reshape(high - low, -1), axis=1, bitorder="little").view("<i8")
     return out
 
 
+def _votes(gram: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """(line, feature): sums over the different strings of lines between the edges; the last GRAM - 1 places of a line begin none."""
+    lines, top = len(edge) - 1, edge[-1] - GRAM + 1
+    votes = np.repeat(np.arange(lines, dtype=np.uint64) << U(32), np.diff(edge))[:top - edge[0]] | gram[edge[0]:top]
+    if lines > 1:
+        own = np.ones(len(votes), bool)
+        for k in range(1, GRAM):
+            own[edge[1:-1] - edge[0] - k] = False
+        votes = votes[own]
+    votes.sort()
+    votes = votes[np.concatenate([[True], votes[1:] != votes[:-1]])]
+    code = mix(votes & U(0xFFFFFFFF))
+    place = votes >> U(32) << U(FEATURES.bit_length() - 1) | code >> U(24) & U(FEATURES - 1)
+    return np.bincount(place.view(np.int64), 1.0 - 2.0 * (code >> U(63)).astype(np.float64), lines * FEATURES).reshape(-1, FEATURES)
+
+
 def _normal(line: str) -> str:
     """The normalised line; white space is that of the words: ASCII's."""
-    return " ".join(w for w in line.translate(_LOWER).split(" ") if w)
+    return b" ".join(line.encode().translate(_LOWER).split()).decode()
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)} | {c: 32 for c in range(9, 14)}
+_LOWER = LOWER.tobytes()
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -125,9 +147,30 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def aligned_distance(a: str, b: str, limit: int) -> int:
+    """A distance that the edit distance doesn't exceed: stretches between equal words are replaced as wholes.
+
+    What exceeds the limit may be given up early. Where words differ, the alignment goes on at the nearest two
+    neighbouring words that are equal; the text ends in an empty word.
+    """
+    x, y = [*a.split(" "), ""], [*b.split(" "), ""]
+    i, j, cost, n, m = 0, 0, 0, len(x), len(y)
+    while i < n and j < m and cost <= limit:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        p, q = next(((p, s - p) for s in range(1, _REACH) for p in range(max(0, s - (m - 1 - j)), min(s, n - 1 - i) + 1)
+                     if x[i + p] == y[j + s - p] and x[i + p + 1:i + p + 2] == y[j + s - p + 1:j + s - p + 2]), (n - i, m - j))
+        cost += max(sum(map(len, x[i:i + p])) + p, sum(map(len, y[j:j + q])) + q)
+        i, j = i + p, j + q
+    return cost + max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j)
+
+
 def similar(a: str, b: str, percent: int) -> bool:
+    """Whether the edit distance is small enough; in most cases that of aligned words is already."""
     longer = max(len(a), len(b))
-    return 100 * min(len(a), len(b)) >= percent * longer and 100 * edit_distance(a, b) <= (100 - percent) * longer
+    limit = (100 - percent) * longer // 100
+    return longer - min(len(a), len(b)) <= limit and (aligned_distance(a, b, limit) <= limit or edit_distance(a, b) <= limit)
 
 
 def _near(key: np.ndarray, bits: np.ndarray, at: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -284,10 +327,14 @@ def removed_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text_, lines in zip(batch.column("text"), batch.column("lines")):
-                split, chosen = text_.as_py().split("\n"), lines.as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([x["node"] for x in chosen], pa.int64()),
-                                                  pa.array([_normal(split[x["line"]]) for x in chosen], pa.string())], names=["node", "line"])
+            per_text = batch.column("lines")
+            chosen = per_text.flatten()
+            number, at = chosen.field("line").to_pylist(), np.concatenate([[0], np.cumsum(pc.list_value_length(per_text).to_numpy())]).tolist()
+            taken = []
+            for i, text_ in enumerate(batch.column("text")):
+                split = text_.as_py().split("\n")
+                taken += [_normal(split[k]) for k in number[at[i]:at[i + 1]]]
+            yield pa.RecordBatch.from_arrays([chosen.field("node"), pa.array(taken, pa.string())], names=["node", "line"])
 
     longs = ", ".join(f"{c} long" for c in ("version", "line", "node", "n", *SKETCH))
     found = written(rows.mapInArrow(occurrences, f"id {id_type}, {longs}"))

@@ -108,6 +108,46 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == levenshtein(a, b)
 
 
+def test_most_pairs_are_judged_by_aligned_words(monkeypatch):
+    """Words replaced, added, left out and swapped in a long line: no edit distance is worked out."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(1, 9))) for _ in range(80)]
+    other = words[:10] + ["new", *words[10:30], "other", *words[31:50], *words[52:60], words[61], words[60], *words[62:]]
+    judged, pairs = [], []
+    for _ in range(400):
+        a = rng.choices(words[:12], k=rng.randint(1, 14))
+        b = [w if rng.random() < 0.8 else rng.choice(words) for w in a]
+        for _ in range(rng.randint(0, 2)):
+            b.insert(rng.randint(0, len(b)), rng.choice(words))
+        pairs.append((" ".join(a), " ".join(b)))
+    for a, b in pairs:
+        distance, longer = levenshtein(a, b), max(len(a), len(b))
+        assert all(line_dedup.aligned_distance(a, b, limit) >= distance for limit in (0, 5, 1000))
+        judged.append(line_dedup.similar(a, b, 80))
+        assert judged[-1] == (100 * distance <= 20 * longer)
+    assert 50 < sum(judged) < 350
+    monkeypatch.setattr(line_dedup, "edit_distance", None)
+    assert line_dedup.similar(" ".join(words), " ".join(other), 80) and line_dedup.similar(" ".join(other), " ".join(words), 80)
+
+
+def test_simhash_of_runs_in_any_order(monkeypatch):
+    """Each line's SimHash is the one it has alone, also when lines are short and few strings are summed at a time."""
+    lines = ["a", "Be two", "  and a LONGER line, again and again ", "é", "x " * 40, "the end"]
+    data = np.frombuffer("".join(lines).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(x.encode()) for x in lines])])
+    words = words_of(data, at, lower=True)
+    first, last = words.first, words.first + words.per_row
+    alone = []
+    for i in range(len(lines)):
+        one = np.frombuffer(line_dedup._normal(lines[i]).encode(), np.uint8)
+        alone.append(line_dedup.simhash(one, words_of(one, np.array([0, len(one)])), np.array([0]), np.array([words.per_row[i]]))[0].tolist())
+    order = [3, 0, 5, 2, 4, 1]
+    assert line_dedup.simhash(data, words, first[order], last[order]).tolist() == [alone[i] for i in order]
+    monkeypatch.setattr(line_dedup, "_LINES", 4)
+    monkeypatch.setattr(line_dedup, "_GRAMS", 16)
+    assert line_dedup.simhash(data, words, first[order], last[order]).tolist() == [alone[i] for i in order]
+
+
 def meet(a, b):
     """Of SimHashes as five longs of three blocks: a common block with near bits in the longs after it, and few different bits in all."""
     far = [x ^ y for x, y in zip(a, b)]
