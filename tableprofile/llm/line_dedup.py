@@ -31,6 +31,7 @@ DISTANCE = 66              # of all 300
 PERCENT = 80
 FEATURES = 1024            # dimensions into which the strings are hashed before the projection; a power of two
 SKETCH = tuple(f"s{i}" for i in range(BLOCKS // 3))
+_SLICE = 1 << 18           # bytes of text handled at a time
 _LINES = 1024              # projected at a time
 _GRAMS = 1 << 15           # strings sorted and summed at a time: their arrays stay in the cache of a core
 _REACH = 24                # words, of both lines together, over which an alignment looks for equal ones
@@ -219,11 +220,24 @@ def _across(block: np.ndarray, key: np.ndarray, bits: np.ndarray, node: np.ndarr
         at = at[block[at] == block[at + step]]
 
 
+def _in_order(key: np.ndarray, bits: np.ndarray, node: np.ndarray, *also: np.ndarray) -> list[np.ndarray]:
+    """Columns sorted by key, sorted by bits and node too. Few rows share a key, so a sort by one long is left to Spark."""
+    columns, same = [key, bits, node, *also], key[1:] == key[:-1]
+    if same.any():
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        order = tied[np.lexsort((node[tied], bits[tied], key[tied]))]
+        columns = [x.copy() for x in columns]
+        for x in columns:
+            x[tied] = x[order]
+    return columns
+
+
 def _meetings(across: bool):
-    """From (key, bits, node[, part]) rows in order: pairs (a, b), a < b. Held: a batch, and the last block."""
+    """From (key, bits, node[, part]) rows by key: pairs (a, b), a < b. Held: a batch, and the last block."""
     names = ("key", "bits", "node", "part")[:3 + across]
 
     def solved(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        columns = _in_order(*columns)
         block = columns[0] >> SHOWN - 3 * BLOCK_BITS
         for pairs in _across(block, *columns) if across else [_connect(block, *columns)]:
             if len(pairs):
@@ -269,7 +283,7 @@ def _joined(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _blocks(lines: DataFrame, *also: str) -> DataFrame:
-    """A row for each block of each line, sorted: key (number and bits of the block, 38 further bits), bits, node."""
+    """A row for each block of each line, sorted by key: key (number and bits of the block, 38 further bits), bits, node."""
     rows = []
     for i in range(BLOCKS):
         own, after, last = (F.col(SKETCH[(i // 3 + k) % len(SKETCH)]) for k in range(3))
@@ -278,7 +292,7 @@ def _blocks(lines: DataFrame, *also: str) -> DataFrame:
         rows.append(F.struct((F.shiftleft(block, tail) + last.bitwiseAND(F.lit((1 << tail) - 1))).alias("key"), after.alias("bits")))
     keyed = lines.select(F.explode(F.array(*rows)).alias("r"), "node", *also).select("r.key", "r.bits", "node", *also)
     number = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(number, F.shiftright("key", SHOWN - 3 * BLOCK_BITS)).sortWithinPartitions("key", "bits", "node")
+    return keyed.repartition(number, F.shiftright("key", SHOWN - 3 * BLOCK_BITS)).sortWithinPartitions("key")
 
 
 def _judged(pairs: DataFrame, lines: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -307,7 +321,7 @@ def removed_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, at in slices(batch.column("text")):
+            for first, end, data, at in slices(batch.column("text"), _SLICE):
                 of, starts, ends = line_edges(data, at)
                 words = words_of(data, at, lower=True)
                 lo, hi = np.searchsorted(words.start, starts), np.searchsorted(words.start, ends)
@@ -339,7 +353,7 @@ def removed_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent
     longs = ", ".join(f"{c} long" for c in ("version", "line", "node", "n", *SKETCH))
     found = written(rows.mapInArrow(occurrences, f"id {id_type}, {longs}"))
     place = F.struct("id", "version", "line")
-    lines = written(found.groupBy("node").agg(F.min(place).alias("at"), *(F.min(c).alias(c) for c in ("n", *SKETCH))))
+    lines = written(found.groupBy("node").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("seen"), *(F.min(c).alias(c) for c in ("n", *SKETCH))))
     first = written(_blocks(lines).mapInArrow(_meetings(False), "a long, b long").distinct())
     met = small(written(first.select(F.explode(F.array("a", "b")).alias("node")).distinct()), F.lit(8))
     near = written(lines.join(met, "node", "left_semi"))
@@ -355,7 +369,8 @@ def removed_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent
     grouped = near.join(groups, "node")
     keepers = grouped.groupBy("component").agg(F.min("at").alias("kept"))
     fuzzy = grouped.join(keepers, "component").select("node", F.col("kept"))
-    kept = lines.select("node", "at").join(fuzzy, "node", "left").select("node", F.coalesce("kept", "at").alias("kept"))
+    repeated = lines.where("seen > 1").select("node", "at")
+    kept = repeated.join(fuzzy, "node", "full").select("node", F.coalesce("kept", "at").alias("kept"))     # a line met once stays
     gone = found.select("id", "version", "line", "node").join(kept, "node").where(~place.eqNullSafe(F.col("kept")))
     return gone.groupBy("id", "version").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
@@ -378,9 +393,10 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent:
     key = F.col("`" + id.replace("`", "``") + "`")
     rows = df.join(gone, key.eqNullSafe(F.col("__id")) & F.xxhash64(target).eqNullSafe(F.col("__version")), "left")
     split = F.split(target, "\n")
+    breaks = F.length(target) - F.length(F.replace(target, F.lit("\n"), F.lit("")))
     stays = F.filter(split, lambda x, i: ~F.array_contains("__removed", i.cast("long")))
     text_out = F.when(F.col("__removed").isNull(), target).otherwise(F.array_join(stays, "\n"))
     kept = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     return rows.select(*((text_out.alias(c) if c == text else F.col("`" + c.replace("`", "``") + "`")) for c in kept),
-                       F.when(target.isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
+                       F.when(target.isNull(), 0).otherwise(breaks + 1).cast("long").alias("n_lines"),
                        F.when(F.col("__removed").isNull(), 0).otherwise(F.size("__removed")).cast("long").alias("n_removed"))

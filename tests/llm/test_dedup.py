@@ -148,6 +148,15 @@ def test_simhash_of_runs_in_any_order(monkeypatch):
     assert line_dedup.simhash(data, words, first[order], last[order]).tolist() == [alone[i] for i in order]
 
 
+def test_rows_sorted_by_key_are_put_in_order():
+    rng = np.random.default_rng(6)
+    key, bits, node = np.sort(rng.integers(0, 60, 200)), rng.integers(0, 4, 200), rng.permutation(200)
+    order = np.lexsort((node, bits, key))
+    for got, column in zip(line_dedup._in_order(key, bits, node, node * 2), (key, bits, node, node * 2)):
+        assert got.tolist() == column[order].tolist()
+    assert [x.tolist() for x in line_dedup._in_order(np.arange(3), bits[:3], node[:3])] == [[0, 1, 2], bits[:3].tolist(), node[:3].tolist()]
+
+
 def meet(a, b):
     """Of SimHashes as five longs of three blocks: a common block with near bits in the longs after it, and few different bits in all."""
     far = [x ^ y for x, y in zip(a, b)]
