@@ -20,14 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tableprofile.operators.features import Features
-from tableprofile.plans.boxes import GUESTS_PER_TASK, cut_boxes, meet
+from tableprofile.plans.boxes import GUESTS_PER_TASK, cut_boxes, meet, parts_of as _parts
 from tableprofile.plans.cuts import cut, dealt, small_side
 
 EPS = 0.5
 MIN_SAMPLES = 5
 BOX_ROWS = 2_000
-_CELLS = 1_000_000          # distances held at a time in a task
-_PART_ROWS = 128            # locations of a box that are compared first
+_CELLS = 250_000            # distances held at a time in a task: a few arrays of 2 MB
 
 
 def _near(queries: np.ndarray, points: np.ndarray, weights: np.ndarray, limit: float) -> np.ndarray:
@@ -44,20 +43,6 @@ def _near(queries: np.ndarray, points: np.ndarray, weights: np.ndarray, limit: f
     return out
 
 
-def _parts(points: np.ndarray) -> list[np.ndarray]:
-    """The places of the points in parts of at most _PART_ROWS, by halves of the widest dimension."""
-    parts, small = [np.arange(len(points))], []
-    while parts:
-        at = parts.pop()
-        if len(at) <= _PART_ROWS:
-            small.append(at)
-            continue
-        x = points[at, np.argmax(np.ptp(points[at], axis=0))]
-        ordered = at[np.argpartition(x, len(at) // 2)]
-        parts += [ordered[:len(at) // 2], ordered[len(at) // 2:]]
-    return small
-
-
 def _near_home(points: np.ndarray, weights: np.ndarray, limit: float, enough: int) -> np.ndarray:
     """Total weight near each point of a box; from `enough` on it may be more. Most points have enough beside them."""
     out = np.zeros(len(points), np.int64)

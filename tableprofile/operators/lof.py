@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tableprofile.operators.features import Features
-from tableprofile.plans.boxes import cut_boxes, meet, touched
+from tableprofile.plans.boxes import cut_boxes, meet, parts_of, touched
 from tableprofile.plans.cuts import cut, dealt, hot_split_join, small_side
 from tableprofile.plans.quantiles import exact_quantiles
 
@@ -20,7 +20,7 @@ NEIGHBOURS = 20
 CONTAMINATION = 0.1
 BOX_ROWS = 2_000
 VISITORS_PER_TASK = 50_000
-_CELLS = 4_000_000          # distances held at a time in a task
+_CELLS = 250_000            # distances held at a time in a task: a few arrays of 2 MB
 
 
 def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, weights: np.ndarray, k: int,
@@ -68,6 +68,32 @@ def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, weights: n
     return tuple(np.concatenate(column) for column in zip(*parts))
 
 
+def nearest_by_parts(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, weights: np.ndarray, k: int,
+                     own: np.ndarray | None = None, radius: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """`nearest`, part by part of queries beside each other, each against the points that its balls can reach.
+
+    Without `radius`, the queries are the points, and a ball reaches as far as enough points of the own part.
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, ids.dtype), np.zeros(0, weights.dtype))]
+    for at in parts_of(queries):
+        if radius is None:
+            q, d, _, w = nearest(queries[at], points[at], ids[at], weights[at], k, own=np.arange(len(at)))
+            reach = d.max(initial=0.0) if (np.bincount(q, w, len(at)) >= k).all() else np.inf
+        else:
+            reach = radius[at].max()
+        reach = reach * (1.0 + 1e-9) + 1e-150
+        low, high = queries[at].min(axis=0) - reach, queries[at].max(axis=0) + reach
+        inside = np.flatnonzero(((points >= low) & (points <= high)).all(axis=1))
+        if not len(inside):
+            continue
+        q, d, other, w = nearest(queries[at], points[inside], ids[inside], weights[inside], k,
+                                 None if own is None else np.searchsorted(inside, own[at]), None if radius is None else radius[at])
+        found.append((at[q], d, other, w))
+    q, d, other, w = (np.concatenate(column) for column in zip(*found))
+    order = np.argsort(q, kind="stable")
+    return q[order], d[order], other[order], w[order]
+
+
 def _locations(f: Features) -> DataFrame:
     """(id, x..., w): distinct points with their number of rows, combined map-side. The id follows the
     order of the smallest row_id, whatever its type."""
@@ -93,7 +119,7 @@ def neighbours(f: Features, k: int, box_rows: int = BOX_ROWS, visitors_per_task:
 
     def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
         points, ids, top = pdf[cols].to_numpy(dtype=float), pdf["id"].to_numpy(), int(pdf["top"].iloc[0])
-        q, d, other, w = nearest(points, points, ids, pdf["w"].to_numpy(), k, own=np.arange(len(pdf)))
+        q, d, other, w = nearest_by_parts(points, points, ids, pdf["w"].to_numpy(), k, own=np.arange(len(pdf)))
         radius = np.zeros(len(pdf))
         np.maximum.at(radius, q, d)
         if pdf["up_low"].iloc[0] is not None:
@@ -121,8 +147,8 @@ def neighbours(f: Features, k: int, box_rows: int = BOX_ROWS, visitors_per_task:
     guests = cut(boxes.visits(balls, visitors_per_task).where(F.col("box") != F.col("home")).drop("home"))
 
     def abroad(guest: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
-        q, d, other, w = nearest(guest[cols].to_numpy(dtype=float), host[cols].to_numpy(dtype=float),
-                                 host["id"].to_numpy(), host["w"].to_numpy(), k, radius=guest["radius"].to_numpy())
+        q, d, other, w = nearest_by_parts(guest[cols].to_numpy(dtype=float), host[cols].to_numpy(dtype=float),
+                                          host["id"].to_numpy(), host["w"].to_numpy(), k, radius=guest["radius"].to_numpy())
         return pd.DataFrame({"id": guest["id"].to_numpy()[q], "d": d, "other": other, "w": w})
 
     away = meet(guests, boxes.points.drop("top"), abroad, "id long, d double, other long, w long", visitors_per_task)

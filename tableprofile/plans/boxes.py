@@ -24,6 +24,7 @@ _MOST_PARTS = 64            # of one dimension in a round
 _MOST_CHILDREN = 4_096      # of a box in a round
 _GRID = [i / _MOST_PARTS for i in range(1, _MOST_PARTS)]
 _LEAF = 16
+_PART_ROWS = 128            # locations of a box that are compared first
 _CUT_ROWS = 20_000          # cuts of so many boxes may be broadcast (some kB each)
 
 
@@ -75,6 +76,20 @@ def touched(tree: dict, points: np.ndarray, radius: np.ndarray) -> tuple[np.ndar
     return tuple(np.concatenate(column) for column in zip(*found))
 
 
+def parts_of(points: np.ndarray) -> list[np.ndarray]:
+    """The places of the points in parts of at most _PART_ROWS, by halves of the widest dimension."""
+    parts, small = [np.arange(len(points))], []
+    while parts:
+        at = parts.pop()
+        if len(at) <= _PART_ROWS:
+            small.append(at)
+            continue
+        x = points[at, np.argmax(np.ptp(points[at], axis=0))]
+        ordered = at[np.argpartition(x, len(at) // 2)]
+        parts += [ordered[:len(at) // 2], ordered[len(at) // 2:]]
+    return small
+
+
 @dataclass
 class Boxes:
     """points: the given columns, `box`, `top` (its ancestor of the upper level). table: a row a box with

@@ -1,5 +1,7 @@
 """Quantiles and the multi-column outlier methods against plain NumPy."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -336,3 +338,50 @@ def test_ties_sort_only_what_competes(monkeypatch):
     for i in (0, 57, 399):
         away = sorted((np.sqrt(((points[i] - p) ** 2).sum()), n) for j, (p, n) in enumerate(zip(points, ids)) if j != i)[:6]
         assert [(x, int(n)) for x, n in zip(d[q == i], other[q == i])] == [(x, int(n)) for x, n in away]
+
+
+def test_neighbours_in_a_full_box_take_little_memory(monkeypatch):
+    """The distances of a box with 2,000 locations are held in parts; larger parts give the same neighbours."""
+    rng = np.random.default_rng(1)
+    points, ids, weights = np.column_stack([rng.integers(0, 5, 2000) * 0.14, rng.random(2000)]), rng.permutation(2000), np.ones(2000, np.int64)
+
+    def found():
+        return lof.nearest(points, points, ids, weights, 20, own=np.arange(2000)), dbscan._near(points, points, weights, 0.01)
+
+    tracemalloc.start()
+    few, few_near = found()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
+    monkeypatch.setattr(lof, "_CELLS", 4_000_000)
+    monkeypatch.setattr(dbscan, "_CELLS", 4_000_000)
+    many, many_near = found()
+    assert all((a == b).all() for a, b in zip(few, many)) and (few_near == many_near).all()
+
+
+@pytest.mark.parametrize("width", [1, 2, 5])
+def test_neighbours_by_parts_are_those_of_the_whole_box(monkeypatch, width):
+    """Ties, weights and far points included; most parts of a flat box meet few of its points."""
+    rng = np.random.default_rng(2)
+    points = np.unique(np.column_stack([rng.integers(0, 12, 1500) * 0.25, *[rng.normal(size=1500) for _ in range(width - 1)]]), axis=0)
+    points = np.concatenate([points, np.full((1, width), 90.0), rng.integers(-3, 3, (100, width)) * 7.0 + 100]).astype(float)
+    points = np.unique(points, axis=0)[rng.permutation(len(np.unique(points, axis=0)))]
+    n = len(points)
+    ids, weights = rng.permutation(n), rng.integers(1, 4, n)
+    sizes, nearest = [], lof.nearest
+
+    def same(got, want):
+        return all((a == b).all() for a, b in zip(got, want))
+
+    def seen(queries, points_, *rest, **named):
+        sizes.append(len(queries) * len(points_))
+        return nearest(queries, points_, *rest, **named)
+
+    own, guests = nearest(points, points, ids, weights, 20, own=np.arange(n)), points[:400] + 0.01
+    radius = rng.random(len(guests))
+    away = nearest(guests, points, ids, weights, 20, radius=radius)
+    monkeypatch.setattr(lof, "nearest", seen)
+    assert same(lof.nearest_by_parts(points, points, ids, weights, 20, own=np.arange(n)), own)
+    assert width != 2 or sum(sizes) < 0.6 * n * n
+    assert same(lof.nearest_by_parts(guests, points, ids, weights, 20, radius=radius), away)
+    assert [len(x) for x in lof.nearest_by_parts(guests, points + 1e6, ids, weights, 20, radius=radius)] == [0, 0, 0, 0]
