@@ -148,23 +148,31 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
-def aligned_distance(a: str, b: str, limit: int) -> int:
-    """A distance that the edit distance doesn't exceed: stretches between equal words are replaced as wholes.
+def _aligned(a: str, b: str) -> tuple[int, list[tuple[str, str]]]:
+    """Stretches between equal words, and a distance that the edit distance doesn't exceed: these are replaced as wholes.
 
-    What exceeds the limit may be given up early. Where words differ, the alignment goes on at the nearest two
-    neighbouring words that are equal; the text ends in an empty word.
+    Where words differ, the alignment goes on at the nearest two neighbouring words that are equal; the text ends in an empty word.
     """
     x, y = [*a.split(" "), ""], [*b.split(" "), ""]
-    i, j, cost, n, m = 0, 0, 0, len(x), len(y)
-    while i < n and j < m and cost <= limit:
-        if x[i] == y[j]:
+    i, j, cost, n, m, stretches = 0, 0, 0, len(x), len(y), []
+    while i < n or j < m:
+        if i < n and j < m and x[i] == y[j]:
             i, j = i + 1, j + 1
             continue
         p, q = next(((p, s - p) for s in range(1, _REACH) for p in range(max(0, s - (m - 1 - j)), min(s, n - 1 - i) + 1)
                      if x[i + p] == y[j + s - p] and x[i + p + 1:i + p + 2] == y[j + s - p + 1:j + s - p + 2]), (n - i, m - j))
         cost += max(sum(map(len, x[i:i + p])) + p, sum(map(len, y[j:j + q])) + q)
+        stretches.append((" ".join([*x[i:i + p], ""]), " ".join([*y[j:j + q], ""])))
         i, j = i + p, j + q
-    return cost + max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j)
+    return cost, stretches
+
+
+def aligned_distance(a: str, b: str, limit: int) -> int:
+    """A distance that the edit distance doesn't exceed; stretches between equal words are compared only if it would be over the limit."""
+    cost, stretches = _aligned(a, b)
+    if cost > limit and 10 * max(len(x) + len(y) for x, y in stretches) < len(a) + len(b) + 100:
+        return sum(edit_distance(x, y) for x, y in stretches)
+    return cost
 
 
 def similar(a: str, b: str, percent: int) -> bool:
