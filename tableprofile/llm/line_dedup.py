@@ -12,6 +12,7 @@ block grow with the number of lines; BLOCK_BITS of about its binary logarithm ke
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tableprofile.llm.common import pick, small, written
 from tableprofile.llm.components import components, forest
-from tableprofile.llm.text_arrays import LOWER, U, Words, _power, mix, slices, words_of
+from tableprofile.llm.text_arrays import LOWER, U, Words, _power, lowered, mix, slices, words_of
 
 GRAM = 4                   # bytes of a string that votes
 BLOCKS = 15                # three in each of five longs
@@ -34,6 +35,8 @@ SKETCH = tuple(f"s{i}" for i in range(BLOCKS // 3))
 _SLICE = 1 << 18           # bytes of text handled at a time
 _LINES = 1024              # projected at a time
 _GRAMS = 1 << 15           # strings sorted and summed at a time: their arrays stay in the cache of a core
+_PAIRED = 1 << 11          # sums of lines of fewer strings are projected two at once: one counts as it is, one 2 * _PAIRED times
+_GROUP = 1 << 17           # lines whose blocks are handed on together, and about the rows of a group of blocks
 _REACH = 24                # words, of both lines together, over which an alignment looks for equal ones
 
 
@@ -75,7 +78,7 @@ def simhash(data: np.ndarray, words: Words, first: np.ndarray, last: np.ndarray)
     size[begin + n - 1] += GRAM - 1
     at = np.cumsum(size) - size
     text = np.full(max(GRAM, size.sum()), 32, np.uint8)
-    text[_inside(at + 1, at + 1 + end - start, len(text))] = LOWER[data[_inside(start, end, len(data))]]
+    text[_inside(at + 1, at + 1 + end - start, len(text))] = lowered(data[_inside(start, end, len(data))])
     gram = np.ndarray(len(text) - GRAM + 1, "<u4", text.data, strides=(1,))
     edge = np.append(at[begin], size.sum())                     # of the lines
     out = np.empty((len(n), len(SKETCH)), np.int64)
@@ -87,25 +90,49 @@ def simhash(data: np.ndarray, words: Words, first: np.ndarray, last: np.ndarray)
             sums[a - low:b - low] = _votes(gram, edge[a:b + 1])
             a = b
         bits = np.zeros((high - low, len(SKETCH), 64), bool)
-        bits[:, :, :3 * BLOCK_BITS] = (sums[:high - low] @ _SIGNS > 0).reshape(high - low, len(SKETCH), -1)
+        bits[:, :, :3 * BLOCK_BITS] = _above(sums[:high - low], np.diff(edge[low:high + 1])).reshape(high - low, len(SKETCH), -1)
         out[order[low:high]] = np.packbits(bits.reshape(high - low, -1), axis=1, bitorder="little").view("<i8")
     return out
 
 
+def _above(sums: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """(line, bit): which projections of the lines' sums are above 0. No sum or projection exceeds a line's number of strings, so
+    two lines of fewer than _PAIRED fit in one number of 24 bits, and are projected exactly in one go."""
+    out = np.empty((len(sums), _SIGNS.shape[1]), bool)
+    few, many = np.flatnonzero(strings < _PAIRED), np.flatnonzero(strings >= _PAIRED)
+    a, b = few[:len(few) // 2], few[len(few) // 2:len(few) // 2 * 2]
+    both = (sums[a] + np.float32(2 * _PAIRED) * sums[b]) @ _SIGNS
+    high = np.rint(both * np.float32(0.5 / _PAIRED))
+    out[b] = high > 0
+    out[a] = both > high * np.float32(2 * _PAIRED)
+    rest = np.concatenate([many, few[len(few) // 2 * 2:]])
+    if len(rest):
+        out[rest] = sums[rest] @ _SIGNS > 0
+    return out
+
+
 def _votes(gram: np.ndarray, edge: np.ndarray) -> np.ndarray:
     """(line, feature): sums over the different strings of lines between the edges; the last GRAM - 1 places of a line begin none."""
-    lines, top = len(edge) - 1, edge[-1] - GRAM + 1
-    votes = np.repeat(np.arange(lines, dtype=np.uint64) << U(32), np.diff(edge))[:top - edge[0]] | gram[edge[0]:top]
-    if lines > 1:
-        own = np.ones(len(votes), bool)
-        for k in range(1, GRAM):
-            own[edge[1:-1] - edge[0] - k] = False
-        votes = votes[own]
-    votes.sort()
-    votes = votes[np.concatenate([[True], votes[1:] != votes[:-1]])]
-    code = mix(votes & U(0xFFFFFFFF))
-    place = votes >> U(32) << U(FEATURES.bit_length() - 1) | code >> U(24) & U(FEATURES - 1)
-    return np.bincount(place.view(np.int64), 1.0 - 2.0 * (code >> U(63)).astype(np.float64), lines * FEATURES).reshape(-1, FEATURES)
+    lines, ends = len(edge) - 1, edge[1:] - edge[0] - GRAM + 1
+    votes = gram[edge[0]:edge[-1] - GRAM + 1].copy()
+    starts = edge[:-1] - edge[0]
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        votes[a:b].sort()
+    own = np.concatenate([[True], votes[1:] != votes[:-1]])
+    own[starts] = True
+    for k in range(GRAM - 1):
+        own[ends[:-1] + k] = False
+    code = votes[own].astype(np.uint64)
+    code *= U(0xFF51AFD7ED558CCD)                               # mix of 32 bits
+    code ^= code >> U(33)
+    code *= U(0xC4CEB9FE1A85EC53)
+    one = (code & U(1 << 63) | U(0x3FF0000000000000)).view(np.float64)     # 1.0 or -1.0
+    code ^= code >> U(33)
+    code >>= U(24)
+    code &= U(FEATURES - 1)
+    place = code.view(np.int64)
+    place += np.repeat(np.arange(0, lines * FEATURES, FEATURES), np.add.reduceat(own, starts, dtype=np.int64))
+    return np.bincount(place, one, lines * FEATURES).reshape(-1, FEATURES)
 
 
 def _normal(line: str) -> str:
@@ -136,16 +163,13 @@ def edit_distance(a: str, b: str) -> int:
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
-    top, mask = 1 << len(a) - 1, (1 << len(a)) - 1
-    plus, minus, distance = mask, 0, len(a)
-    for c in b:
-        x = places.get(c, 0)
-        d = ((((x & plus) + plus) ^ plus) | x | minus) & mask
-        p, m = minus | ~(d | plus) & mask, plus & d
-        distance += bool(p & top) - bool(m & top)
-        p, m = (p << 1 | 1) & mask, m << 1 & mask
-        plus, minus = m | ~(d | p) & mask, p & d
-    return distance
+    mask = (1 << len(a)) - 1
+    plus, minus = mask, 0                   # where distances down a column go up, and down, by one
+    for x in map(places.get, b, repeat(0)):
+        d = ((x & plus) + plus ^ plus | x | minus) & mask
+        p = ((minus | (d | plus) ^ mask) << 1 | 1) & mask
+        plus, minus = (plus & d) << 1 & mask | (d | p) ^ mask, p & d
+    return len(b) + plus.bit_count() - minus.bit_count()
 
 
 def _aligned(a: str, b: str) -> tuple[int, list[tuple[str, str]]]:
@@ -179,7 +203,11 @@ def similar(a: str, b: str, percent: int) -> bool:
     """Whether the edit distance is small enough; in most cases that of aligned words is already."""
     longer = max(len(a), len(b))
     limit = (100 - percent) * longer // 100
-    return longer - min(len(a), len(b)) <= limit and (aligned_distance(a, b, limit) <= limit or edit_distance(a, b) <= limit)
+    if longer - min(len(a), len(b)) > limit:
+        return False
+    if a.count(" ") == b.count(" ") and sum(max(len(x), len(y)) for x, y in zip(a.split(" "), b.split(" ")) if x != y) <= limit:
+        return True             # words replaced in their places
+    return aligned_distance(a, b, limit) <= limit or edit_distance(a, b) <= limit
 
 
 def _near(key: np.ndarray, bits: np.ndarray, at: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -241,34 +269,30 @@ def _in_order(key: np.ndarray, bits: np.ndarray, node: np.ndarray, *also: np.nda
 
 
 def _meetings(across: bool):
-    """From (key, bits, node[, part]) rows by key: pairs (a, b), a < b. Held: a batch, and the last block."""
-    names = ("key", "bits", "node", "part")[:3 + across]
+    """From rows of `_blocks`: pairs (a, b), a < b. Held: a batch, and the last group."""
+    width = 3 + across
 
-    def solved(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        columns = _in_order(*columns)
+    def solved(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(held).reshape(-1, width)
+        order = np.argsort(rows[:, 0])
+        columns = _in_order(*(rows[:, i][order] for i in range(width)))
         block = columns[0] >> SHOWN - 3 * BLOCK_BITS
         for pairs in _across(block, *columns) if across else [_connect(block, *columns)]:
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[np.ndarray] = []
+        of = None
         for batch in batches:
-            if not len(batch):
-                continue
-            new = [batch.column(c).to_numpy() for c in names]
-            block = new[0] >> SHOWN - 3 * BLOCK_BITS
-            last = int(np.searchsorted(block, block[-1]))
-            if held and (last or held[-1][0][-1] >> SHOWN - 3 * BLOCK_BITS != block[0]):
-                done = [np.concatenate(x) for x in zip(*held, [x[:last] for x in new])]
-                held, new = [], [x[last:] for x in new]
-                yield from solved(done)
-            elif last:
-                yield from solved([x[:last] for x in new])
-                new = [x[last:] for x in new]
-            held.append(new)
+            for group, rows in zip(batch.column("group").to_pylist(), batch.column("rows")):
+                if held and group != of:
+                    yield from solved(held)
+                    held = []
+                of = group
+                held.append(np.frombuffer(rows.as_buffer(), np.int64))
         if held:
-            yield from solved([np.concatenate(x) for x in zip(*held)])
+            yield from solved(held)
     return run
 
 
@@ -291,16 +315,43 @@ def _joined(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _blocks(lines: DataFrame, *also: str) -> DataFrame:
-    """A row for each block of each line, sorted by key: key (number and bits of the block, 38 further bits), bits, node."""
-    rows = []
-    for i in range(BLOCKS):
-        own, after, last = (F.col(SKETCH[(i // 3 + k) % len(SKETCH)]) for k in range(3))
-        block = F.shiftright(own, BLOCK_BITS * (i % 3)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) + F.lit(i << BLOCK_BITS)
-        tail = SHOWN - 3 * BLOCK_BITS
-        rows.append(F.struct((F.shiftleft(block, tail) + last.bitwiseAND(F.lit((1 << tail) - 1))).alias("key"), after.alias("bits")))
-    keyed = lines.select(F.explode(F.array(*rows)).alias("r"), "node", *also).select("r.key", "r.bits", "node", *also)
+    """The blocks of all lines, sorted by group: group, rows (for each line there: key, bits, node and the further columns, all longs).
+
+    A key is number and bits of the block and 38 further bits. A group is the blocks of one number with the same first bits; there are
+    so many groups that one has about _GROUP rows, or as few as balance the partitions. Rows of a group travel together, as bytes.
+    """
     number = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(number, F.shiftright("key", SHOWN - 3 * BLOCK_BITS)).sortWithinPartitions("key")
+    least = max(lines.count() / _GROUP, 16 * number / BLOCKS, 1)
+    lead, tail = min(BLOCK_BITS, int(np.ceil(np.log2(least)))), SHOWN - 3 * BLOCK_BITS
+
+    def handed_on(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        sketch, other = ([table.column(c).to_numpy() for c in names] for names in (SKETCH, ("node", *also)))
+        for i in range(BLOCKS):
+            own, after, last = (sketch[(i // 3 + k) % len(SKETCH)] for k in range(3))
+            block = own >> BLOCK_BITS * (i % 3) & (1 << BLOCK_BITS) - 1
+            group = block >> BLOCK_BITS - lead
+            order = np.argsort(group.astype(np.uint16) if lead <= 16 else group, kind="stable")
+            key = (block + (i << BLOCK_BITS) << tail) + (last & (1 << tail) - 1)
+            rows = np.stack([key, after, *other], axis=1)[order]
+            group = group[order]
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            places = (np.append(first, len(group)) * rows.strides[0]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(group[first] + (i << lead)), pa.Array.from_buffers(
+                pa.binary(), len(first), [None, pa.py_buffer(places), pa.py_buffer(rows)])], names=["group", "rows"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held += [batch] if len(batch) else []
+            if sum(map(len, held)) >= _GROUP:
+                yield from handed_on(held)
+                held = []
+        if held:
+            yield from handed_on(held)
+
+    cut_up = lines.select("node", *SKETCH, *also).mapInArrow(cut, "group long, rows binary")
+    return cut_up.repartition(number, "group").sortWithinPartitions("group")
 
 
 def _judged(pairs: DataFrame, lines: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -391,8 +442,8 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent:
     as they are and have 0 and 1 lines. Rows that repeat id and text are one document: each loses the
     same lines. Columns of df called n_lines or n_removed are replaced. An empty table gives no rows.
 
-    Texts are read three times. Shuffled are a row per line with its SimHash, a row of 24 bytes for each block of
-    each different line, and the text of lines that met near ones; texts only if the list of removed lines is too
+    Texts are read three times. Shuffled are a row per line with its SimHash, 24 bytes for each block of each
+    different line, handed on in groups of blocks, and the text of lines that met near ones; texts only if the list of removed lines is too
     large to broadcast. All lines of one block value are one task's; equal SimHashes there count once.
     """
     gone = removed_lines(df, id, text, percent).select(F.col("id").alias("__id"), F.col("version").alias("__version"), F.col("removed").alias("__removed"))
@@ -401,7 +452,7 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent:
     key = F.col("`" + id.replace("`", "``") + "`")
     rows = df.join(gone, key.eqNullSafe(F.col("__id")) & F.xxhash64(target).eqNullSafe(F.col("__version")), "left")
     split = F.split(target, "\n")
-    breaks = F.length(target) - F.length(F.replace(target, F.lit("\n"), F.lit("")))
+    breaks = F.octet_length(target) - F.octet_length(F.replace(target, F.lit("\n"), F.lit("")))
     stays = F.filter(split, lambda x, i: ~F.array_contains("__removed", i.cast("long")))
     text_out = F.when(F.col("__removed").isNull(), target).otherwise(F.array_join(stays, "\n"))
     kept = [c for c in df.columns if c not in ("n_lines", "n_removed")]

@@ -27,6 +27,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z, as LOWER has them."""
+    return data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n of each."""
     if len(_powers.get("up", ())) < n:
@@ -94,8 +99,8 @@ def words_of(data: np.ndarray, at: np.ndarray, lower: bool = False, separators:
     """Words between separator bytes; with `lower`, A-Z count as a-z."""
     n = len(at) - 1
     if lower:
-        data = LOWER[data]
-    inside = ~separators[data]
+        data = lowered(data)
+    inside = (data != 0x20) & (data - np.uint8(9) > 4) if separators is SPACES else ~separators[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     before = np.zeros(len(data), bool)

@@ -258,3 +258,58 @@ def test_search_takes_payloads_of_any_kind(spark):
     for r in components(links).collect():
         found[r.component].add(r.node)
     assert sorted(map(sorted, found.values())) == [[1, 2, 3], [5, 6], [20, 21, 22, 23, 24]]
+
+
+class CountedSigns:
+    """Signs that note how many sums are projected."""
+
+    __array_ufunc__ = None
+
+    def __init__(self, signs):
+        self.signs, self.shape, self.rows = signs, signs.shape, 0
+
+    def __rmatmul__(self, sums):
+        self.rows += len(sums)
+        return sums @ self.signs
+
+
+def test_short_lines_are_projected_two_at_once(monkeypatch):
+    rng = random.Random(8)
+    lines = [" ".join("".join(rng.choices("abcdefé", k=rng.randint(1, 8))) for _ in range(n)) for n in [*rng.choices(range(1, 40), k=61), 900, 3000]]
+    data = np.frombuffer("\n".join(lines).encode(), np.uint8)
+    of, starts, ends = line_dedup.line_edges(data, np.array([0, len(data)]))
+    words = words_of(data, np.array([0, len(data)]))
+    first, last = np.searchsorted(words.start, starts), np.searchsorted(words.start, ends)
+    signs = CountedSigns(line_dedup._SIGNS)
+    monkeypatch.setattr(line_dedup, "_SIGNS", signs)
+    paired = line_dedup.simhash(data, words, first, last)
+    assert signs.rows == 30 + 1 + 2         # 61 short lines, two long ones
+    monkeypatch.setattr(line_dedup, "_PAIRED", 1)           # one at a time
+    assert line_dedup.simhash(data, words, first, last).tolist() == paired.tolist()
+
+
+def test_rows_of_a_group_of_blocks_travel_together(spark):
+    rng = np.random.default_rng(4)
+    sketch = rng.integers(-1 << 60, 1 << 60, (3000, len(line_dedup.SKETCH)))
+    lines = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(sketch)], ["node", *line_dedup.SKETCH]).repartition(2)
+    tail, want = line_dedup.SHOWN - 3 * line_dedup.BLOCK_BITS, []
+    for i in range(line_dedup.BLOCKS):
+        own, after, last = (sketch[:, (i // 3 + k) % 5] for k in range(3))
+        block = (own >> line_dedup.BLOCK_BITS * (i % 3) & (1 << line_dedup.BLOCK_BITS) - 1) + (i << line_dedup.BLOCK_BITS)
+        want += zip(((block << tail) + (last & (1 << tail) - 1)).tolist(), after.tolist(), range(3000))
+    cut = line_dedup._blocks(lines)
+    assert cut.columns == ["group", "rows"]
+    cut = cut.collect()
+    assert len(cut) < len(want) / 4
+    got, of = [], {}
+    for r in cut:
+        for key, bits, node in np.frombuffer(r.rows, np.int64).reshape(-1, 3).tolist():
+            got.append((key, bits, node))
+            assert of.setdefault(key >> tail, r.group) == r.group       # a block is in one group
+    assert sorted(got) == sorted(want)
+
+
+def test_words_replaced_in_their_places_need_no_alignment(monkeypatch):
+    monkeypatch.setattr(line_dedup, "_aligned", None)
+    assert line_dedup.similar("one two three four five six seven", "one two three four five six eleven", 80)
+    assert not line_dedup.similar("one two", "one two and many more", 80)
