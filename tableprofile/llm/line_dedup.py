@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tableprofile.llm.common import pick, small, written
+from tableprofile.llm.common import passing, pick, small, written
 from tableprofile.llm.components import components, forest
 from tableprofile.llm.text_arrays import LOWER, U, Words, _power, lowered, mix, slices, words_of
 
@@ -446,8 +446,10 @@ def dedup_lines(df: DataFrame, id: str = "doc_id", text: str = "text", percent:
     different line, handed on in groups of blocks, and the text of lines that met near ones; texts only if the list of removed lines is too
     large to broadcast. All lines of one block value are one task's; equal SimHashes there count once.
     """
-    gone = removed_lines(df, id, text, percent).select(F.col("id").alias("__id"), F.col("version").alias("__version"), F.col("removed").alias("__removed"))
-    gone = small(written(gone), 8 * F.size("__removed") + 40)
+    with passing(df.sparkSession):
+        gone = removed_lines(df, id, text, percent).select(F.col("id").alias("__id"), F.col("version").alias("__version"), F.col("removed").alias("__removed"))
+        gone = written(gone, outlives=True)
+    gone = small(gone, 8 * F.size("__removed") + 40)
     target = F.col("`" + text.replace("`", "``") + "`")
     key = F.col("`" + id.replace("`", "``") + "`")
     rows = df.join(gone, key.eqNullSafe(F.col("__id")) & F.xxhash64(target).eqNullSafe(F.col("__version")), "left")
