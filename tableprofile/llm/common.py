@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import threading
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tableprofile.functions.columns import quoted
-from tableprofile.plans.cuts import _checkpoint_dir
+from tableprofile.plans.cuts import free_shuffles, passing, written
 
 # A side is broadcast only below this many bytes of data, estimated from all its rows.
 BROADCAST_BYTES = 32 << 20
@@ -21,49 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_open = threading.local()       # scopes: a list of folders for each `passing` that is open in this thread
-
-
-@contextmanager
-def passing(spark: SparkSession) -> Iterator[None]:
-    """Tables that `written` makes inside are deleted at the end, but for those that outlive it; the disk of shuffles too.
-
-    Nothing that is still to be computed may read the deleted ones.
-    """
-    scopes = _open.__dict__.setdefault("scopes", [])
-    scopes.append([])
-    try:
-        yield
-    finally:
-        for folder in scopes.pop():
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        free_shuffles(spark)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the files of shuffles whose query has ended: it does so when the driver's garbage is collected, which may
-    be much later, as the driver makes little of it."""
-    spark._jvm.System.gc()
-
-
-def written(df: DataFrame, outlives: bool = False) -> DataFrame:
-    """The rows as a Parquet table in the shared checkpoint folder, deleted when the session ends, or the innermost open `passing`
-    does; with outlives, the one around that.
-
-    A lost executor costs no more than a new read; nothing before the table is computed again.
-    """
-    spark = df.sparkSession
-    _checkpoint_dir(spark)
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}")
-    scopes = getattr(_open, "scopes", [])
-    if len(scopes) > outlives:
-        scopes[-1 - outlives].append(folder)
-    df.write.parquet(folder.toString())
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(folder.toString())
-
-
 def small(df: DataFrame, row_bytes: Column) -> DataFrame:
     """Mark df for broadcast if its bytes, summed over all rows, are below the bound; beyond it the
     join is left to a shuffle. df should be cheap to read twice (written, or small input)."""

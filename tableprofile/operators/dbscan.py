@@ -11,21 +11,29 @@ as enough rows are known to be near:
 
 What is not core then looks for a core location in the boxes it reaches. In dense space nearly all is
 settled at home, in thin space a ball reaches few boxes, so few rows travel either way.
+
+Disk holds one or two versions of the locations beside the given rows. What shuffles all of them is done for a large table in
+TURNS turns, and the shuffle files of one are deleted before the next.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tableprofile.operators.features import Features
 from tableprofile.plans.boxes import GUESTS_PER_TASK, cut_boxes, meet, parts_of as _parts
-from tableprofile.plans.cuts import cut, dealt, small_side
+from tableprofile.plans.cuts import dealt, discard, free_shuffles, packed, passing, small_side
 
 EPS = 0.5
 MIN_SAMPLES = 5
 BOX_ROWS = 2_000
+TURNS = 4
+TURN_ROWS = 10_000_000      # of a turn at least
 _CELLS = 250_000            # distances held at a time in a task: a few arrays of 2 MB
 
 
@@ -60,11 +68,28 @@ def dbscan_noise(f: Features, eps: float = EPS, min_samples: int = MIN_SAMPLES,
     Exact for any number of columns. Its jobs run when it is called. A task holds one box (`box_rows`
     locations) and up to `guests_per_task` guests.
     """
+    with passing(f.rows.sparkSession):
+        noise = packed(_noise_locations(f, eps, min_samples, box_rows, guests_per_task), outlives=True)
+    return f.scaled_rows().join(small_side(noise), f.columns, "left_semi").select("row_id")
+
+
+def _in_turns(rows: DataFrame, key: Column, turns: int, work: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """work(rows), written, for the rows of each turn by key."""
+    out = []
+    for turn in range(turns):
+        out.append(packed(work(rows.where(F.pmod(key, F.lit(turns)) == turn) if turns > 1 else rows)))
+        free_shuffles(rows.sparkSession)
+    return out
+
+
+def _noise_locations(f: Features, eps: float, min_samples: int, box_rows: int, guests_per_task: int) -> DataFrame:
     columns, limit = f.columns, eps * eps
     coords = ", ".join(f"{c} double" for c in columns)
-    locations = cut(f.scaled_rows().groupBy(*columns).agg(F.count(F.lit(1)).alias("w"))
-                    .select(F.monotonically_increasing_id().alias("id"), *columns, "w"))
-    boxes = cut_boxes(locations, columns, box_rows)
+    turns = max(1, min(TURNS, f.count // TURN_ROWS))
+    merged = _in_turns(f.scaled_rows(), F.xxhash64(*[F.col(c) + 0.0 for c in columns]), turns,      # 0.0 and -0.0 are equal
+                       lambda rows: rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("w")))
+    locations = reduce(DataFrame.union, merged)
+    boxes = cut_boxes(locations, columns, box_rows, own=merged)
 
     def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
         points, weights = pdf[columns].to_numpy(dtype=float), pdf["w"].to_numpy()
@@ -72,12 +97,16 @@ def dbscan_noise(f: Features, eps: float = EPS, min_samples: int = MIN_SAMPLES,
             pdf["near"] = weights.sum()
         else:
             pdf["near"] = _near_home(points, weights, limit, min_samples)
-        return pdf[["id", *columns, "w", "box", "near"]]
+        return pdf[[*columns, "w", "box", "near"]]
 
-    home = cut(dealt(boxes.points.drop("top"), "box").groupBy("box").applyInPandas(at_home, f"id long, {coords}, w long, box long, near long"))
+    homes = _in_turns(boxes.points.drop("top"), F.col("box"), turns, lambda rows: dealt(rows, "box").groupBy("box").applyInPandas(
+        at_home, f"{coords}, w long, box long, near long").withColumn("id", F.monotonically_increasing_id()))
+    home = reduce(DataFrame.union, [part.withColumn("id", F.col("id") * turns + turn) for turn, part in enumerate(homes)])
+    for part in (boxes.held, *merged):
+        discard(part)
     is_open = F.col("near") < min_samples
     balls = home.where(is_open).select("id", *columns, "near", F.col("box").alias("home"), F.lit(float(eps)).alias("radius"))
-    reached = cut(boxes.visits(balls, guests_per_task))
+    reached = packed(boxes.visits(balls, guests_per_task))
 
     # 2. boxes within the ball as a whole
     per_box = boxes.table.select("box", F.col("w").alias("held"), "low", "high")
@@ -86,7 +115,7 @@ def dbscan_noise(f: Features, eps: float = EPS, min_samples: int = MIN_SAMPLES,
         d = F.greatest(F.abs(F.col(c) - F.col("low")[i]), F.abs(F.col(c) - F.col("high")[i]))
         far = far + d * d
     inside = reached.join(small_side(per_box), "box").where((F.col("held") >= min_samples) & (far <= limit))
-    settled = cut(inside.select("id").distinct())
+    settled = packed(inside.select("id").distinct())
 
     # 3. the others as guests
     def count(guests: pd.DataFrame, hosts: pd.DataFrame) -> pd.DataFrame:
@@ -97,7 +126,7 @@ def dbscan_noise(f: Features, eps: float = EPS, min_samples: int = MIN_SAMPLES,
     met = meet(away.select("id", *columns, "box"), home.select("box", *columns, "w"), count, "id long, more long", guests_per_task)
     late = home.where(is_open).select("id", "near").join(met.groupBy("id").agg(F.sum("more").alias("more")), "id") \
         .where(F.col("near") + F.col("more") >= min_samples).select("id")
-    late = cut(settled.unionByName(late).distinct())
+    late = packed(settled.unionByName(late).distinct())
 
     # what is not core, against core locations
     cores = home.where(~is_open).select("box", *columns, "w").unionByName(
@@ -109,5 +138,4 @@ def dbscan_noise(f: Features, eps: float = EPS, min_samples: int = MIN_SAMPLES,
         return pd.DataFrame({"id": guests["id"].to_numpy()[near > 0]})
 
     saved = meet(left, cores, beside, "id long", guests_per_task).distinct()
-    noise = cut(left.select("id", *columns).distinct().join(saved, "id", "left_anti").select(*columns))
-    return f.scaled_rows().join(small_side(noise), columns, "left_semi").select("row_id")
+    return left.select("id", *columns).distinct().join(saved, "id", "left_anti").select(*columns)

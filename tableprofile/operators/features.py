@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tableprofile.functions.columns import as_double, numeric_columns, pick_fields
-from tableprofile.plans.cuts import cut, id_column
+from tableprofile.plans.cuts import id_column, packed
 
 DEFAULT_COLUMNS = 5
 
@@ -44,7 +44,7 @@ def features(df: DataFrame, row_id: str, columns: list[str] | None = None) -> Fe
         raise ValueError("at least two numeric columns are needed")
     slots = [f"x{i}" for i in range(len(columns))]
     rows = df.select(id_column(df, row_id), *[as_double(df, c).alias(s) for c, s in zip(columns, slots)]).dropna(subset=slots)
-    rows = cut(rows)
+    rows = packed(rows)
     r = rows.agg(F.count(F.lit(1)).alias("n"), *[f(s).alias(f"{k}{s}") for s in slots
                                                  for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     return Features(rows, columns, r["n"], [r[f"m{s}"] for s in slots], [r[f"s{s}"] or 0.0 for s in slots])

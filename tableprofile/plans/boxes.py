@@ -9,14 +9,14 @@ upper level, at most TOP_BOXES of them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tableprofile.plans.cuts import cut, dealt, small_side
+from tableprofile.plans.cuts import cut, dealt, discard, free_shuffles, packed, small_side
 
 TOP_BOXES = 100_000
 GUESTS_PER_TASK = 50_000
@@ -93,12 +93,14 @@ def parts_of(points: np.ndarray) -> list[np.ndarray]:
 @dataclass
 class Boxes:
     """points: the given columns, `box`, `top` (its ancestor of the upper level). table: a row a box with
-    `box`, `up` (its parent), `top`, `n`, `w`, `low`, `high`; parents: bounds of the boxes that were cut. All written."""
+    `box`, `up` (its parent), `top`, `n`, `w`, `low`, `high`; parents: bounds of the boxes that were cut. All written; the points
+    in `held`."""
 
     points: DataFrame
     table: DataFrame
     parents: DataFrame
     columns: list[str]
+    held: DataFrame
 
     def __post_init__(self):
         top = self.table.groupBy("top").agg(
@@ -153,8 +155,14 @@ def _names(schema: str) -> list[str]:
     return [part.strip().split(" ")[0].strip("`") for part in schema.split(", ")]
 
 
-def cut_boxes(points: DataFrame, columns: list[str], box_rows: int, weight: str = "w", top_boxes: int = TOP_BOXES) -> Boxes:
-    """Boxes of at most box_rows points each; the points (written, distinct, without nulls) keep their columns."""
+def cut_boxes(points: DataFrame, columns: list[str], box_rows: int, weight: str = "w", top_boxes: int = TOP_BOXES,
+              own: Sequence[DataFrame] = ()) -> Boxes:
+    """Boxes of at most box_rows points each; the points (written, distinct, without nulls) keep their columns.
+
+    No more than two versions of the points are held at a time, and the given one; of that, the tables in `own` are deleted when
+    the next version is written.
+    """
+    held = points
     now = points.withColumns({"box": F.lit(0).cast("long"), "up": F.lit(0).cast("long"), "top": F.lit(0).cast("long")})
     parents = None
     while True:
@@ -167,8 +175,7 @@ def cut_boxes(points: DataFrame, columns: list[str], box_rows: int, weight: str
         top = F.col("box") if size.all <= top_boxes else F.col("top")
         if not size.large:
             placed = now.withColumn("top", top).drop("up")
-            return Boxes(placed if parents is None else cut(placed), boxes.withColumn("top", top),
-                         boxes.limit(0) if parents is None else parents, columns)
+            return Boxes(placed, boxes.withColumn("top", top), boxes.limit(0) if parents is None else parents, columns, held)
         parents = large if parents is None else parents.unionByName(large)
         # sketches cost most, and after the first round only few boxes need one
         quantiles = now.join(small_side(large.select("box"), size.large), "box", "left_semi").groupBy("box").agg(
@@ -177,8 +184,12 @@ def cut_boxes(points: DataFrame, columns: list[str], box_rows: int, weight: str
         place = [_passed(F.col("over")[i], F.col(c), False) + _passed(F.col("from")[i], F.col(c), True) for i, c in enumerate(columns)]
         parted = now.join(cuts, "box", "left").withColumn(
             "child", F.when(F.col("over").isNull(), F.col("box")).otherwise(F.xxhash64("box", *place)))
-        now = cut(parted.select(*points.columns, F.col("child").alias("box"),
-                               F.when(F.col("over").isNull(), F.col("up")).otherwise(F.col("box")).alias("up"), top.alias("top")))
+        now = packed(parted.select(*points.columns, F.col("child").alias("box"),
+                                  F.when(F.col("over").isNull(), F.col("up")).otherwise(F.col("box")).alias("up"), top.alias("top")))
+        for older in own if held is points else [held]:
+            discard(older)
+        held = now
+        free_shuffles(now.sparkSession)
 
 
 def _passed(values: Column, x: Column, at: bool) -> Column:
